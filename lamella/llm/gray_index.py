@@ -1,4 +1,4 @@
-"""Hamming-radius self-join of 64-bit codes by a Gray-order hierarchy.
+"""Hamming-radius self-join of codes of 64-bit words by a Gray-order hierarchy.
 
 Codes are sorted by Gray rank, so that neighbours differ in few bits. Runs of
 FAN codes form a node that keeps the bits all of its members share (mask) and
@@ -26,12 +26,12 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 def build_levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(value, mask) of the nodes, from the codes (leaves) up to at most FAN nodes."""
-    value, mask = codes.astype(np.uint64), np.full(len(codes), ~np.uint64(0), np.uint64)
+    value, mask = codes.astype(np.uint64), np.full(codes.shape, ~np.uint64(0), np.uint64)
     levels = [(value, mask)]
     while len(value) > FAN:
         starts = np.arange(0, len(value), FAN)
-        first = np.repeat(value[starts], np.diff(np.append(starts, len(value))))
-        shared = np.bitwise_and.reduceat(mask & ~(value ^ first), starts)
+        first = np.repeat(value[starts], np.diff(np.append(starts, len(value))), axis=0)
+        shared = np.bitwise_and.reduceat(mask & ~(value ^ first), starts, axis=0)
         value, mask = value[starts], shared
         levels.append((value, mask))
     return levels
@@ -59,14 +59,15 @@ class Labels:
 def link_within(codes: np.ndarray, radius: int, labels: Labels, at: np.ndarray) -> None:
     """Links at[i] and at[j] in labels for all codes i, j with at most radius differing bits.
 
-    codes must be sorted by gray_rank. Pairs of groups whose members are all
+    codes has a row of 64-bit words for each code, sorted by the Gray rank of
+    the first word. Pairs of groups whose members are all
     linked to one another already are not descended again.
     """
     levels = build_levels(codes)
     top = len(levels) - 1
     a, b = np.triu_indices(len(levels[top][0]))
     far = a != b
-    none = np.zeros(len(a), np.uint64)
+    none = np.zeros((len(a), codes.shape[1]), np.uint64)
     stack = [(top, x, none[: len(x[0])], np.zeros(len(x[0]), np.int16)) for x in ((a[far], b[far]), (a[~far], b[~far]))]
     uniform = _uniform(labels.of[at], levels)
     while stack:
@@ -80,7 +81,7 @@ def link_within(codes: np.ndarray, radius: int, labels: Labels, at: np.ndarray)
             continue
         value, mask = levels[level]
         shared = mask[a] & mask[b]
-        sofar = sofar + np.bitwise_count((value[a] ^ value[b]) & shared & ~known)
+        sofar = sofar + np.bitwise_count((value[a] ^ value[b]) & shared & ~known).sum(axis=1, dtype=np.int16)
         keep = sofar <= radius
         one = uniform[level]
         keep &= ~((one[a] >= 0) & (one[a] == one[b]))
@@ -98,7 +99,7 @@ def link_within(codes: np.ndarray, radius: int, labels: Labels, at: np.ndarray)
         x, y = (a[:, None] * FAN + da).ravel(), (b[:, None] * FAN + db).ravel()
         ok = (x < below) & (y < below) & (x <= y)
         x, y = x[ok], y[ok]
-        shared, sofar = np.repeat(shared, FAN * FAN)[ok], np.repeat(sofar, FAN * FAN)[ok]
+        shared, sofar = np.repeat(shared, FAN * FAN, axis=0)[ok], np.repeat(sofar, FAN * FAN)[ok]
         near = x == y
         for part in (~near, near):  # the diagonal is on top: it links most, and so prunes what follows
             stack.append((level - 1, (x[part], y[part]), shared[part], sofar[part]))

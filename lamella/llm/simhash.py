@@ -91,17 +91,7 @@ def hamming_links(codes: DataFrame, radius: int = 3) -> DataFrame:
     hot = cut(met.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PLACE).drop("n"))
     if not hot.isEmpty():
         met = _split_hot(met, hot, places, radius)
-    met = met.repartition("place", "key")
-
-    def search(batches):
-        parts = [(b.column(0), b.column(1), b.column(2), b.column(3)) for b in batches]
-        if not parts:
-            return
-        place, key, fp, rep = (np.concatenate([p[i].to_numpy(zero_copy_only=False) for p in parts]) for i in range(4))
-        src, dst = links_of_places(place, key, fp.astype(np.int64).view(np.uint64), rep, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
-
-    return met.select("place", "key", "fp", "rep").mapInArrow(search, "src long, dst long").distinct()
+    return _forest(met, ["fp"], radius)
 
 
 def _split_hot(met: DataFrame, hot: DataFrame, places: list, radius: int) -> DataFrame:
@@ -117,25 +107,43 @@ def _split_hot(met: DataFrame, hot: DataFrame, places: list, radius: int) -> Dat
     return marked.select("fp", "rep", F.explode(cases).alias("to")).select("fp", "rep", "to.place", "to.key")
 
 
-def links_of_places(place: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges (larger rep, smallest rep of its local component) over all places given."""
-    order = np.lexsort((gray_rank(fp), key, place))
-    place, key, fp, rep = place[order], key[order], fp[order], rep[order]
+def links_of_places(place: np.ndarray, key: np.ndarray, codes: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges (larger rep, smallest rep of its local component) over all places given.
+
+    codes: a row of 64-bit words for each code.
+    """
+    order = np.lexsort((gray_rank(codes[:, 0]), key, place))
+    place, key, codes, rep = place[order], key[order], codes[order], rep[order]
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (key[1:] != key[:-1])])
-    size = np.diff(np.r_[first, len(fp)])
-    codes, node = np.unique(rep, return_inverse=True)
-    labels = Labels(len(codes))
+    size = np.diff(np.r_[first, len(codes)])
+    nodes, node = np.unique(rep, return_inverse=True)
+    labels = Labels(len(nodes))
     segment = np.repeat(np.arange(len(first)), size)
     for step in range(1, min(33, int(size.max(initial=0)))):  # small places: neighbours at each distance in the order
         i = np.flatnonzero((segment[step:] == segment[:-step]) & (size[segment[:-step]] <= 32))
         if len(i):
-            i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= radius]
+            i = i[np.bitwise_count(codes[i] ^ codes[i + step]).sum(axis=1) <= radius]
             labels.link(node[i], node[i + step])
     for s in np.flatnonzero(size > 32):
         a, b = first[s], first[s] + size[s]
-        link_within(fp[a:b], radius, labels, node[a:b])
-    linked = np.flatnonzero(labels.of != np.arange(len(codes)))
-    return codes[linked].astype(np.int64), codes[labels.of[linked]].astype(np.int64)
+        link_within(codes[a:b], radius, labels, node[a:b])
+    linked = np.flatnonzero(labels.of != np.arange(len(nodes)))
+    return nodes[linked].astype(np.int64), nodes[labels.of[linked]].astype(np.int64)
+
+
+def _forest(met: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """Rows of codes at places -> forest edges; the rows of a place meet in one task."""
+
+    def search(batches):
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        place, key, rep, *code = (np.concatenate(x) for x in zip(*parts))
+        codes = np.stack([c.astype(np.int64).view(np.uint64) for c in code], axis=1)
+        src, dst = links_of_places(place, key, codes, rep, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    return met.repartition("place", "key").select("place", "key", "rep", *words).mapInArrow(search, "src long, dst long").distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -155,5 +163,61 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(of_code, "fp").select("doc_id", "fp", "component_id")
 
 
+def wide_fingerprint(text: bytes | None, shingle: int = 5) -> tuple[int, int]:
+    """128-bit SimHash (XXH3) as two signed words; zeros for a text without words."""
+    words = text.lower().split() if text else []
+    if not words:
+        return 0, 0
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    xx = xxhash.xxh3_128_digest
+    set_bits = np.zeros(128, np.int64)
+    for at in range(0, n, SLICE):
+        s, e = starts[at : min(at + SLICE, n)].tolist(), last[at : at + SLICE].tolist()
+        h = np.frombuffer(b"".join([xx(joined[i:j]) for i, j in zip(s, e)]), np.uint8).reshape(-1, 16)
+        set_bits += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int32)
+    return tuple(np.packbits(set_bits * 2 > n).view(np.int64).tolist())
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+    """-> (doc_id, component_id): documents whose 128-bit SimHash of five-word
+    shingles agrees in at least `similarity` of the bits are linked.
+
+    That radius (25 bits) is too wide for a pigeonhole argument, so codes meet
+    on random bit subsets: as many of them that a pair whose shingle sets have
+    the Jaccard similarity asked for is missed with probability 1 - recall at
+    most. Subsets grow with the number of codes, so that places stay small.
+    Meeting codes are compared over all 128 bits by the Gray-order hierarchy.
+    Nulls, ids, repeated and empty rows are treated as in simhash_groups.
+    """
+    kind = docs.schema[id_col].dataType
+
+    def scan(batches):
+        for batch in batches:
+            out = np.array([wide_fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["doc_id", "c1", "c2"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    prints = cut(rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, c1 long, c2 long"))
+    codes = cut(prints.groupBy("c1", "c2").agg(F.min(F.col("doc_id").cast("long")).alias("rep")))
+    n = codes.count()
+    bits = min(28, max(12, int(np.log2(n + 1)) - 3))
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
+    rng = np.random.default_rng(7)
+    masks = []
+    for _ in range(tables):
+        chosen = rng.choice(128, bits, replace=False)
+        masks.append((_mask([int(b) for b in chosen if b < 64]), _mask([int(b) - 64 for b in chosen if b >= 64])))
+    sites = F.array(*[F.struct(F.lit(i).alias("place"), F.xxhash64(F.lit(i), F.col("c1").bitwiseAND(x), F.col("c2").bitwiseAND(y)).alias("key")) for i, (x, y) in enumerate(masks)])
+    met = codes.where("rep IS NOT NULL").select("c1", "c2", "rep", F.explode(sites).alias("at")).select("c1", "c2", "rep", "at.place", "at.key")
+    classes = connected_components(_forest(met, ["c1", "c2"], int(128 * (1 - similarity))))
+    of_code = codes.join(classes, codes.rep == classes.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(of_code, ["c1", "c2"]).select("doc_id", "component_id")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
