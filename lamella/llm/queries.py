@@ -8,16 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import benchmark_hits, item_digest
 from .simhash import hex_fingerprint, simhash_groups
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+    return hits.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        item_digest(F.col("items")).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {
+        "op4_decontamination": op4_decontamination,
+        "op9_simhash": op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
