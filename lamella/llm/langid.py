@@ -5,7 +5,8 @@ blended spectrum) they hold: common n-grams over the geometric mean of both
 counts. N-grams are held as bits of a table of DIMS places. Training: Nystroem
 features from landmark texts, then one-versus-rest kernel ridge regression.
 Since a score is linear in a text's bits, landmarks and weights are folded
-into one matrix, and whole batches are scored by a matrix product.
+into one matrix, and whole batches are scored by a matrix product. A long text
+is scored by pieces, all of them, so that a foreign passage counts by its length.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from .common import fold_remainder
 
 DIMS = 1 << 15
 BATCH = 64
-PIECE = 1 << 20
+PIECE = 1024
+SLICE = 1 << 20
 SAMPLE = 3000
 LANDMARKS = 256
 RIDGE = 1e-3
@@ -37,11 +39,9 @@ def _letters() -> np.ndarray:
 
 def mark(text: str | None, row: np.ndarray) -> bool:
     """Sets the bits of a text's n-grams in row; False if the text has no letter."""
-    if not text:
-        return False
     letter, seen = _letters(), False
-    for at in range(0, len(text), PIECE):
-        c = np.frombuffer(text[max(0, at - 2) : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, len(text or ""), SLICE):
+        c = np.frombuffer(text[max(0, at - 2) : at + SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         known = letter[c]
         seen = seen or bool(known.any())
         c = np.where(known, c, 32).astype(np.uint32)
@@ -64,12 +64,58 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray):
         self.labels, self.weights = labels, weights
 
-    def predict(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, bits: np.ndarray) -> np.ndarray:
         x = bits.astype(np.float32)
-        size = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        f = (x @ self.weights) / size
-        best = f.argmax(axis=1)
-        return best, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1)
+        return (x @ self.weights) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+class Scorer:
+    """Scores texts by pieces of PIECE characters: the mean over a text's pieces, by their length.
+
+    Pieces of several texts share a matrix product, so memory is bounded by BATCH rows of bits.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.bits = np.zeros((BATCH, DIMS), np.uint8)
+
+    def __call__(self, texts) -> tuple[list[str], list[float]]:
+        spoken, owners, sizes = [], [], []
+        sums: list[np.ndarray] = []
+        total: list[int] = []
+
+        def flush():
+            f = self.model.scores(self.bits[: len(owners)])
+            for o, n, v in zip(owners, sizes, f):
+                sums[o] += n * v
+                total[o] += n
+            self.bits[: len(owners)] = 0
+            owners.clear()
+            sizes.clear()
+
+        for k, text in enumerate(texts):
+            text = text or ""
+            spoken.append(False)
+            sums.append(np.zeros(len(self.model.labels)))
+            total.append(0)
+            for at in range(0, len(text), PIECE):
+                piece = text[at : at + PIECE]
+                if mark(piece, self.bits[len(owners)]):
+                    spoken[k] = True
+                    owners.append(k)
+                    sizes.append(len(piece))
+                    if len(owners) == BATCH:
+                        flush()
+                else:
+                    self.bits[len(owners)] = 0
+        if owners:
+            flush()
+        langs, scores = [], []
+        for ok, f, n in zip(spoken, sums, total):
+            best = int(f.argmax())
+            langs.append(self.model.labels[best] if ok else NONE)
+            scores.append(float(np.clip((f[best] / n + 1) / 2, 0, 1)) if ok else 0.0)
+        return langs, scores
 
 
 def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -128,8 +174,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """docs' columns `keep`, with lang_pred string and score double (0 to 1).
 
     A null text, or one without a letter, has lang_pred `und` and score 0; so
-    have all texts if there is no model. Whole texts are read, in pieces, so
-    memory is bounded by a piece and a batch of bits.
+    have all texts if there is no model. Whole texts are read, in
+    pieces, so memory is bounded by a batch of bits.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -137,21 +183,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     names = [*keep, "lang_pred", "score"]
 
     def scan(batches):
-        model = shared.value
-        bits = np.zeros((BATCH, DIMS), np.uint8)
+        score = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            langs, scores = [], []
-            for at in range(0, batch.num_rows, BATCH):
-                texts = batch.column(len(keep)).slice(at, BATCH)
-                bits[:] = 0
-                spoken = [mark(x.as_py(), bits[i]) for i, x in enumerate(texts)]
-                if model is None:
-                    langs += [NONE] * len(spoken)
-                    scores += [0.0] * len(spoken)
-                    continue
-                best, score = model.predict(bits[: len(spoken)])
-                langs += [model.labels[b] if ok else NONE for b, ok in zip(best.tolist(), spoken)]
-                scores += [s if ok else 0.0 for s, ok in zip(score.tolist(), spoken)]
+            n = batch.num_rows
+            langs, scores = score(x.as_py() for x in batch.column(len(keep))) if score else ([NONE] * n, [0.0] * n)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     rows = docs.select(*keep, F.col("text").alias("lm_text"))
