@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import benchmark_hits, item_digest
 from .langid import held_out, identify
+from .pii import surrogates
 from .simhash import hex_fingerprint, simhash_groups
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates(docs, count_col="n_mentions")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
@@ -38,6 +44,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_surrogates": op3_surrogates,
         "op4_decontamination": op4_decontamination,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
