@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import benchmark_hits, item_digest
 from .langid import held_out, identify
+from .mixing import mix
 from .pii import surrogates
 from .simhash import hex_fingerprint, simhash_groups
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
+
+
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates(docs, count_col="n_mentions")
@@ -44,6 +49,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op3_surrogates": op3_surrogates,
         "op4_decontamination": op4_decontamination,
         "op8_language_id": op8_language_id,
