@@ -118,21 +118,25 @@ class Scorer:
         return langs, scores
 
 
+def _normal(bits: np.ndarray) -> np.ndarray:
+    x = bits.astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    return x
+
+
 def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """bits: a row for each text; langs: its label."""
     labels = sorted(set(langs))
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     place = {v: i for i, v in enumerate(labels)}
-    y = -np.ones((len(x), len(labels)))
-    y[np.arange(len(x)), [place[v] for v in langs]] = 1
-    chosen = np.linspace(0, len(x) - 1, min(landmarks, len(x))).round().astype(int)
-    marks = x[np.unique(chosen)]
+    y = -np.ones((len(bits), len(labels)))
+    y[np.arange(len(bits)), [place[v] for v in langs]] = 1
+    chosen = np.linspace(0, len(bits) - 1, min(landmarks, len(bits))).round().astype(int)
+    marks = _normal(bits[np.unique(chosen)])
     val, vec = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = val > 1e-6 * val.max()
     root = vec[:, keep] / np.sqrt(val[keep])
-    z = (x @ marks.T) @ root
-    w = np.linalg.solve(z.T @ z + ridge * len(x) * np.eye(z.shape[1]), z.T @ y)
+    z = np.concatenate([_normal(bits[i : i + BATCH]) @ marks.T for i in range(0, len(bits), BATCH)]) @ root
+    w = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ y)
     return Model(labels, (marks.T @ (root @ w)).astype(np.float32))
 
 
