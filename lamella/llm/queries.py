@@ -11,9 +11,11 @@ from .common import table
 from .decontaminate import benchmark_hits, item_digest
 from . import toxicity
 from .langid import held_out, identify
+from .linededup import line_dedup
 from .mixing import mix
 from .pii import surrogates
 from .simhash import hex_fingerprint, simhash_groups
+from .topk import TOP_K_SQL, top_k
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +46,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(docs, lexicon).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -60,10 +70,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_surrogates": op3_surrogates,
         "op4_decontamination": op4_decontamination,
         "op5_toxicity": op5_toxicity,
+        "op6_topk": op6_topk,
+        "op7_line_dedup": op7_line_dedup,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": TOP_K_SQL}
