@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import benchmark_hits, item_digest
 from . import toxicity
+from .html import extract_text
 from .langid import held_out, identify
 from .linededup import line_dedup
 from .mixing import mix
@@ -22,6 +23,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates(docs, count_col="n_mentions")
@@ -67,6 +72,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_html_text": op2_html_text,
         "op3_surrogates": op3_surrogates,
         "op4_decontamination": op4_decontamination,
         "op5_toxicity": op5_toxicity,
