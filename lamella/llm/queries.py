@@ -16,6 +16,7 @@ from .linededup import line_dedup
 from .mixing import mix
 from .pii import surrogates
 from .simhash import hex_fingerprint, simhash_groups
+from .suffixdedup import repeated_spans
 from .topk import TOP_K_SQL, top_k
 
 
@@ -69,6 +70,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -80,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
