@@ -26,6 +26,9 @@ PARTS = 4096
 MAX_SOURCES = 1 << 16
 BLOCK = 64
 SEED = 20
+#: Rows of a source are ordered by buckets of about so many rows; buckets of a source at most.
+BUCKET_ROWS = 2_000
+BUCKETS = 1 << 16
 
 
 def whole_parts(weights: dict, parts: int = PARTS) -> dict:
@@ -102,24 +105,24 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts:
     ends = {k: _slot_of(plan, k, (sizes[k] // block) - 1, shares[k], period) for k in shares}
     target_end = min(ends.values(), default=-1)
 
-    buckets = max(1, sum(sizes.values()) // 20_000)
+    # Sources by number, so that all keys below are plain equalities and one exchange of the rows serves them all.
+    numbers = {k: n for n, k in enumerate(sizes)}
+    kind = docs.schema["source"].dataType.simpleString()
+    named = spark.createDataFrame([(k, n, shares.get(k)) for k, n in numbers.items()], f"mix_s {kind}, mix_sid int, mix_share long")
+    slots = spark.createDataFrame([(numbers[k], i, r, d, s) for k, i, r, d, s in plan], "mix_sid int, mix_j long, mix_r long, mix_d long, mix_t long")
+    buckets = min(BUCKETS, max(1, sum(sizes.values()) // BUCKET_ROWS))
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     rows = docs.withColumn("mix_key", key).withColumn("mix_bucket", F.pmod("mix_key", F.lit(buckets)))
-    counts = rows.groupBy(F.col("source").alias("mix_source"), "mix_bucket").agg(F.count(F.lit(1)).alias("mix_n"))
-    before = counts.withColumn("mix_before", F.coalesce(F.sum("mix_n").over(Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id")
-    rows = rows.withColumn("mix_i", F.row_number().over(within) - 1)
-    rows = rows.join(before.withColumnRenamed("mix_bucket", "mix_b").drop("mix_n"), F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_bucket") == F.col("mix_b")))
+    rows = rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("mix_s")))  # a row for each source, max_sources at most
+    counts = rows.groupBy("mix_sid", "mix_bucket").agg(F.count(F.lit(1)).alias("mix_n"))
+    before = Window.partitionBy("mix_sid").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("mix_sid", "mix_bucket", F.coalesce(F.sum("mix_n").over(before), F.lit(0)).alias("mix_before"))
+    within = Window.partitionBy("mix_sid", "mix_bucket").orderBy("mix_key", "doc_id")
+    rows = rows.withColumn("mix_i", F.row_number().over(within) - 1).join(starts, ["mix_sid", "mix_bucket"])
     at = F.col("mix_before") + F.col("mix_i")
-
-    table = spark.createDataFrame([(k, shares[k], i, r, d, s) for k, i, r, d, s in plan], f"mix_s {docs.schema['source'].dataType.simpleString()}, mix_share long, mix_j long, mix_r long, mix_d long, mix_t long")
-    share = F.broadcast(table.select("mix_s", "mix_share").distinct())  # a row for each source, max_sources at most
-    rows = rows.join(share, F.col("source").eqNullSafe(F.col("mix_s")), "left").drop("mix_s")
-    number = F.floor(at / block)
-    rows = rows.withColumn("mix_block", F.coalesce(F.when(F.col("mix_share").isNotNull(), number), F.lit(-1)).cast("long"))
+    rows = rows.withColumn("mix_block", F.when(F.col("mix_share").isNotNull(), F.floor(at / block)).otherwise(-1).cast("long"))
     rows = rows.withColumn("mix_rank", (at % block).cast("long")).withColumn("mix_cycle", F.floor(F.col("mix_block") / F.col("mix_share")))
-    slots = F.broadcast(table.drop("mix_share"))  # `parts` rows, or 8 for each source
-    rows = rows.join(slots, F.col("source").eqNullSafe(F.col("mix_s")) & (F.col("mix_block") % F.col("mix_share") == F.col("mix_j")), "left")
+    rows = rows.withColumn("mix_j", F.col("mix_block") % F.col("mix_share")).join(F.broadcast(slots), ["mix_sid", "mix_j"], "left")  # `parts` rows, or 8 for each source
     offset = F.col("mix_cycle") * period
     return rows.select(
         *docs.columns,
