@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import geometry_queries, join_queries, registry, scalar_queries, text_queries  # noqa: F401
+from lamella.plans import geometry_queries, join_queries, registry, rule_queries, scalar_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
