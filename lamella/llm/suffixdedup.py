@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ SHARD = 1 << 20
 LOCAL_HOT = 16
 HOT = 20_000
 MAX_RUN = 63
+#: Minimizers are 64 bits less these; a chance agreement only costs a comparison.
+BITS = np.uint64(16)
 
 
 # ---------------------------------------------------------------- minimizers
@@ -58,6 +61,7 @@ def minimizers(data: np.ndarray, length: int = LENGTH, k: int = K) -> np.ndarray
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    h >>= BITS
     w, size = length - k + 1, 1
     while size * 2 <= w:
         h = np.minimum(h[: len(h) - size], h[size:])
@@ -103,20 +107,26 @@ def chunks(batches, length: int, id_at: int, text_at: int, others: tuple = ()):
         yield ids, more, texts
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte, compressed."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers below 256 ** width, byte by byte, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.cumsum(raw.reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+def _unpacked(blob: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
 
 
 def _minimizer_rows(parts: int, length: int):
-    """Per chunk and part: packed (minimizer, document) pairs; those of LOCAL_HOT documents or
-    more are known to be shared, so that part is told of two documents and of their number."""
+    """Per chunk and part: packed (minimizer, document) pairs, minimizers cut to 48 bits.
+
+    A minimizer that LOCAL_HOT documents of the chunk or more have is known to
+    be shared: those pairs go straight on (direct), and its part is told of two
+    documents and of their number. So no minimizer sends more than LOCAL_HOT
+    pairs of a chunk to one task.
+    """
 
     def scan(batches):
         for ids, _, texts in chunks(batches, length, 0, 1):
@@ -135,6 +145,7 @@ def _minimizer_rows(parts: int, length: int):
             hot = n_docs >= LOCAL_HOT
             ids = np.array(ids, np.int64)
             part = (low % np.uint64(parts)).astype(np.int64)
+            rows = []
             for direct, chosen in ((False, ~hot | (place < 2)), (True, hot)):
                 x, o, p, w = low[chosen], owner[chosen], part[chosen], np.where(hot & (place == 0), n_docs - 1, 1)[chosen]
                 if direct:
@@ -142,9 +153,12 @@ def _minimizer_rows(parts: int, length: int):
                 order = np.argsort(p, kind="stable")
                 x, o, p, w = x[order], o[order], p[order], w[order]
                 cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True]) if len(p) else np.array([0])
-                rows = [(int(p[a]), direct, ids[o[a:b]].astype("<i8").tobytes(), _packed(x[a:b]), w[a:b].astype("<i4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "direct", "docs", "hashes", "weights"])
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    used, local = np.unique(o[a:b], return_inverse=True)
+                    steps = np.diff(x[a:b], prepend=np.uint64(0)) if not direct else x[a:b]
+                    rows.append((int(p[a]), direct, _packed(ids[used].view(np.uint64), 8), _packed(local.astype(np.uint64), 4), _packed(steps, 6), _packed(w[a:b].astype(np.uint64), 4)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], names=["part", "direct", "ids", "docs", "hashes", "weights"])
 
     return scan
 
@@ -158,18 +172,19 @@ def _distinct_pairs(low: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _shared_rows(batches):
-    """Of a part: (document, minimizer) where the minimizer has two documents at least; and hot minimizers."""
+    """Of a part: each document's minimizers that another document has too (6 bytes each), and hot minimizers (doc null)."""
     docs, hashes, weights = [], [], []
     for batch in batches:
         for i in range(batch.num_rows):
-            d = np.frombuffer(batch.column(2)[i].as_py(), "<i8")
-            h = _unpacked(batch.column(3)[i].as_py())
-            if batch.column(1)[i].as_py():
-                yield _pairs_batch(d, h, np.zeros(len(d), bool))
+            direct, ids, local, steps, w = (batch.column(k)[i].as_py() for k in range(1, 6))
+            d = _unpacked(ids, 8).view(np.int64)[_unpacked(local, 4).astype(np.int64)]
+            h = _unpacked(steps, 6)
+            if direct:
+                yield _by_document(d, h)
             else:
                 docs.append(d)
-                hashes.append(h)
-                weights.append(np.frombuffer(batch.column(4)[i].as_py(), "<i4"))
+                hashes.append(np.cumsum(h, dtype=np.uint64))
+                weights.append(_unpacked(w, 4).astype(np.int64))
     if not docs:
         return
     d, h, w = np.concatenate(docs), np.concatenate(hashes), np.concatenate(weights)
@@ -177,17 +192,30 @@ def _shared_rows(batches):
     d, h, w = d[order], h[order], w[order]
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     size = np.diff(np.r_[start, len(h)])
-    last = start + size - 1
-    shared = np.repeat(d[start] != d[last], size)
-    total = np.add.reduceat(w, start)
-    yield _pairs_batch(d[shared], h[shared], np.zeros(int(shared.sum()), bool))
-    hot = total > HOT
+    shared = np.repeat(d[start] != d[start + size - 1], size)
+    yield _by_document(d[shared], h[shared])
+    hot = np.add.reduceat(w, start) > HOT
     if hot.any():
-        yield _pairs_batch(np.zeros(int(hot.sum()), np.int64), h[start[hot]], np.ones(int(hot.sum()), bool))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([_six(h[start[hot]])], pa.binary())], names=["doc", "hashes"])
+
+
+def _six(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _pairs_batch(docs, hashes, hot) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.array(hashes.view(np.int64)), pa.array(hot)], names=["doc", "hash", "hot"])
+def _from_six(blobs: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel()
+
+
+def _by_document(docs: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(docs, kind="stable")
+    docs, hashes = docs[order], hashes[order]
+    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True]) if len(docs) else np.array([0])
+    blobs = [_six(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(docs[cuts[:-1]] if len(docs) else docs, pa.int64()), pa.array(blobs, pa.binary())], names=["doc", "hashes"])
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -281,54 +309,90 @@ def shard_classes(data: np.ndarray, row: np.ndarray, row_end: np.ndarray, doc: n
 
 def _settle(length: int):
     def scan(batches):
-        doc, own, start, pieces = [], [], [], []
+        parts: list[tuple] = []
+        distinct: dict[bytes, int] = {}
+        numbers: list[np.ndarray] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                piece = batch.column(4)[i].as_py()
-                if piece is None:  # settled in its task
-                    continue
-                doc.append(batch.column(1)[i].as_py())
-                own.append(batch.column(2)[i].as_py())
-                start.append(batch.column(3)[i].as_py())
-                pieces.append(piece)
-            done = batch.filter(batch.column(4).is_null())
-            if done.num_rows:
+            done = batch.filter(pc.is_null(batch.column(4)))
+            if done.num_rows:  # settled in its task
                 yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), done.column(3), done.column(5)], names=["doc_id", "lm_row", "start", "mask"])
-        if not pieces:
+            batch = batch.filter(pc.is_valid(batch.column(4)))
+            pieces = batch.column(4).to_pylist()
+            numbers.append(np.array([distinct.setdefault(p, len(distinct)) for p in pieces], np.int64))
+            parts.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+        if not distinct:
             return
-        doc, own, start = np.array(doc, np.int64), np.array(own, np.int64), np.array(start, np.int64)
-        size = np.array(list(map(len, pieces)), np.int64)
-        cuts = np.unique(np.r_[0, np.searchsorted(np.cumsum(size), np.arange(SHARD, size.sum() + SHARD, SHARD), side="right"), len(size)])
-        shards = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            data = np.frombuffer(b"".join(pieces[a:b]), np.uint8)
-            row = np.repeat(np.arange(b - a), size[a:b])
-            ends = np.cumsum(size[a:b])
-            at, number, first, least = shard_classes(data, row, np.repeat(ends, size[a:b]), doc[a:b], length)
-            raw = data.tobytes()
-            mark = np.fromiter((xxhash.xxh3_64_intdigest(raw[s : s + length]) for s in first.tolist()), np.uint64, len(first))
-            shards.append((a, b, row, ends - size[a:b], at, number, mark, least, raw, first))
-        # Merge: each shard's classes are looked up, by binary search, in the classes of all shards here.
-        marks, leasts = np.concatenate([s[6] for s in shards]), np.concatenate([s[7] for s in shards])
-        order = np.argsort(marks, kind="stable")
-        table = marks[order]
-        head = np.flatnonzero(np.r_[True, table[1:] != table[:-1]])
-        known, best = table[head], np.minimum.reduceat(leasts[order], head)
-        for a, b, row, base, at, number, mark, least, raw, first in shards:
-            least = np.minimum(least, best[np.searchsorted(known, mark)])
-            r = row[at]
-            gone = least[number] < doc[a:b][r]
-            r = r[gone]
-            offset = at[gone] - base[r]
-            bits = np.zeros(b - a, np.int64)
-            np.bitwise_or.at(bits, r, np.left_shift(np.int64(1), offset.astype(np.int64)))
-            hit = np.flatnonzero(bits)
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[a:b][hit]), pa.array(own[a:b][hit]), pa.array(start[a:b][hit].astype(np.int32)), pa.array(bits[hit])], names=["doc_id", "lm_row", "start", "mask"])
+        key, doc, own, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        number = np.concatenate(numbers)
+        texts = list(distinct)
+        size = np.array(list(map(len, texts)), np.int64)
+        first = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(first, number, doc)
+        keys = np.empty(len(texts), np.int64)
+        keys[number] = key
+        # A text that no other text shares a minimizer with is repeated as a whole or not at all.
+        _, group, members = np.unique(keys, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(members[group] > 1)
+        least_at = _least_documents([texts[i] for i in mixed.tolist()], first[mixed], length) if len(mixed) else []
+        place = np.full(len(texts), -1)
+        place[mixed] = np.arange(len(mixed))
+        whole = (np.int64(1) << (size - length + 1)) - 1
+        mask = np.where((place[number] < 0) & (first[number] < doc), whole[number], 0)
+        for i in np.flatnonzero(place[number] >= 0).tolist():
+            least = least_at[place[number[i]]]
+            gone = np.flatnonzero(least < doc[i])
+            mask[i] = int((np.int64(1) << gone).sum()) if len(gone) else 0
+        hit = np.flatnonzero(mask)
+        for a in range(0, len(hit), 50_000):
+            h = hit[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[h]), pa.array(own[h]), pa.array(start[h].astype(np.int32)), pa.array(mask[h])], names=["doc_id", "lm_row", "start", "mask"])
 
     return scan
 
 
+def _least_documents(pieces: list[bytes], doc: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each piece: the smallest document of each string that starts in it, over all pieces.
+
+    Pieces are cut into shards of about SHARD bytes, each with a suffix array;
+    the shards' classes are then merged by binary search.
+    """
+    size = np.array(list(map(len, pieces)), np.int64)
+    cuts = np.unique(np.r_[0, np.searchsorted(np.cumsum(size), np.arange(SHARD, size.sum() + SHARD, SHARD), side="right"), len(size)])
+    shards = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        raw = b"".join(pieces[a:b])
+        row, ends = np.repeat(np.arange(b - a), size[a:b]), np.cumsum(size[a:b])
+        at, number, first, least = shard_classes(np.frombuffer(raw, np.uint8), row, np.repeat(ends, size[a:b]), doc[a:b], length)
+        # Classes of equal digest are taken as one: 128 bits of the string itself.
+        marks = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s : s + length]) for s in first.tolist()]), "V16")
+        shards.append((a, b, ends, at, number, marks, least))
+    marks, leasts = np.concatenate([s[5] for s in shards]), np.concatenate([s[6] for s in shards])
+    low = np.ascontiguousarray(marks).view("<u8").reshape(-1, 2)
+    order = np.lexsort((low[:, 1], low[:, 0]))
+    table = low[order]
+    head = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]).any(axis=1)])
+    known, best = table[head], np.minimum.reduceat(leasts[order], head)
+    out: list[np.ndarray] = []
+    for a, b, ends, at, number, marks, least in shards:
+        own = np.ascontiguousarray(marks).view("<u8").reshape(-1, 2)
+        found = _search(known, own)
+        of_start = np.empty(int(ends[-1]), np.int64)
+        of_start[at] = np.minimum(least, best[found])[number]
+        begins = ends - size[a:b]
+        out.extend(of_start[s : e - length + 1] for s, e in zip(begins.tolist(), ends.tolist()))
+    return out
+
+
+def _search(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of two-word keys, all present, in a sorted table of them: binary search by the first word, then the second."""
+    place = np.searchsorted(table[:, 0], wanted[:, 0])
+    while True:
+        off = np.flatnonzero((table[place] != wanted).any(axis=1))
+        if not len(off):
+            return place
+        place[off] += 1
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -348,9 +412,9 @@ def _run_rows(length: int):
             edges = np.searchsorted(c.owner, np.arange(len(texts) + 1))
             for i, (_, shared, crowded) in enumerate(more):
                 own = slice(edges[i], edges[i + 1])
-                flagged[own] = np.isin(c.low[own], np.array(shared, np.int64).view(np.uint64))
-                if crowded:
-                    hot[own] = np.isin(c.low[own], np.array(crowded, np.int64).view(np.uint64))
+                flagged[own] = np.isin(c.low[own], _from_six(shared))
+                if crowded is not None and len(crowded):
+                    hot[own] = np.isin(c.low[own], _from_six(crowded))
             raw = c.data.tobytes()
             best: dict[bytes, int] = {}
             runs = []
@@ -379,6 +443,25 @@ def _run_rows(length: int):
     return scan
 
 
+def _hot_of(shared: DataFrame, hot: DataFrame) -> DataFrame:
+    """(doc, crowded): each document's hot minimizers, by a join on the minimizer."""
+
+    def single(batches):
+        for batch in batches:
+            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = _from_six([blob]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(values), pa.int64()), pa.array(values)], names=["doc", "hash"])
+
+    def six(batches):
+        for batch in batches:
+            blobs = [_six(np.array([x], np.uint64)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["doc", "hashes"])
+
+    pairs = shared.mapInArrow(single, "doc long, hash long")
+    found = pairs.join(hot.mapInArrow(single, "doc long, hash long").select("hash").distinct(), "hash", "left_semi")
+    return found.select("doc", "hash").mapInArrow(six, "doc long, hashes binary").groupBy("doc").agg(F.collect_list("hashes").alias("crowded"))
+
+
 def removed_spans(n_bytes: int, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs [start, end) of bytes covered by strings at the given starts."""
     cover = np.zeros(n_bytes + 1, np.int32)
@@ -411,24 +494,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # A part of minimizers is held in memory by one task: about 8 bytes for 14 bytes of text.
     total = long_.agg(F.sum(F.octet_length("lm_text"))).first()[0] or 0
     parts = int(max(8, total // (24 << 20)))
-    packed = long_.select("doc_id", "lm_text").mapInArrow(_minimizer_rows(parts, length), "part int, direct boolean, docs binary, hashes binary, weights binary")
-    shared = cut(packed.repartition(parts, "part").mapInArrow(_shared_rows, "doc long, hash long, hot boolean").distinct())
-    hot = cut(shared.where("hot").select("hash"))
-    found = shared.where("NOT hot").select("doc", "hash")
-    if hot.isEmpty():
-        found = found.withColumn("hot", F.lit(False))
-    else:
-        found = found.join(hot.withColumn("hot", F.lit(True)), "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    by_doc = found.groupBy("doc").agg(F.collect_list("hash").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("crowded"))
-
-    suspects = rows.join(by_doc, rows.doc_id == by_doc.doc).drop("doc").join(copies.select("doc_id", "lm_row"), ["doc_id", "lm_row"], "left_anti")
+    packed = long_.select("doc_id", "lm_text").mapInArrow(_minimizer_rows(parts, length), "part int, direct boolean, ids binary, docs binary, hashes binary, weights binary")
+    shared = cut(packed.repartition(parts, "part").mapInArrow(_shared_rows, "doc long, hashes binary"))
+    by_doc = shared.where("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("hashes").alias("shared"))
+    by_doc = by_doc.withColumn("crowded", F.array().cast("array<binary>"))
+    hot = shared.where("doc IS NULL")
+    if not hot.isEmpty():
+        by_doc = by_doc.drop("crowded").join(_hot_of(shared.where("doc IS NOT NULL"), hot), "doc", "left")
+    whole = copies.groupBy("doc_id").agg(F.collect_set("lm_row").alias("whole")).withColumnRenamed("doc_id", "copy_of")
+    by_doc = by_doc.join(whole, by_doc.doc == whole.copy_of, "left").select("doc", "shared", "crowded", "whole")
+
+    # One exchange of the texts, by document, serves the runs and the removal.
+    placed = rows.repartition(int(max(parts, spark.sparkContext.defaultParallelism)), "doc_id")
+    suspects = placed.join(by_doc, placed.doc_id == by_doc.doc).where(~F.coalesce(F.array_contains("whole", F.col("lm_row")), F.lit(False)))
     runs = suspects.select("doc_id", "lm_text", "lm_row", "shared", "crowded").mapInArrow(_run_rows(length), "key long, doc_id long, lm_row long, start int, piece binary, mask long")
     settled = runs.repartition("key").mapInArrow(_settle(length), "doc_id long, lm_row long, start int, mask long")
-    gone = settled.groupBy("doc_id", "lm_row").agg(F.collect_set(F.struct("start", "mask")).alias("hits"), F.lit(False).alias("whole"))
-    gone = gone.unionByName(copies.select("doc_id", "lm_row", F.array().cast("array<struct<start:int,mask:bigint>>").alias("hits"), F.lit(True).alias("whole")))
-    gone = gone.select(F.col("doc_id").alias("lm_id"), F.col("lm_row").alias("lm_own"), "hits", "whole")
-    marked = all_rows.join(gone, (F.col("doc_id").cast("long") == F.col("lm_id")) & (F.col("lm_row") == F.col("lm_own")), "left")
-
+    hits = settled.unionByName(copies.select("doc_id", "lm_row", F.lit(-1).alias("start"), F.lit(0).cast("long").alias("mask")))
+    gone = hits.groupBy("doc_id").agg(F.collect_set(F.struct("lm_row", "start", "mask")).alias("hits")).withColumnRenamed("doc_id", "lm_id")
+    marked = placed.join(gone, placed.doc_id == gone.lm_id, "left").select(F.col("doc_id").cast(id_type).alias("doc_id"), "lm_text", "lm_row", "hits")
+    nameless = all_rows.where("doc_id IS NULL").select("doc_id", "lm_text", "lm_row", F.lit(None).cast("array<struct<lm_row:bigint,start:int,mask:bigint>>").alias("hits"))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches):
@@ -436,18 +520,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 sizes, spans, kept = [], [], []
-                for text, hits, whole in zip(b.column(1), b.column(2), b.column(3)):
+                for text, own, hits in zip(b.column(1), b.column(2), b.column(3)):
                     raw = text.as_py()
-                    starts = np.empty(0, np.int64)
+                    starts, whole = np.empty(0, np.int64), False
                     if hits.is_valid and len(hits):
-                        first = hits.values.field("start").to_numpy().astype(np.int64)
-                        mask = hits.values.field("mask").to_numpy()
+                        mine = hits.values.field("lm_row").to_numpy() == own.as_py()
+                        first = hits.values.field("start").to_numpy().astype(np.int64)[mine]
+                        mask = hits.values.field("mask").to_numpy()[mine]
+                        whole = bool((first < 0).any())
                         on = (mask[:, None] >> np.arange(MAX_RUN)) & 1
                         starts = (first[:, None] + np.arange(MAX_RUN))[on == 1]
-                    a, e = (np.array([0]), np.array([len(raw)])) if whole.as_py() else removed_spans(len(raw), starts, length)
+                    a, e = (np.array([0]), np.array([len(raw)])) if whole else removed_spans(len(raw), starts, length)
                     sizes.append(len(raw))
                     spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, e)])
                     kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*a.tolist(), len(raw)])))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return marked.select("doc_id", "lm_text", "hits", "whole").mapInArrow(apply, f"doc_id {id_type}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return marked.union(nameless).mapInArrow(apply, f"doc_id {id_type}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
