@@ -12,7 +12,7 @@ from . import sqltext as S
 from .registry import query
 
 _PAIRS = "a.page, a.id AS a_id, b.id AS b_id"
-_JOIN = "FROM blocks a JOIN regions b ON a.page = b.page WHERE a.id % 3 = 0"
+_JOIN = "FROM blocks a JOIN regions b ON a.page = b.page"
 
 
 @query("geo_overlap_measures", "GEO-01 GEO-02 GEO-03 GEO-04 GEO-05 GEO-06 GEO-07 GEO-08 GEO-09 GEO-10", f"""
@@ -21,7 +21,7 @@ SELECT {_PAIRS}, {S.area("a")} AS area_a, {S.inter("a", "b")} AS inter, {S.share
  least(a.x0, b.x0) AS ux0, greatest(a.y1, b.y1) AS uy1 {_JOIN}""")
 def overlap_measures(v):
     a, b = box("a"), box("b")
-    pairs = v.blocks.alias("a").where("id % 3 = 0").join(v.regions.alias("b"), F.col("a.page") == F.col("b.page"))
+    pairs = v.blocks.alias("a").join(v.regions.alias("b"), F.col("a.page") == F.col("b.page"))
     u, i = G.union_box(a, b), G.intersection(a, b)
     return pairs.select(
         "a.page", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), G.area(a).alias("area_a"), G.intersection_area(a, b).alias("inter"),
@@ -36,7 +36,7 @@ SELECT {_PAIRS}, greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS v_ov
  a.x0 - 6 <= b.x1 AND b.x0 <= a.x1 + 6 AND a.y0 - 6 <= b.y1 AND b.y0 <= a.y1 + 6 AS near_6, a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AS touching {_JOIN}""")
 def pair_predicates(v):
     a, b = box("a"), box("b")
-    pairs = v.blocks.alias("a").where("id % 3 = 0").join(v.regions.alias("b"), F.col("a.page") == F.col("b.page"))
+    pairs = v.blocks.alias("a").join(v.regions.alias("b"), F.col("a.page") == F.col("b.page"))
     return pairs.select(
         "a.page", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), G.vertical_overlap(a, b).alias("v_overlap"), G.horizontal_overlap(a, b).alias("h_overlap"),
         G.centre_inside(a, b, 2.0).alias("centre_in"), G.gap(a, b).alias("gap"), G.near(a, b, 6.0).alias("near_6"), G.touching(a, b).alias("touching"),

@@ -37,12 +37,12 @@ def best_region(v):
 
 @query("join_table_absorption", "JOIN-03 JOIN-04 JOIN-05 UDF-07", f"""
 WITH f AS (SELECT {_K}, bool_or(b.id = a.id OR {S.share("a", "b")} >= 0.6) AS inside, bool_or({S.share("a", "b")} >= 0.5 OR {S.centre_in("a", "b")}) AS absorbed FROM blocks a JOIN tables_ b ON a.page = b.page GROUP BY ALL)
-SELECT page, b.id, coalesce(inside, false) AS inside, coalesce(absorbed, false) AS absorbed FROM blocks b LEFT JOIN f USING (page, id) WHERE b.id % 2 = 0 OR NOT coalesce(absorbed, false)""")
+SELECT page, b.id, coalesce(inside, false) AS inside, coalesce(absorbed, false) AS absorbed FROM blocks b LEFT JOIN f USING (page, id) WHERE b.source = 'native' OR NOT coalesce(absorbed, false)""")
 def table_absorption(v):
-    inside = J.flagged(v.blocks.select("page", "id", "x0", "y0", "x1", "y1"), v.tables_, lambda a, b: (F.col("b.id") == F.col("a.id")) | (G.share_of_first(a, b) >= 0.6), "inside")
+    inside = J.flagged(v.blocks.select("page", "id", "source", "x0", "y0", "x1", "y1"), v.tables_, lambda a, b: (F.col("b.id") == F.col("a.id")) | (G.share_of_first(a, b) >= 0.6), "inside")
     both = J.flagged(inside, v.tables_, lambda a, b: (G.share_of_first(a, b) >= 0.5) | G.centre_inside(a, b), "absorbed")
-    kept = both.where("id % 2 <> 0").join(both.where("absorbed").select("page", "id"), ["page", "id"], "left_anti")
-    return both.where("id % 2 = 0").unionByName(kept).select("page", "id", "inside", "absorbed")
+    kept = both.where("source <> 'native'").join(both.where("absorbed").select("page", "id"), ["page", "id"], "left_anti")
+    return both.where("source = 'native'").unionByName(kept).select("page", "id", "inside", "absorbed")
 
 
 @query("join_obstacles", "JOIN-06 JOIN-27 JOIN-12 JOIN-29", f"""
@@ -63,13 +63,13 @@ def obstacles(v):
 
 
 @query("join_figure_overlap", "JOIN-07 FLT-32", f"""
-WITH r AS (SELECT * FROM regions WHERE label IN ('figure', 'chart')), o AS (SELECT {_K}, sum({S.inter("a", "b")}) AS total, bool_or({S.inter("a", "b")} / greatest(1.0, {S.area("b")}) >= 0.5) AS hit FROM r a JOIN shapes b ON a.page = b.page WHERE b.id % 10 = 0 GROUP BY ALL)
+WITH r AS (SELECT * FROM regions WHERE label IN ('figure', 'chart')), o AS (SELECT {_K}, sum({S.inter("a", "b")}) AS total, bool_or({S.inter("a", "b")} / greatest(1.0, {S.area("b")}) >= 0.5) AS hit FROM r a JOIN images b ON a.page = b.page GROUP BY ALL)
 SELECT page, r.id, (1000 + row_number() OVER (PARTITION BY page ORDER BY r.id))::INT AS z FROM r LEFT JOIN o USING (page, id) WHERE NOT coalesce(hit OR total / {S.area("r")} >= 0.25, false) AND floor(x1) - floor(x0) >= 4 AND floor(y1) - floor(y0) >= 4""")
 def figure_overlap(v):
     r = v.regions.where("label IN ('figure', 'chart')")
     a, b = G.box("a"), G.box("b")
     inter = G.intersection_area(a, b)
-    o = J.pairs(r, v.shapes.where("id % 10 = 0"), F.lit(True)).groupBy("a.page", "a.id").agg(F.sum(inter).alias("total"), F.bool_or(inter / F.greatest(F.lit(1.0), G.area(b)) >= 0.5).alias("hit"))
+    o = J.pairs(r, v.images, F.lit(True)).groupBy("a.page", "a.id").agg(F.sum(inter).alias("total"), F.bool_or(inter / F.greatest(F.lit(1.0), G.area(b)) >= 0.5).alias("hit"))
     free = r.join(o, ["page", "id"], "left").where(~F.coalesce(F.col("hit") | (F.col("total") / G.area(G.box()) >= 0.25), F.lit(False)))
     free = free.where("floor(x1) - floor(x0) >= 4 AND floor(y1) - floor(y0) >= 4")
     return J.ranked(free, ["page"], F.col("id")).select("page", "id", (F.col("rank") + 1000).alias("z"))
@@ -262,13 +262,13 @@ def apply_edits(v):
 
 
 @query("join_resume", "JOIN-26 SRC-19 SRC-20 SRC-21 SORT-11", """
-WITH p AS (SELECT id, path FROM files WHERE regexp_matches(path, '(?i)\\.pdf$') AND NOT regexp_matches(path, '(^|/)\\.')), d AS (SELECT path, min(id) AS id FROM p GROUP BY path), prev AS (SELECT path, arg_max(status, id) AS status FROM files WHERE id % 4 <> 3 GROUP BY path)
+WITH p AS (SELECT id, path FROM files WHERE regexp_matches(path, '(?i)\\.pdf$') AND NOT regexp_matches(path, '(^|/)\\.')), d AS (SELECT path, min(id) AS id FROM p GROUP BY path), prev AS (SELECT path, arg_max(status, id) AS status FROM files WHERE cost IS NOT NULL GROUP BY path)
 SELECT d.path, (row_number() OVER (ORDER BY d.path))::INT AS ord, CASE WHEN prev.status = 'ok' THEN 'kept' WHEN prev.status = 'skipped' THEN 'skipped' ELSE 'run' END AS action FROM d LEFT JOIN prev USING (path)""")
 def resume(v):
     """Planned files against an earlier summary: what is kept, skipped and run, in plan order."""
     found = v.files.where(F.col("path").rlike("(?i)\\.pdf$") & ~F.col("path").rlike("(^|/)\\."))
     plan_ = found.select("path").distinct()
-    prev = v.files.where("id % 4 <> 3").groupBy("path").agg(F.max_by("status", "id").alias("status"))
+    prev = v.files.where("cost IS NOT NULL").groupBy("path").agg(F.max_by("status", "id").alias("status"))
     done = plan_.join(prev.where("status IN ('ok', 'skipped')"), "path").select("path", F.when(F.col("status") == "ok", "kept").otherwise("skipped").alias("action"))
     todo = plan_.join(done.select("path"), "path", "left_anti").withColumn("action", F.lit("run"))
     from pyspark.sql.window import Window

@@ -191,9 +191,9 @@ def plan_validation(v):
 
 
 @query("flt_edit_rows", "FLT-29 SET-05", """
-WITH e AS (SELECT page, id, id % 2 AS part FROM edits WHERE excluded OR id % 6 = 0) SELECT page, count(*) AS n_ids, string_agg(DISTINCT (id % 40)::VARCHAR, ',' ORDER BY (id % 40)::VARCHAR) AS ids, count(DISTINCT part) > 1 AS repeated FROM e GROUP BY page""")
+WITH e AS (SELECT page, id, id % 2 AS part FROM edits WHERE excluded OR role IS NULL) SELECT page, count(*) AS n_ids, string_agg(DISTINCT (id % 40)::VARCHAR, ',' ORDER BY (id % 40)::VARCHAR) AS ids, count(DISTINCT part) > 1 AS repeated FROM e GROUP BY page""")
 def edit_rows(v):
-    e = v.edits.where("excluded OR id % 6 = 0").withColumn("part", F.col("id") % 2)
+    e = v.edits.where("excluded OR role IS NULL").withColumn("part", F.col("id") % 2)
     ids = F.array_sort(F.array_distinct(F.transform(F.collect_list(F.col("id") % 40), lambda x: x.cast("string"))))
     return e.groupBy("page").agg(F.count(F.lit(1)).alias("n_ids"), F.array_join(ids, ",").alias("ids"), (F.count_distinct("part") > 1).alias("repeated"))
 
