@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import geometry_queries, join_queries, registry, rule_queries, scalar_queries, text_queries  # noqa: F401
+from lamella.plans import aggregate_queries, geometry_queries, join_queries, ledger_queries, page_queries, registry, rule_queries, scalar_queries, sequence_queries, source_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["geo_scaling"](spark, sf_dir)
+    return registry.QUERIES["page_report"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
