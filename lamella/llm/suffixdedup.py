@@ -9,8 +9,8 @@ of the corpus with one another:
    document has is not repeated. Minimizers (one in about 14 bytes) are the
    only thing that is shuffled for the whole corpus, packed by task.
 2. Runs of strings with a shared minimizer go, by minimizer, to shards.
-   A minimizer in very many documents is split: its strings travel by their
-   own hashes instead. Copies within a task are settled there.
+   A hot minimizer, in very many documents, is split: its strings travel by
+   their own hashes instead. Copies within a task are settled there.
 3. A shard's suffix array is made by Larsson-Sadakane refinement, its common
    prefixes by Kasai's scan; strings with a common prefix of LENGTH bytes or
    more form a class with a smallest document. Classes are merged over the
@@ -36,8 +36,11 @@ LENGTH = 50
 K = 24
 CHUNK = 8 << 20
 SHARD = 1 << 20
+PART_BYTES = 24 << 20
 LOCAL_HOT = 16
+#: A minimizer of more documents is hot; the bound rises with the corpus, so that MAX_HOT are hot at most.
 HOT = 20_000
+MAX_HOT = 1 << 20
 MAX_RUN = 63
 #: Minimizers are 64 bits less these; a chance agreement only costs a comparison.
 BITS = np.uint64(16)
@@ -119,13 +122,44 @@ def _unpacked(blob: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _bucket(ids: np.ndarray, parts: int) -> np.ndarray:
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+#: What tasks tell one another: documents (ids, each pair's place in ids), minimizers and how many documents each stands for.
+PACKED = "part int, direct boolean, ids binary, docs binary, hashes binary, weights binary"
+
+
+def _packed_pairs(part: np.ndarray, direct: bool, ids: np.ndarray, low: np.ndarray, weights: np.ndarray | None) -> list[tuple]:
+    """A row of PACKED for each part, of (document, minimizer) pairs sorted by minimizer."""
+    order = np.argsort(part, kind="stable")
+    part, ids, low = part[order], ids[order], low[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.array([0])
+    rows = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        used, local = np.unique(ids[a:b], return_inverse=True)
+        w = None if weights is None else _packed(weights[order][a:b].astype(np.uint64), 4)
+        rows.append((int(part[a]), direct, _packed(used.view(np.uint64), 8), _packed(local.astype(np.uint64), 4), _packed(np.diff(low[a:b], prepend=np.uint64(0)), 6), w))
+    return rows
+
+
+def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], names=["part", "direct", "ids", "docs", "hashes", "weights"])
+
+
+def _pairs_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, local, steps = (batch.column(k)[i].as_py() for k in (2, 3, 4))
+    return _unpacked(ids, 8).view(np.int64)[_unpacked(local, 4).astype(np.int64)], np.cumsum(_unpacked(steps, 6), dtype=np.uint64)
+
+
 def _minimizer_rows(parts: int, length: int):
-    """Per chunk and part: packed (minimizer, document) pairs, minimizers cut to 48 bits.
+    """Per chunk: its (document, minimizer) pairs, minimizers cut to 48 bits, packed by the minimizer's part.
 
     A minimizer that LOCAL_HOT documents of the chunk or more have is known to
-    be shared: those pairs go straight on (direct), and its part is told of two
-    documents and of their number. So no minimizer sends more than LOCAL_HOT
-    pairs of a chunk to one task.
+    be shared: those pairs go straight to their documents' buckets (direct),
+    and its part is told of two documents and of their number. So no minimizer
+    sends more than LOCAL_HOT pairs of a chunk to one task.
     """
 
     def scan(batches):
@@ -143,22 +177,13 @@ def _minimizer_rows(parts: int, length: int):
             n_docs = np.repeat(count, count)
             place = np.arange(len(low)) - np.repeat(start, count)
             hot = n_docs >= LOCAL_HOT
-            ids = np.array(ids, np.int64)
-            part = (low % np.uint64(parts)).astype(np.int64)
-            rows = []
-            for direct, chosen in ((False, ~hot | (place < 2)), (True, hot)):
-                x, o, p, w = low[chosen], owner[chosen], part[chosen], np.where(hot & (place == 0), n_docs - 1, 1)[chosen]
-                if direct:
-                    p = o % parts
-                order = np.argsort(p, kind="stable")
-                x, o, p, w = x[order], o[order], p[order], w[order]
-                cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1], True]) if len(p) else np.array([0])
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    used, local = np.unique(o[a:b], return_inverse=True)
-                    steps = np.diff(x[a:b], prepend=np.uint64(0)) if not direct else x[a:b]
-                    rows.append((int(p[a]), direct, _packed(ids[used].view(np.uint64), 8), _packed(local.astype(np.uint64), 4), _packed(steps, 6), _packed(w[a:b].astype(np.uint64), 4)))
+            doc = np.array(ids, np.int64)[owner] if len(low) else np.empty(0, np.int64)
+            told = ~hot | (place < 2)
+            weight = np.where(hot & (place == 0), n_docs - 1, 1)
+            rows = _packed_pairs((low[told] % np.uint64(parts)).astype(np.int64), False, doc[told], low[told], weight[told])
+            rows += _packed_pairs(_bucket(doc[hot], parts), True, doc[hot], low[hot], None)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], names=["part", "direct", "ids", "docs", "hashes", "weights"])
+                yield _packed_batch(rows)
 
     return scan
 
@@ -171,53 +196,66 @@ def _distinct_pairs(low: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
     return low[new], owner[new]
 
 
-def _shared_rows(batches):
-    """Of a part: each document's minimizers that another document has too (6 bytes each), and hot minimizers (doc null)."""
-    docs, hashes, weights = [], [], []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            direct, ids, local, steps, w = (batch.column(k)[i].as_py() for k in range(1, 6))
-            d = _unpacked(ids, 8).view(np.int64)[_unpacked(local, 4).astype(np.int64)]
-            h = _unpacked(steps, 6)
-            if direct:
-                yield _by_document(d, h)
-            else:
+def _shared_rows(parts: int, hot_documents: int):
+    """Of a part's pairs: those whose minimizer another document has too, packed by the
+    document's bucket; and the minimizers of more than hot_documents documents (part -1)."""
+
+    def scan(batches):
+        docs, hashes, weights = [], [], []
+        for batch in batches:
+            direct = batch.column(1).to_numpy(zero_copy_only=False)
+            if direct.any():
+                yield batch.filter(batch.column(1))
+            for i in np.flatnonzero(~direct).tolist():
+                d, h = _pairs_of(batch, i)
                 docs.append(d)
-                hashes.append(np.cumsum(h, dtype=np.uint64))
-                weights.append(_unpacked(w, 4).astype(np.int64))
-    if not docs:
+                hashes.append(h)
+                weights.append(_unpacked(batch.column(5)[i].as_py(), 4).astype(np.int64))
+        if not docs:
+            return
+        d, h, w = np.concatenate(docs), np.concatenate(hashes), np.concatenate(weights)
+        docs, hashes, weights = [], [], []
+        order = np.lexsort((d, h))
+        d, h, w = d[order], h[order], w[order]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.r_[start, len(h)])
+        shared = np.repeat(d[start] != d[start + size - 1], size)
+        rows = _packed_pairs(_bucket(d[shared], parts), False, d[shared], h[shared], None)
+        hot = np.add.reduceat(w, start) > hot_documents
+        if hot.any():
+            rows.append((-1, False, None, None, _six(h[start[hot]]), None))
+        if rows:
+            yield _packed_batch(rows)
+
+    return scan
+
+
+def _merged_documents(batches):
+    """Of a bucket: a row for each document, with its shared minimizers (6 bytes each)."""
+    pairs = [_pairs_of(b, i) for b in batches for i in range(b.num_rows)]
+    if not pairs:
         return
-    d, h, w = np.concatenate(docs), np.concatenate(hashes), np.concatenate(weights)
-    order = np.lexsort((d, h))
-    d, h, w = d[order], h[order], w[order]
-    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    size = np.diff(np.r_[start, len(h)])
-    shared = np.repeat(d[start] != d[start + size - 1], size)
-    yield _by_document(d[shared], h[shared])
-    hot = np.add.reduceat(w, start) > HOT
-    if hot.any():
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([_six(h[start[hot]])], pa.binary())], names=["doc", "hashes"])
+    docs, hashes = (np.concatenate(x) for x in zip(*pairs))
+    order = np.argsort(docs, kind="stable")
+    docs, hashes = docs[order], hashes[order]
+    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True])
+    for at in range(0, len(cuts) - 1, 5000):
+        own = cuts[at : at + 5001]
+        blobs = [_six(hashes[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[own[:-1]]), pa.array(blobs, pa.binary())], names=["doc", "shared"])
 
 
 def _six(hashes: np.ndarray) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _from_six(blobs: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+def _from_six(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, 6)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :6] = raw
     return out.view("<u8").ravel()
 
 
-def _by_document(docs: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True]) if len(docs) else np.array([0])
-    blobs = [_six(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(docs[cuts[:-1]] if len(docs) else docs, pa.int64()), pa.array(blobs, pa.binary())], names=["doc", "hashes"])
-
-
 # ---------------------------------------------------------------- suffix arrays
 
 
@@ -234,7 +272,7 @@ def suffix_array(data: np.ndarray, row: np.ndarray, depth: int) -> tuple[np.ndar
     used = np.flatnonzero(np.bincount(data, minlength=256))
     alphabet[used] = np.arange(1, len(used) + 1, dtype=np.uint64)
     width = int(len(used)).bit_length()
-    known = max(1, (64 - bits) // width)
+    known = max(1, min(n, (64 - bits) // max(1, width)))
     left = np.repeat(np.flatnonzero(np.r_[row[1:] != row[:-1], True]) + 1, np.bincount(row - row[0])[np.bincount(row - row[0]) > 0]) - np.arange(n) if n else np.empty(0, np.int64)
     code = alphabet[data]
     key = np.zeros(n, np.uint64)
@@ -307,15 +345,27 @@ def shard_classes(data: np.ndarray, row: np.ndarray, row_end: np.ndarray, doc: n
     return whole, number, whole[first], least
 
 
+def _by_document(doc: np.ndarray, own: np.ndarray, start: np.ndarray, mask: np.ndarray):
+    """Batches of (doc_id, lm_row, starts, masks): the repeated strings found, a row for each document."""
+    order = np.lexsort((own, doc))
+    doc, own, start, mask = doc[order], own[order], start[order].astype("<i4"), mask[order].astype("<i8")
+    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]), True]) if len(doc) else np.array([0])
+    for at in range(0, len(cuts) - 1, 5000):
+        c = cuts[at : at + 5001].tolist()
+        blobs = [[x[a:b].tobytes() for a, b in zip(c[:-1], c[1:])] for x in (start, mask)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), pa.array(own[c[:-1]]), *[pa.array(x, pa.binary()) for x in blobs]], names=["doc_id", "lm_row", "starts", "masks"])
+
+
 def _settle(length: int):
     def scan(batches):
         parts: list[tuple] = []
         distinct: dict[bytes, int] = {}
         numbers: list[np.ndarray] = []
         for batch in batches:
-            done = batch.filter(pc.is_null(batch.column(4)))
-            if done.num_rows:  # settled in its task
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), done.column(3), done.column(5)], names=["doc_id", "lm_row", "start", "mask"])
+            known = pc.is_valid(batch.column(5))
+            if pc.any(known).as_py():  # settled in its task
+                done = batch.filter(known)
+                yield pa.RecordBatch.from_arrays([done.column(k) for k in (1, 2, 5, 6)], names=["doc_id", "lm_row", "starts", "masks"])
             batch = batch.filter(pc.is_valid(batch.column(4)))
             pieces = batch.column(4).to_pylist()
             numbers.append(np.array([distinct.setdefault(p, len(distinct)) for p in pieces], np.int64))
@@ -333,54 +383,74 @@ def _settle(length: int):
         # A text that no other text shares a minimizer with is repeated as a whole or not at all.
         _, group, members = np.unique(keys, return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(members[group] > 1)
-        least_at = _least_documents([texts[i] for i in mixed.tolist()], first[mixed], length) if len(mixed) else []
-        place = np.full(len(texts), -1)
-        place[mixed] = np.arange(len(mixed))
         whole = (np.int64(1) << (size - length + 1)) - 1
-        mask = np.where((place[number] < 0) & (first[number] < doc), whole[number], 0)
-        for i in np.flatnonzero(place[number] >= 0).tolist():
-            least = least_at[place[number[i]]]
-            gone = np.flatnonzero(least < doc[i])
-            mask[i] = int((np.int64(1) << gone).sum()) if len(gone) else 0
+        mask = np.where((members[group[number]] == 1) & (first[number] < doc), whole[number], 0)
+        if len(mixed):
+            least, offset = _least_documents([texts[i] for i in mixed.tolist()], first[mixed], length)
+            place = np.full(len(texts), -1)
+            place[mixed] = np.arange(len(mixed))
+            place = place[number]
+            rows = np.flatnonzero(place >= 0)
+            bit = np.arange(MAX_RUN)
+            for a in range(0, len(rows), 50_000):
+                r = rows[a : a + 50_000]
+                at = offset[place[r]][:, None] + bit
+                inside = bit < (size[number[r]] - length + 1)[:, None]
+                gone = inside & (least[np.where(inside, at, 0)] < doc[r][:, None])
+                mask[r] = (gone.astype(np.int64) << bit).sum(axis=1)
         hit = np.flatnonzero(mask)
-        for a in range(0, len(hit), 50_000):
-            h = hit[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[h]), pa.array(own[h]), pa.array(start[h].astype(np.int32)), pa.array(mask[h])], names=["doc_id", "lm_row", "start", "mask"])
+        yield from _by_document(doc[hit], own[hit], start[hit], mask[hit])
 
     return scan
 
 
-def _least_documents(pieces: list[bytes], doc: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece: the smallest document of each string that starts in it, over all pieces.
+def string_marks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """128 bits of each string of `length` bytes at the given starts, as two words."""
+    words = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    at = [*range(0, length - 7, 8), length - 8] if length >= 8 else [0]
+    cut = np.uint64((1 << 8 * min(8, length)) - 1)
+    out = np.zeros((len(starts), 2), np.uint64)
+    for n in (0, 1):
+        h = np.full(len(starts), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[n], np.uint64)
+        odd = np.uint64((0xBF58476D1CE4E5B9, 0x94D049BB133111EB)[n])
+        for k in at:
+            h = (h ^ (words[starts + k] & cut)) * odd
+            h ^= h >> np.uint64(31 - 2 * n)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x2545F4914F6CDD1D)
+        out[:, n] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def _least_documents(pieces: list[bytes], doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least, offset): the smallest document of the string at each start, over all pieces;
+    the starts of piece i are from offset[i] on.
 
     Pieces are cut into shards of about SHARD bytes, each with a suffix array;
     the shards' classes are then merged by binary search.
     """
     size = np.array(list(map(len, pieces)), np.int64)
+    offset = np.r_[0, np.cumsum(size)]
     cuts = np.unique(np.r_[0, np.searchsorted(np.cumsum(size), np.arange(SHARD, size.sum() + SHARD, SHARD), side="right"), len(size)])
     shards = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        raw = b"".join(pieces[a:b])
-        row, ends = np.repeat(np.arange(b - a), size[a:b]), np.cumsum(size[a:b])
-        at, number, first, least = shard_classes(np.frombuffer(raw, np.uint8), row, np.repeat(ends, size[a:b]), doc[a:b], length)
-        # Classes of equal digest are taken as one: 128 bits of the string itself.
-        marks = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s : s + length]) for s in first.tolist()]), "V16")
-        shards.append((a, b, ends, at, number, marks, least))
-    marks, leasts = np.concatenate([s[5] for s in shards]), np.concatenate([s[6] for s in shards])
-    low = np.ascontiguousarray(marks).view("<u8").reshape(-1, 2)
-    order = np.lexsort((low[:, 1], low[:, 0]))
-    table = low[order]
+        data = np.frombuffer(b"".join(pieces[a:b]), np.uint8)
+        ends = offset[a + 1 : b + 1] - offset[a]
+        row = np.repeat(np.arange(b - a), size[a:b])
+        at, number, first, least = shard_classes(data, row, np.repeat(ends, size[a:b]), doc[a:b], length)
+        shards.append((offset[a], at, number, string_marks(data, first, length) if len(cuts) > 2 else None, least))
+    out = np.full(int(offset[-1]), np.iinfo(np.int64).max)
+    if len(shards) == 1:
+        _, at, number, _, least = shards[0]
+        out[at] = least[number]
+        return out, offset
+    marks, leasts = np.concatenate([s[3] for s in shards]), np.concatenate([s[4] for s in shards])
+    order = np.lexsort((marks[:, 1], marks[:, 0]))
+    table = marks[order]
     head = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]).any(axis=1)])
     known, best = table[head], np.minimum.reduceat(leasts[order], head)
-    out: list[np.ndarray] = []
-    for a, b, ends, at, number, marks, least in shards:
-        own = np.ascontiguousarray(marks).view("<u8").reshape(-1, 2)
-        found = _search(known, own)
-        of_start = np.empty(int(ends[-1]), np.int64)
-        of_start[at] = np.minimum(least, best[found])[number]
-        begins = ends - size[a:b]
-        out.extend(of_start[s : e - length + 1] for s, e in zip(begins.tolist(), ends.tolist()))
-    return out
+    for begin, at, number, own, _ in shards:
+        out[begin + at] = best[_search(known, own)][number]
+    return out, offset
 
 
 def _search(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -396,70 +466,65 @@ def _search(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the operator
 
 
-def _run_rows(length: int):
-    """Runs of strings with shared minimizers: (key, doc_id, lm_row, start, piece, mask).
+#: A run: its piece of text, or, settled in its task for a whole document, starts and masks.
+RUNS = "key long, doc_id long, lm_row long, start int, piece binary, starts binary, masks binary"
+
+
+def _run_rows(length: int, crowded):
+    """Runs of strings with shared minimizers, as RUNS.
 
-    piece is null where the run is settled already: a smaller document of the
-    same task has it. A hot minimizer's strings go one by one, by their hashes.
+    A run that a smaller document of the same task has is settled already. A
+    hot minimizer's strings (crowded) go one by one, by their hashes.
     """
 
     def scan(batches):
-        for ids, more, texts in chunks(batches, length, 0, 1, (2, 3, 4)):
+        hot_minimizers = crowded.value
+        for ids, more, texts in chunks(batches, length, 0, 1, (2, 3)):
             c = Chunk(texts, length)
             starts = c.ends - c.sizes
             flagged = np.zeros(len(c.low), bool)
-            hot = np.zeros(len(c.low), bool)
             edges = np.searchsorted(c.owner, np.arange(len(texts) + 1))
-            for i, (_, shared, crowded) in enumerate(more):
+            for i, (_, shared) in enumerate(more):
                 own = slice(edges[i], edges[i + 1])
                 flagged[own] = np.isin(c.low[own], _from_six(shared))
-                if crowded is not None and len(crowded):
-                    hot[own] = np.isin(c.low[own], _from_six(crowded))
+            hot = flagged & np.isin(c.low, hot_minimizers) if len(hot_minimizers) else np.zeros(len(c.low), bool)
             raw = c.data.tobytes()
+            at, first, last = _cut_runs(np.flatnonzero(flagged), c.first, c.last, hot)
+            doc = np.array(ids, np.int64)[c.owner[at]]
+            tail = length - 1
+            pieces = [raw[a : b + tail] for a, b in zip(first.tolist(), last.tolist())]
+            # By document, so that the first run with a piece is the one to keep.
+            order = np.argsort(doc, kind="stable").tolist()
             best: dict[bytes, int] = {}
-            runs = []
-            for j in np.flatnonzero(flagged).tolist():
-                a, b, most = int(c.first[j]), int(c.last[j]), 1 if hot[j] else MAX_RUN
-                for s in range(a, b, most):
-                    runs.append((j, s, min(b, s + most)))
-            for n, (j, s, e) in enumerate(runs):
-                piece = raw[s : e + length - 1]
-                k = best.get(piece)
-                if k is None or ids[c.owner[j]] < ids[c.owner[runs[k][0]]]:
-                    best[piece] = n
-            rows = []
-            for n, (j, s, e) in enumerate(runs):
-                piece = raw[s : e + length - 1]
-                o = c.owner[j]
-                at = int(s - starts[o])
-                if best[piece] == n:
-                    key = xxhash.xxh3_64_intdigest(piece) if hot[j] else int(c.low[j])
-                    rows.append((key - (1 << 64) if key >> 63 else key, ids[o], more[o][0], at, piece, None))
-                elif ids[o] > ids[c.owner[runs[best[piece]][0]]]:
-                    rows.append((xxhash.xxh3_64_intdigest(n.to_bytes(8, "little")) >> 1, ids[o], more[o][0], at, None, (1 << (e - s)) - 1))
-            for a in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[a : a + 20_000]), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["key", "doc_id", "lm_row", "start", "piece", "mask"])
+            for n in order:
+                best.setdefault(pieces[n], n)
+            chief = np.fromiter(map(best.__getitem__, pieces), np.int64, len(pieces))
+            begin = (first - starts[c.owner[at]]).astype(np.int64)
+            own = np.array([m[0] for m in more], np.int64)[c.owner[at]]
+            done = np.flatnonzero(doc > doc[chief])
+            for b in _by_document(doc[done], own[done], begin[done], (np.int64(1) << (last - first)[done]) - 1):
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), b.column(2), b.column(3)], names=["key", "doc_id", "lm_row", "start", "piece", "starts", "masks"])
+            sent = np.flatnonzero(doc == doc[chief])
+            key = c.low[at].view(np.int64).copy()
+            for n in sent[hot[at[sent]]].tolist():
+                key[n] = xxhash.xxh3_64_intdigest(pieces[n]) >> 1
+            for a in range(0, len(sent), 20_000):
+                r = sent[a : a + 20_000]
+                none = pa.nulls(len(r), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(doc[r]), pa.array(own[r]), pa.array(begin[r].astype(np.int32)), pa.array([pieces[n] for n in r.tolist()], pa.binary()), none, none], names=["key", "doc_id", "lm_row", "start", "piece", "starts", "masks"])
 
     return scan
 
 
-def _hot_of(shared: DataFrame, hot: DataFrame) -> DataFrame:
-    """(doc, crowded): each document's hot minimizers, by a join on the minimizer."""
-
-    def single(batches):
-        for batch in batches:
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = _from_six([blob]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(values), pa.int64()), pa.array(values)], names=["doc", "hash"])
-
-    def six(batches):
-        for batch in batches:
-            blobs = [_six(np.array([x], np.uint64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["doc", "hashes"])
-
-    pairs = shared.mapInArrow(single, "doc long, hash long")
-    found = pairs.join(hot.mapInArrow(single, "doc long, hash long").select("hash").distinct(), "hash", "left_semi")
-    return found.select("doc", "hash").mapInArrow(six, "doc long, hashes binary").groupBy("doc").agg(F.collect_list("hashes").alias("crowded"))
+def _cut_runs(chosen: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end): the chosen runs in pieces of MAX_RUN starts at most, hot ones of a single start."""
+    most = np.where(hot[chosen], 1, MAX_RUN)
+    n = -(-(last[chosen] - first[chosen]) // most)
+    run = np.repeat(chosen, n)
+    step = (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)) * np.repeat(most, n)
+    begin = first[run] + step
+    return run, begin, np.minimum(begin + np.repeat(most, n), last[run])
 
 
 def removed_spans(n_bytes: int, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -493,26 +558,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # A part of minimizers is held in memory by one task: about 8 bytes for 14 bytes of text.
     total = long_.agg(F.sum(F.octet_length("lm_text"))).first()[0] or 0
-    parts = int(max(8, total // (24 << 20)))
-    packed = long_.select("doc_id", "lm_text").mapInArrow(_minimizer_rows(parts, length), "part int, direct boolean, ids binary, docs binary, hashes binary, weights binary")
-    shared = cut(packed.repartition(parts, "part").mapInArrow(_shared_rows, "doc long, hashes binary"))
-    by_doc = shared.where("doc IS NOT NULL").groupBy("doc").agg(F.collect_list("hashes").alias("shared"))
-    by_doc = by_doc.withColumn("crowded", F.array().cast("array<binary>"))
-    hot = shared.where("doc IS NULL")
-    if not hot.isEmpty():
-        by_doc = by_doc.drop("crowded").join(_hot_of(shared.where("doc IS NOT NULL"), hot), "doc", "left")
+    parts = int(max(8, total // PART_BYTES))
+    hot_documents = max(HOT, total // 7 // MAX_HOT)
+    packed = long_.select("doc_id", "lm_text").mapInArrow(_minimizer_rows(parts, length), PACKED)
+    shared = cut(packed.repartition(parts, "part").mapInArrow(_shared_rows(parts, hot_documents), PACKED))
+    # A hot minimizer stands for more than hot_documents pairs, of at most a seventh of the bytes: there are MAX_HOT at most.
+    crowded = [_from_six(r.hashes) for r in shared.where("part = -1").select("hashes").toLocalIterator()]
+    crowded = spark.sparkContext.broadcast(np.sort(np.concatenate([np.empty(0, np.uint64), *crowded])))
+    by_doc = shared.where("part >= 0").repartition(parts, "part").select("part", "direct", "ids", "docs", "hashes").mapInArrow(_merged_documents, "doc long, shared binary")
     whole = copies.groupBy("doc_id").agg(F.collect_set("lm_row").alias("whole")).withColumnRenamed("doc_id", "copy_of")
-    by_doc = by_doc.join(whole, by_doc.doc == whole.copy_of, "left").select("doc", "shared", "crowded", "whole")
+    by_doc = by_doc.join(whole, by_doc.doc == whole.copy_of, "left").select("doc", "shared", "whole")
 
     # One exchange of the texts, by document, serves the runs and the removal.
     placed = rows.repartition(int(max(parts, spark.sparkContext.defaultParallelism)), "doc_id")
     suspects = placed.join(by_doc, placed.doc_id == by_doc.doc).where(~F.coalesce(F.array_contains("whole", F.col("lm_row")), F.lit(False)))
-    runs = suspects.select("doc_id", "lm_text", "lm_row", "shared", "crowded").mapInArrow(_run_rows(length), "key long, doc_id long, lm_row long, start int, piece binary, mask long")
-    settled = runs.repartition("key").mapInArrow(_settle(length), "doc_id long, lm_row long, start int, mask long")
-    hits = settled.unionByName(copies.select("doc_id", "lm_row", F.lit(-1).alias("start"), F.lit(0).cast("long").alias("mask")))
-    gone = hits.groupBy("doc_id").agg(F.collect_set(F.struct("lm_row", "start", "mask")).alias("hits")).withColumnRenamed("doc_id", "lm_id")
+    runs = suspects.select("doc_id", "lm_text", "lm_row", "shared").mapInArrow(_run_rows(length, crowded), RUNS)
+    settled = runs.repartition("key").mapInArrow(_settle(length), "doc_id long, lm_row long, starts binary, masks binary")
+    hits = settled.unionByName(copies.select("doc_id", "lm_row", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("masks")))
+    gone = hits.groupBy("doc_id").agg(F.collect_list(F.struct("lm_row", "starts", "masks")).alias("hits")).withColumnRenamed("doc_id", "lm_id")
     marked = placed.join(gone, placed.doc_id == gone.lm_id, "left").select(F.col("doc_id").cast(id_type).alias("doc_id"), "lm_text", "lm_row", "hits")
-    nameless = all_rows.where("doc_id IS NULL").select("doc_id", "lm_text", "lm_row", F.lit(None).cast("array<struct<lm_row:bigint,start:int,mask:bigint>>").alias("hits"))
+    nameless = all_rows.where("doc_id IS NULL").select("doc_id", "lm_text", "lm_row", F.lit(None).cast("array<struct<lm_row:bigint,starts:binary,masks:binary>>").alias("hits"))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches):
@@ -522,15 +587,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 sizes, spans, kept = [], [], []
                 for text, own, hits in zip(b.column(1), b.column(2), b.column(3)):
                     raw = text.as_py()
-                    starts, whole = np.empty(0, np.int64), False
-                    if hits.is_valid and len(hits):
-                        mine = hits.values.field("lm_row").to_numpy() == own.as_py()
-                        first = hits.values.field("start").to_numpy().astype(np.int64)[mine]
-                        mask = hits.values.field("mask").to_numpy()[mine]
-                        whole = bool((first < 0).any())
-                        on = (mask[:, None] >> np.arange(MAX_RUN)) & 1
-                        starts = (first[:, None] + np.arange(MAX_RUN))[on == 1]
-                    a, e = (np.array([0]), np.array([len(raw)])) if whole else removed_spans(len(raw), starts, length)
+                    starts, whole = [np.empty(0, np.int64)], False
+                    for hit in hits.as_py() or ():
+                        if hit["lm_row"] != own.as_py():
+                            continue
+                        if hit["starts"] is None:
+                            whole = True
+                            continue
+                        first, mask = np.frombuffer(hit["starts"], "<i4").astype(np.int64), np.frombuffer(hit["masks"], "<i8")
+                        starts.append((first[:, None] + np.arange(MAX_RUN))[((mask[:, None] >> np.arange(MAX_RUN)) & 1) == 1])
+                    a, e = (np.array([0]), np.array([len(raw)])) if whole else removed_spans(len(raw), np.concatenate(starts), length)
                     sizes.append(len(raw))
                     spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, e)])
                     kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*a.tolist(), len(raw)])))
