@@ -3,7 +3,10 @@
 Texts are folded first: lower case, compatibility forms, letters of other
 scripts that look Latin, digits and signs that stand for letters, and letters
 set apart by dots or dashes. The lexicon (words and word beginnings, with
-weights) and phrases that excuse a term are learned from labelled documents.
+weights) and phrases that excuse a term are learned from labelled documents,
+of near copies from one: else chance words of a copied text would weigh. A
+term counts by its presence or, if clean texts hold it now and then, by its
+repetition.
 The summed weights, also relative to the text's length, give the score.
 """
 
@@ -17,6 +20,7 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +63,24 @@ def fold(text: str | None) -> str:
     return f" {_other.sub(' ', text).strip()} "
 
 
-def terms(folded: str) -> set[str]:
-    """Words, as ' word ', and their beginnings, as ' begin'."""
-    out = set()
-    for w in set(folded.split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in PREFIXES if len(w) > n)
+def terms(folded: str) -> Counter:
+    """How often words, as ' word ', and their beginnings, as ' begin', stand in a text."""
+    out: Counter = Counter()
+    for w, n in Counter(folded.split()).items():
+        out[f" {w} "] += n
+        for k in PREFIXES:
+            if len(w) > k:
+                out[f" {w[:k]}"] += n
     return out
 
 
+def copy_keys(folded: str) -> tuple[int, int]:
+    """Two keys that near copies share with high probability: smallest hashes of five-word shingles."""
+    words = folded.split()
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return tuple(min(xxhash.xxh3_64_intdigest(s, seed) for s in shingles) >> 1 for seed in (1, 2))
+
+
 class Lexicon:
     """weights by term, excused phrases, and the coefficients of the score."""
 
@@ -117,18 +130,24 @@ def _squash(z: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def choose(bad: Counter, good: Counter, n_bad: int, n_good: int) -> dict[str, float]:
-    """Terms that mark toxic documents beyond chance (likelihood ratio), with their log odds."""
+def log_odds(a: int, b: int, n_bad: int, n_good: int) -> float:
+    """Log odds of a of n_bad against b of n_good; 0 unless they are high and beyond chance (likelihood ratio)."""
+    if a < 3:
+        return 0.0
+    odds = math.log((a + 0.5) / (n_bad + 1)) - math.log((b + 0.5) / (n_good + 1))
+    p = (a + b) / (n_bad + n_good)
+    ratio = 2 * sum(x * math.log(x / e) for x, e in ((a, n_bad * p), (b, n_good * p)) if x)
+    return odds if odds > math.log(LEAST_ODDS) and ratio > EVIDENCE else 0.0
+
+
+def choose(bad: dict, good: dict, n_bad: int, n_good: int) -> dict[str, float]:
+    """Weights of the terms that mark toxic documents. bad, good: documents with a term once and twice or more, by term."""
     out = {}
-    for t, a in bad.items():
-        b = good.get(t, 0)
-        if a < 3:
-            continue
-        odds = math.log((a + 0.5) / (n_bad + 1)) - math.log((b + 0.5) / (n_good + 1))
-        p = (a + b) / (n_bad + n_good)
-        ratio = 2 * sum(x * math.log(x / e) for x, e in ((a, n_bad * p), (b, n_good * p)) if x)
-        if odds > math.log(LEAST_ODDS) and ratio > EVIDENCE:
-            out[t] = min(MAX_WEIGHT, odds)
+    for t, (once, twice) in bad.items():
+        b1, b2 = good.get(t, (0, 0))
+        w = max(log_odds(once, b1, n_bad, n_good), log_odds(twice, b2, n_bad, n_good) / 2)
+        if w:
+            out[t] = min(MAX_WEIGHT, w)
     # A term says no more than a shorter beginning of it that weighs as much.
     return {t: w for t, w in out.items() if not any(out.get(t[: n + 1], 0) >= w for n in PREFIXES if n + 1 < len(t.rstrip()))}
 
@@ -170,28 +189,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             at = (1 << 63) - 1 if part == 1 else int((2 * part - 1) * 2**63)
             chosen = chosen | ((F.col("toxic") == label) & (F.col("h") <= F.lit(at)))
     picked = F.broadcast(marks.where(chosen).select("doc_id", "toxic"))  # about 2 * sample rows of two numbers
-    known = stored(docs.where("text IS NOT NULL").select("doc_id", "text").join(picked, "doc_id").select("toxic", "text"))
+
+    def keys(batches):
+        for batch in batches:
+            k = [copy_keys(fold(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x[i] for x in k], pa.int64()) for i in (0, 1)]], names=["toxic", "text", "k1", "k2"])
+
+    labelled = docs.where("text IS NOT NULL").select("doc_id", "text").join(picked, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    known = stored(labelled.mapInArrow(keys, "toxic int, text string, k1 long, k2 long").dropDuplicates(["toxic", "k1"]).dropDuplicates(["toxic", "k2"]).select("toxic", "text"))
     n_rows = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_good, n_bad = n_rows.get(0, 0), n_rows.get(1, 0)
 
     def count_terms(only: frozenset | None):
         def scan(batches):
-            found: Counter = Counter()
+            once: Counter = Counter()
+            twice: Counter = Counter()
             for batch in batches:
                 for x in batch.column(1):
-                    t = terms(fold(x.as_py()))
-                    found.update(t if only is None else t & only)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"])
+                    found = terms(fold(x.as_py()))
+                    held = found.keys() if only is None else found.keys() & only
+                    once.update(held)
+                    twice.update(t for t in held if found[t] > 1)
+            if once:
+                yield pa.RecordBatch.from_arrays([pa.array(once.keys(), pa.string()), pa.array(once.values(), pa.int64()), pa.array([twice[t] for t in once], pa.int64())], names=["term", "once", "twice"])
 
         return scan
 
-    def totals(rows: DataFrame, only: frozenset | None, least: int) -> Counter:
-        got = rows.mapInArrow(count_terms(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return Counter(dict(map(tuple, got.collect())))
+    def totals(rows: DataFrame, only: frozenset | None, least: int) -> dict:
+        got = rows.mapInArrow(count_terms(only), "term string, once long, twice long").groupBy("term").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).where(F.col("once") >= least)
+        return {r.term: (r.once, r.twice) for r in got.collect()}
 
     bad = totals(known.where("toxic = 1"), None, 3)
-    good = totals(known.where("toxic = 0"), frozenset(bad), 1) if bad else Counter()
+    good = totals(known.where("toxic = 0"), frozenset(bad), 1) if bad else {}
     weights = choose(bad, good, n_bad, n_good)
     draft = Lexicon(weights, set(), np.zeros(4))
 

@@ -25,7 +25,7 @@ def test_folding():
     assert toxicity.fold("ІDІОТ") == " idiot "  # Cyrillic letters
     assert toxicity.fold("i.d.i.o.t and i-d-i-o-t") == " idiot and idiot "
     assert toxicity.fold("ＩＤＩＯＴ") == " idiot "
-    assert toxicity.fold(None) == toxicity.fold(" 12 ") .strip() + " " or toxicity.fold(None) == " "
+    assert toxicity.fold(None) == toxicity.fold("") == " "
 
 
 def learned(spark, frame, prose):
@@ -44,6 +44,18 @@ def test_learned_terms_disguises_and_excuses(spark, frame, prose):
     assert lexicon.score(None) == lexicon.score("") < 0.5
 
 
+def test_near_copies_teach_as_one(spark, frame, prose):
+    copy = prose(60, 3) + " zorbwex zorbwex"
+    rows = [(i, f"{copy} {i}", "en", "web") for i in range(60)] + [(1000 + i, prose(40, 1000 + i), "en", "web") for i in range(200)]
+    labels = spark.createDataFrame([(r[0], 0, int(r[0] < 1000)) for r in rows], "doc_id long, quality int, toxic int")
+    assert not any("zorb" in t for t in toxicity.train(frame(rows), labels).weights)
+
+
+def test_repeated_terms_weigh_where_single_ones_do_not():
+    assert toxicity.choose({" a ": (60, 50)}, {" a ": (100, 2)}, 100, 1000)[" a "] > 1
+    assert toxicity.choose({" a ": (60, 5)}, {" a ": (100, 2)}, 100, 1000) == {}
+
+
 def test_odd_rows(spark, frame, prose, odd_rows):
     lexicon = learned(spark, frame, prose)
     rows = toxicity.rate(frame(odd_rows, clash=True), lexicon).collect()
