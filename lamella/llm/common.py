@@ -32,6 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def packed(docs: DataFrame, apart: list[str]) -> DataFrame:
+    """The columns `apart`, and all others in a struct lm_doc: so no name of theirs meets one of an operator's own."""
+    others = [docs[f"`{c}`"].alias(c) for c in docs.columns if c not in apart]
+    return docs.select(*apart, F.struct(*others or [F.lit(True).alias("none")]).alias("lm_doc"))
+
+
+def column_of(name: str, apart: list[str]) -> Column:
+    """A column of the frame that packed() was given."""
+    return F.col(name) if name in apart else F.col("lm_doc").getField(name).alias(name)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage, on storage that outlives executors."""
     shared_folder(df.sparkSession)

@@ -17,8 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import column_of, packed, stored
 
 #: Bytes to their lower case, and those in no word to a blank. Bytes over 0x7F, parts of other characters, are in words.
 FOLD = bytes(i if 48 <= i < 58 or 97 <= i < 123 or i > 127 else i + 32 if 65 <= i < 91 else 32 for i in range(256))
@@ -172,8 +173,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = docs.sparkSession
     kept = [x for x in keep or [] if x != "doc_id"]
     head = docs.select("doc_id", *kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema)
-    schema += ", lm_bytes binary, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
+    schema = T.StructType([*head.schema, *T._parse_datatype_string("lm_bytes binary, n_words long, hits array<struct<start:int,end:int>>, items array<string>")])
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     names = [*head.columns, "lm_bytes", "n_words", "hits", "items"]
     at = len(head.columns)
@@ -244,7 +244,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     An n_chars column of a cut text is counted anew. Null texts stay.
     """
     names = docs.columns
-    marked = benchmark_hits(docs, benchmark, window, keep=names)
+    apart = ["doc_id", "text"]
+    marked = benchmark_hits(packed(docs, apart), benchmark, window, keep=["text", "lm_doc"])
     n_hit = F.aggregate("hits", F.lit(0), lambda n, h: n + h["end"] - h["start"])
     left = marked.where(n_hit <= max_coverage * F.col("n_words"))
 
@@ -253,11 +254,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         return pd.Series([t if t is None or not len(h) else removed_spans(t, h) for t, h in zip(text, hits)], dtype=object)
 
     hit = F.size("hits") > 0
-    new = left.withColumn("text", cut_text("text", "hits"))
+    columns = {c: column_of(c, apart) for c in names}
     if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        new = new.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return new.select(*names)
+        columns["n_chars"] = F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return left.withColumn("text", cut_text("text", "hits")).select(*[c.alias(n) for n, c in columns.items()])
 
 
 def item_digest(items: Column) -> Column:

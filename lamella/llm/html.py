@@ -15,6 +15,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen frame basefont bgsound command".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
@@ -370,11 +371,12 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
     memory.
     """
     kept = [c for c in (keep or [c for c in pages.columns if c != html_col]) if c != text_col]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema]
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(pages.select(*kept).schema)] + [T.StructField("text", T.StringType())])
 
     def scan(batches):
         for batch in batches:
             text = pa.array((extract(x.as_py()) for x in batch.column(len(kept))), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], text], names=[*kept, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], text], names=schema.names)
 
-    return pages.select(*kept, F.col(html_col).alias("lm_html")).mapInArrow(scan, ", ".join([*fields, f"`{text_col}` string"]))
+    rows = pages.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(html_col).alias("html"))
+    return rows.mapInArrow(scan, schema).toDF(*kept, text_col)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold_remainder
 
@@ -177,24 +178,25 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """docs' columns `keep`, with lang_pred string and score double (0 to 1).
 
-    A null text, or one without a letter, has lang_pred `und` and score 0; so
+    Kept columns that are named lang_pred or score are replaced. A null text, or one without a letter, has lang_pred `und` and score 0; so
     have all texts if there is no model. Whole texts are read, in
     pieces, so memory is bounded by a batch of bits.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    names = [*keep, "lang_pred", "score"]
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.select(*keep).schema)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def scan(batches):
         score = Scorer(shared.value) if shared.value else None
         for batch in batches:
             n = batch.num_rows
-            langs, scores = score(x.as_py() for x in batch.column(len(keep))) if score else ([NONE] * n, [0.0] * n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+            langs, scores = score(x.as_py() for x in batch.column(at)) if score else ([NONE] * n, [0.0] * n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    rows = docs.select(*keep, F.col("text").alias("lm_text"))
-    return rows.mapInArrow(scan, ", ".join([*fields, "lang_pred string", "score double"]))
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], *[F.col("text").alias("lm_text")] * (at == len(keep)))
+    return rows.mapInArrow(scan, schema).toDF(*keep, "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,7 +21,7 @@ def test_held_out_accuracy(spark):
 
 def languages(n):
     parts = {"xx": "sha lomi wento karu bel asti", "yy": "ščo žaby říkat pyv ďobe žlun", "zz": "οδος λεω μιαν τηνα κατω"}
-    return [(100 * k + i, " ".join(p.split()[(i + j) % len(p.split())] for j in range(12)), lang, "web") for k, (lang, p) in enumerate(parts.items()) for i in range(n)]
+    return [(2000 + 100 * k + i, " ".join(p.split()[(i + j) % len(p.split())] for j in range(12)), lang, "web") for k, (lang, p) in enumerate(parts.items()) for i in range(n)]
 
 
 def test_odd_rows(frame, odd_rows):
