@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 MIN_WORDS = 5
 _space = re.compile(r"\s+")
@@ -82,6 +84,7 @@ def line_dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
 
     found = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(scan, f"doc_id {id_type}, lm_row long, no int, d1 long, d2 long")
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = stored(first)  # so that both sides of the join are exchanges, and a very common unit is split
     copies = found.join(first, ["d1", "d2"]).where("NOT (first.doc_id = doc_id AND first.no = no)")
     gone = copies.groupBy("doc_id", "lm_row").agg(F.collect_set("no").alias("lm_gone")).withColumnRenamed("doc_id", "lm_id").withColumnRenamed("lm_row", "lm_own")
     marked = rows.join(gone, (F.col("doc_id") == F.col("lm_id")) & (F.col("lm_row") == F.col("lm_own")), "left")
