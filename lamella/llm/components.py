@@ -1,8 +1,9 @@
 """Connected components of a distributed edge list, by alternating stars.
 
 Every step is a partial aggregation and a join on node ids, so a node with a
-third of all edges is combined on the map side and its join may be split by
-adaptive execution. Nothing but two numbers per round reaches the driver.
+third of all edges is combined on the map side. The least neighbours are
+written before they are joined, so both sides of each join are exchanges and
+adaptive execution can split such a node. Nothing but two numbers per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -52,11 +53,11 @@ def _signature(pairs: DataFrame) -> tuple:
 
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+    least = cut(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")))
     return _larger_first(both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")))
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
-    least = pairs.groupBy("src").agg(F.min("dst").alias("m"))
+    least = cut(pairs.groupBy("src").agg(F.min("dst").alias("m")))
     others = pairs.join(least, "src").where("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return _larger_first(others.union(least.select("src", F.col("m").alias("dst"))))
