@@ -554,6 +554,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Whole copies: all but the smallest id go at once.
     named = long_.select("doc_id", "lm_row", F.sha2("lm_text", 256).alias("sha"))
     least = named.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    least = cut(least)  # both sides of the join are exchanges, so a large group of copies is split
     copies = cut(named.join(least, "sha").where("doc_id > least").select("doc_id", "lm_row").distinct())
 
     # A part of minimizers is held in memory by one task: about 8 bytes for 14 bytes of text.
