@@ -10,7 +10,8 @@
 4. A mention is written anew from the core in its own format: punctuation,
    spaces, case, country code, card network and check digit are kept.
 
-Only documents with a mention are shuffled, and with them only their mentions.
+Only documents with a mention are shuffled. Their maps of mentions are written
+before they are joined, so that a text with very many copies is split.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 KEY = "lamella-surrogates"
 ROUNDS = 60
@@ -221,28 +222,29 @@ def cores(entities: DataFrame, key: str = KEY) -> DataFrame:
 def surrogates(docs: DataFrame, key: str = KEY, count_col: str | None = None) -> DataFrame:
     """docs, in their own columns, with each mention in text replaced by its surrogate.
 
-    count_col, if given, is added: the number of mentions. An n_chars column is
+    count_col, if given, is added (or replaced): the number of mentions. An n_chars column is
     counted anew for changed texts. Null, empty and mention-free texts stay as
     they are; repeated rows are changed alike; no rows give no rows. Documents
     are matched to their mentions by their text's hash, so ids may be null or
     repeated.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c != count_col]
+    key_, map_, n_ = (fresh(c, names) for c in ("lm_text", "lm_map", "lm_n"))
     text = F.col("text")
     found = docs.where(text.rlike(PATTERN)).select(F.sha2(text, 256).alias("lm_text"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).alias("mention"))
     mentions = found.distinct().withColumn("kind", kind_of(F.col("mention")))
     mentions = cut(mentions.withColumn("canon", canonical(F.col("kind"), F.col("mention"))))
     drawn = cores(cut(mentions.select("kind", "canon").distinct()), key)
     pairs = mentions.join(drawn, ["kind", "canon"]).select("lm_text", "mention", rewritten(F.col("kind"), F.col("mention"), F.col("core")).alias("new"))
-    maps = pairs.groupBy("lm_text").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("lm_map"))
+    maps = cut(pairs.groupBy("lm_text").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("lm_map")))
 
     parts, seen = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    joined = F.array_join(F.zip_with(parts, seen, lambda p, m: F.concat(p, F.coalesce(F.element_at("lm_map", m), m, F.lit("")))), "")
-    changed = docs.where(text.rlike(PATTERN)).withColumn("lm_text", F.sha2(text, 256)).join(maps, "lm_text")
-    changed = changed.withColumn("lm_n", F.size(seen)).withColumn("text", joined)
+    joined = F.array_join(F.zip_with(parts, seen, lambda p, m: F.concat(p, F.coalesce(F.element_at(F.col(map_), m), m, F.lit("")))), "")
+    changed = docs.where(text.rlike(PATTERN)).withColumn(key_, F.sha2(text, 256)).join(maps.toDF(key_, map_), key_)
+    changed = changed.withColumn(n_, F.size(seen)).withColumn("text", joined)
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     same = docs.where(~F.coalesce(text.rlike(PATTERN), F.lit(False)))
-    extra = [F.col("lm_n").alias(count_col)] if count_col else []
+    extra = [F.col(n_).alias(count_col)] if count_col else []
     none = [F.lit(0).alias(count_col)] if count_col else []
     return changed.select(*names, *extra).union(same.select(*names, *none))
