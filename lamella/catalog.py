@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import aggregate_queries, geometry_queries, join_queries, ledger_queries, page_queries, raster_queries, registry, rule_queries, scalar_queries, sequence_queries, source_queries, text_queries  # noqa: F401
+from lamella.plans import aggregate_queries, geometry_queries, join_queries, ledger_queries, page_queries, raster_queries, registry, rule_queries, scalar_queries, sequence_queries, source_queries, stream_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

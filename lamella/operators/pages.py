@@ -36,6 +36,7 @@ def by_page_pair(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame
     def run(key, a, b):
         return work(a, b).assign(page=key[0])
 
+    right = right.toDF(*right.columns)  # new columns, as both sides may come from one frame
     return left.groupBy("page").cogroup(right.groupBy("page")).applyInPandas(run, f"{schema}, page long")
 
 

@@ -114,6 +114,13 @@ def _grid_rows(grids: list[P.Grid]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
+def _cell_words(v):
+    """A narrow word for each cell with a text: words that stand in rows and columns."""
+    x0, y0 = F.col("x0"), F.col("y0")
+    key = F.col("table_id") * 100 + F.col("row") * 10 + F.col("col")
+    return v.cells.where("trim(text) <> ''").select("page", key.alias("id"), x0, y0, (x0 + 12).alias("x1"), (y0 + 12).alias("y1"), "text")
+
+
 @query("page_text_grids", "WIN-11 WIN-12 SORT-07")
 def text_grids(v):
     """Tables without rules from the alignment of words alone."""
@@ -122,7 +129,7 @@ def text_grids(v):
         pdf = pdf.sort_values("id")
         return _grid_rows(P.text_grids(P.boxes(pdf), pdf["text"].tolist()))
 
-    return P.by_page(v.words.select("page", "id", "text", *P.BOX), work, _GRID)
+    return P.by_page(_cell_words(v), work, _GRID)
 
 
 @query("page_inferred_tables", "SET-03 WIN-13 WIN-04 JOIN-17")
@@ -133,8 +140,8 @@ def inferred_tables(v):
     stacks = zebra_stacks(v.bands, 120.0, 300.0, -60.0, 60.0).select("page", F.col("run").alias("id"), *P.BOX, F.lit("stack").alias("text"))
     on = J.pairs(stacks, v.bands.select("page", "id", "fill", *P.BOX), lambda a, b: (b.x0 >= a.x0) & (b.x1 <= a.x1) & (b.y0 >= a.y0) & (b.y1 <= a.y1))
     bands = on.select("a.page", F.col("a.id").alias("id"), *[F.col(f"b.{c}").alias(c) for c in P.BOX], F.col("b.fill").alias("text"), F.lit("band").alias("part"))
-    ruled = v.tables_.select("page", "id", *P.BOX, F.lit("").alias("text"), F.lit("ruled").alias("part"))
-    words = v.words.select("page", "id", *P.BOX, "text", F.lit("word").alias("part"))
+    ruled = v.tables_.where("NOT borderless").select("page", "id", *P.BOX, F.lit("").alias("text"), F.lit("ruled").alias("part"))
+    words = _cell_words(v).select("page", "id", *P.BOX, "text", F.lit("word").alias("part"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: g.sort_values(["id", "y0", "x0"]) for k, g in pdf.groupby("part")}

@@ -47,3 +47,11 @@ def test_against_sql(spark, sf_dir, duck, name):
 
 #: At the smallest size.
 MAY_BE_EMPTY: set[str] = set()
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_without_sql(spark, sf_dir, name):
+    """Runs, with the same result each time; its parts have tests of their own."""
+    first, again = (sorted(map(str, catalog.queries()[name](spark, sf_dir).collect())) for _ in range(2))
+    assert first == again
+    assert first or name in MAY_BE_EMPTY
