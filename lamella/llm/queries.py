@@ -17,7 +17,8 @@ from .mixing import mix
 from .pii import surrogates
 from .simhash import hex_fingerprint, simhash_groups
 from .suffixdedup import repeated_spans
-from .topk import TOP_K_SQL, top_k
+from .sql import ORACLES
+from .topk import top_k
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,9 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return found.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": TOP_K_SQL}
+    return dict(ORACLES)

@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             for batch in batches:
                 for x in batch.column(1):
                     found = terms(fold(x.as_py()))
-                    held = found.keys() if only is None else found.keys() & only
+                    held = [t for t in found if only is None or t in only]
                     once.update(held)
                     twice.update(t for t in held if found[t] > 1)
             if once:
