@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamella.functions import geometry as G
 from lamella.functions import rules as R
 from lamella.functions import text as T
 from lamella.functions.geometry import box
@@ -17,10 +18,19 @@ from lamella.operators import pages as P
 from lamella.operators import spatial as J
 from lamella.sources.views import PAGE_H, PAGE_W
 
+from . import sqltext as S
 from .registry import query
 
 
-@query("page_merged_figures", "FLT-20")
+_FIG = "STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]"
+_MEETS = "greatest(0.0, least(f.x1, k.x1) - greatest(f.x0, k.x0)) * greatest(0.0, least(f.y1, k.y1) - greatest(f.y0, k.y0)) / greatest(1.0, (f.x1 - f.x0) * (f.y1 - f.y0)) >= 0.6"
+
+
+@query("page_merged_figures", "FLT-20", f"""
+WITH RECURSIVE f AS (SELECT page, id, x0, y0, x1, y1, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM regions f WHERE label IN ('figure', 'chart') AND NOT EXISTS (SELECT 1 FROM images k WHERE k.page = f.page AND {_MEETS})),
+r AS (SELECT page, 0::BIGINT AS n, []::{_FIG} AS kept FROM (SELECT DISTINCT page FROM f) UNION ALL SELECT r.page, f.n, CASE WHEN len(list_filter(r.kept, lambda k: {_MEETS})) = 0 THEN list_append(r.kept, {{'id': f.id, 'x0': f.x0, 'y0': f.y0, 'x1': f.x1, 'y1': f.y1}}) ELSE r.kept END FROM r JOIN f ON f.page = r.page AND f.n = r.n + 1),
+l AS (SELECT page, arg_max(kept, n) AS kept FROM r GROUP BY page)
+SELECT page, id, 'image' AS kind FROM images UNION ALL SELECT page, k.id, 'figure' FROM (SELECT page, unnest(kept) AS k FROM l)""")
 def merged_figures(v):
     """Images of a page, and the figure regions that none before them covers to 0.6."""
 
@@ -45,6 +55,22 @@ def grouping_scores(v):
     return P.by_page_pair(found, v.regions.select("page", "id", "label", *P.BOX), work, P.GROUPING_SCHEMA)
 
 
+@query("join_grouping_errors", "JOIN-19", f"""
+WITH p AS (SELECT a.page, a.id AS f, b.id AS w, {S.inter("a", "b")} / greatest({S.area("b")}, 1.0) >= 0.5 AS covers, {S.inter("a", "b")} / greatest({S.area("a")}, 1.0) >= 0.5 AS inside, {S.iou("a", "b")} >= 0.35 AS meets FROM blocks a JOIN regions b ON a.page = b.page AND {S.inter("a", "b")} > 0),
+m AS (SELECT page, count(*) AS merges FROM (SELECT page, f FROM p WHERE covers GROUP BY ALL HAVING count(*) >= 2) GROUP BY page), s AS (SELECT page, count(*) AS splits FROM (SELECT page, w FROM p WHERE inside GROUP BY ALL HAVING count(*) >= 2) GROUP BY page), c AS (SELECT page, count(*) AS candidates FROM p WHERE meets GROUP BY page)
+SELECT page, coalesce(merges, 0) AS merges, coalesce(splits, 0) AS splits, coalesce(candidates, 0) AS candidates FROM pages_ LEFT JOIN m USING (page) LEFT JOIN s USING (page) LEFT JOIN c USING (page)""")
+def grouping_errors(v):
+    """Blocks that cover two regions or more, regions that hold two blocks or more, and candidate pairs."""
+    a, b = G.box("a"), G.box("b")
+    common, one = G.intersection_area(a, b), F.lit(1.0)
+    p = J.pairs(v.blocks, v.regions, common > 0).select("a.page", F.col("a.id").alias("f"), F.col("b.id").alias("w"), (common / F.greatest(G.area(b), one) >= 0.5).alias("covers"), (common / F.greatest(G.area(a), one) >= 0.5).alias("inside"), (G.iou(a, b) >= 0.35).alias("meets"))
+    several = lambda flag, by, name: p.where(flag).groupBy("page", by).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("page").agg(F.count(F.lit(1)).alias(name))
+    rows = v.pages_.select("page")
+    for part in (several("covers", "f", "merges"), several("inside", "w", "splits"), p.where("meets").groupBy("page").agg(F.count(F.lit(1)).alias("candidates"))):
+        rows = rows.join(part, "page", "left")
+    return rows.na.fill(0)
+
+
 @query("page_acceptance", "JOIN-21")
 def acceptance(v):
     """Planned native blocks of a page against labelled ones."""
@@ -199,3 +225,49 @@ def converted(files, convert):
             yield pd.DataFrame(rows, columns=["id", "path", "status", "pages", "error"])
 
     return files.select("id", "path", "n_pages").mapInPandas(run, "id long, path string, status string, pages int, error string")
+
+
+def _kept_sql(rows: str, meets: str) -> str:
+    """SQL of a growing set: rows (page, n from 1, id, box) in order, kept if they meet no row kept before."""
+    return f"""WITH RECURSIVE f AS ({rows}), r AS (SELECT page, 0::BIGINT AS n, []::{_FIG} AS kept FROM (SELECT DISTINCT page FROM f) UNION ALL SELECT r.page, f.n, CASE WHEN len(list_filter(r.kept, lambda k: {meets})) = 0 THEN list_append(r.kept, {{'id': f.id, 'x0': f.x0, 'y0': f.y0, 'x1': f.x1, 'y1': f.y1}}) ELSE r.kept END FROM r JOIN f ON f.page = r.page AND f.n = r.n + 1)
+SELECT page, k.id FROM (SELECT page, unnest(arg_max(kept, n)) AS k FROM r GROUP BY page)"""
+
+
+def _kept(rows, order: list[str], up: list[bool], conflict):
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ascending=up)
+        return pdf.iloc[P.grow_free(P.boxes(pdf), np.empty((0, 4)), conflict)][["id"]]
+
+    return P.by_page(rows, work, "id long").select("page", "id")
+
+
+_COMMON = "(greatest(0.0, least(f.x1, k.x1) - greatest(f.x0, k.x0)) * greatest(0.0, least(f.y1, k.y1) - greatest(f.y0, k.y0)))"
+
+
+@query("page_suppressed", "SORT-07", _kept_sql("SELECT page, id, x0, y0, x1, y1, row_number() OVER (PARTITION BY page ORDER BY confidence DESC, id) AS n FROM regions", f"{_COMMON} / ((f.x1 - f.x0) * (f.y1 - f.y0)) >= 0.3"))
+def suppressed(v):
+    """Regions by confidence, each kept unless one kept before covers 0.3 of it."""
+    return _kept(v.regions.select("page", "id", "confidence", *P.BOX), ["confidence", "id"], [False, True], P.heavy_overlap(0.3))
+
+
+@query("page_growing_bands", "JOIN-17", _kept_sql("SELECT page, id, x0, y0, x1, y1, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM bands", f"{_COMMON} / ((f.x1 - f.x0) * (f.y1 - f.y0)) >= 0.4 OR {_COMMON} / ((k.x1 - k.x0) * (k.y1 - k.y0)) >= 0.4"))
+def growing_bands(v):
+    """Bands in order, each kept unless it overlaps one kept before either way."""
+    return _kept(v.bands.select("page", "id", *P.BOX), ["id"], [True], P.heavy_overlap(0.4, both=True))
+
+
+@query("page_greedy_pairs", "JOIN-19", f"""
+WITH RECURSIVE p AS (SELECT a.page, a.id AS f, b.id AS w, {S.iou("a", "b")} AS score FROM blocks a JOIN regions b ON a.page = b.page AND {S.iou("a", "b")} >= 0.35), o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, f DESC, w DESC) AS n FROM p),
+r AS (SELECT page, 0::BIGINT AS n, []::BIGINT[] AS fs, []::BIGINT[] AS ws, false AS ok, 0::BIGINT AS f, 0::BIGINT AS w FROM (SELECT DISTINCT page FROM o) UNION ALL
+ SELECT r.page, o.n, CASE WHEN list_contains(r.fs, o.f) OR list_contains(r.ws, o.w) THEN r.fs ELSE list_append(r.fs, o.f) END, CASE WHEN list_contains(r.fs, o.f) OR list_contains(r.ws, o.w) THEN r.ws ELSE list_append(r.ws, o.w) END, NOT (list_contains(r.fs, o.f) OR list_contains(r.ws, o.w)), o.f, o.w FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1)
+SELECT page, f AS found, w AS wanted FROM r WHERE ok""")
+def greedy_pairs(v):
+    """Blocks and regions paired one to one, best overlap first."""
+
+    def work(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        found, wanted = found.sort_values("id"), wanted.sort_values("id")
+        pairs = P.greedy_pairs(P.ious(P.boxes(found), P.boxes(wanted)), 0.35)
+        a, b = found["id"].to_numpy(), wanted["id"].to_numpy()
+        return pd.DataFrame([(a[i], b[j]) for i, j in pairs], columns=["found", "wanted"])
+
+    return P.by_page_pair(v.blocks.select("page", "id", *P.BOX), v.regions.select("page", "id", *P.BOX), work, "found long, wanted long")
