@@ -9,7 +9,9 @@
 4. Components of the forest edges; one join back on the fingerprint.
 
 A meeting place with more than HOT_PLACE fingerprints is split once more by
-blocks of its remaining bits, by the same argument, so no link is lost.
+blocks of its remaining bits, by the same argument; one that is still as large
+is cut into chunks, of which all pairs meet but those of codes that are linked
+already by a common neighbour (_hot_cells). So no link is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .components import connected_components
 from .gray_index import Labels, gray_rank, link_within
 
 HOT_PLACE = 50_000
+PIVOTS = 3
 SLICE = 1 << 18
 
 
@@ -132,7 +135,56 @@ def links_of_places(place: np.ndarray, key: np.ndarray, codes: np.ndarray, rep:
 
 
 def _forest(met: DataFrame, words: list[str], radius: int) -> DataFrame:
-    """Rows of codes at places -> forest edges; the rows of a place meet in one task."""
+    """Rows of codes at places -> forest edges. The rows of a place meet in one task, unless there are
+    more than HOT_PLACE of them."""
+    hot = cut(met.groupBy("place", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PLACE).drop("n"))
+    if hot.isEmpty():
+        return _searched(met.select("place", "key", "rep", *words), radius).distinct()
+    marked = met.join(hot.withColumn("hot", F.lit(True)), ["place", "key"], "left")
+    cool = marked.where("hot IS NULL").select("place", "key", "rep", *words)
+    found, cells = _hot_cells(cut(marked.where("hot").select("place", "key", "rep", *words)), words, radius)
+    return _searched(cool, radius).unionByName(_searched(cells, radius)).unionByName(found).distinct()
+
+
+def _hot_cells(rows: DataFrame, words: list[str], radius: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, cells): rows of hot places, dealt to cells of at most about two HOT_PLACE rows each.
+
+    A code within the radius of its place's pivot is linked to it, and so to
+    all others that are: pairs of one such class need no search. What is left
+    is taken by a second pivot, and a third. All other pairs meet: rows are
+    cut into chunks by class, and each two chunks that are not of one class
+    make a cell. A large group of near copies is one class, so its cells are
+    as many as its chunks, not their square.
+    """
+    at, rest = ["place", "key"], rows
+    edges, classed = None, None
+    for _ in range(PIVOTS):
+        pivot = cut(rest.groupBy(*at).agg(F.min_by(F.struct("rep", *words), "rep").alias("p")))
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p.{w}"))) for w in words), F.lit(0))
+        near = rest.join(pivot, at).withColumn("near", apart <= radius)
+        own = near.where("near").select(*at, "rep", *words, F.col("p.rep").alias("class"), F.lit(False).alias("open"))
+        linked = near.where("near AND rep != p.rep").select(F.col("rep").alias("src"), F.col("p.rep").alias("dst"))
+        edges = linked if edges is None else edges.unionByName(linked)
+        classed = own if classed is None else classed.unionByName(own)
+        rest = cut(near.where("NOT near").select(*at, "rep", *words))
+        if rest.isEmpty():
+            break
+    everything = cut(classed.unionByName(rest.select(*at, "rep", *words, F.lit(0).cast("long").alias("class"), F.lit(True).alias("open"))))
+    sizes = everything.groupBy(*at, "open", "class").agg(F.ceil(F.count(F.lit(1)) / HOT_PLACE).alias("chunks"))
+    sizes = cut(sizes)
+    chunk = sizes.select(*at, "open", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"))
+    chunk = cut(chunk.withColumn("c", F.xxhash64("open", "class", "c")))
+    a, b = (chunk.select(*at, *[F.col(x).alias(f"{n}_{x}") for x in ("open", "class", "c")]) for n in "ab")
+    unlike = F.col("a_open") | F.col("b_open") | (F.col("a_class") != F.col("b_class"))
+    pair = a.join(b, at).where(((F.col("a_c") < F.col("b_c")) & unlike) | ((F.col("a_c") == F.col("b_c")) & F.col("a_open")))
+    pair = pair.select(*at, F.explode(F.array_distinct(F.array("a_c", "b_c"))).alias("c"), F.xxhash64("key", "a_c", "b_c").alias("cell"))
+    of_chunk = everything.join(sizes, [*at, "open", "class"]).withColumn("c", F.xxhash64("open", "class", F.pmod(F.xxhash64("rep"), F.col("chunks"))))
+    cells = of_chunk.join(cut(pair), [*at, "c"]).select("place", F.col("cell").alias("key"), "rep", *words)
+    return edges, cells
+
+
+def _searched(met: DataFrame, radius: int) -> DataFrame:
+    """(place, key, rep, words...) -> forest edges of each place, which meets in one task."""
 
     def search(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
@@ -143,7 +195,7 @@ def _forest(met: DataFrame, words: list[str], radius: int) -> DataFrame:
         src, dst = links_of_places(place, key, codes, rep, radius)
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    return met.repartition("place", "key").select("place", "key", "rep", *words).mapInArrow(search, "src long, dst long").distinct()
+    return met.repartition("place", "key").mapInArrow(search, "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:

@@ -2,6 +2,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from lamella.llm.gray_index import Labels, gray_rank, link_within
@@ -118,3 +119,31 @@ def test_similar_groups_odd_rows(frame, odd_rows):
     got = similar_groups(frame(odd_rows)).collect()
     assert len(got) == len(odd_rows)
     assert {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
+
+
+@pytest.mark.parametrize("words, radius", [(1, 3), (2, 25)])
+def test_hot_places_in_cells(spark, monkeypatch, words, radius):
+    import lamella.llm.simhash as module
+
+    monkeypatch.setattr(module, "HOT_PLACE", 40)
+    rng = np.random.default_rng(6)
+    bits = 64 * words
+
+    def near(code, most):
+        return code ^ sum(1 << int(b) for b in rng.choice(bits, int(rng.integers(1, most)), replace=False))
+
+    first, second = (int.from_bytes(rng.bytes(bits // 8), "little") for _ in "ab")
+    codes = {near(first, radius + 4) for _ in range(250)} | {near(second, radius + 2) for _ in range(120)} | {int.from_bytes(rng.bytes(bits // 8), "little") for _ in range(150)}
+    last = first
+    for _ in range(60):  # a chain that leaves the group
+        last ^= sum(1 << int(b) for b in rng.choice(bits, radius, replace=False))
+        codes.add(last)
+    codes = sorted(codes)
+    signed = lambda c, w: int(np.uint64(c >> 64 * w & (1 << 64) - 1).view(np.int64))
+    names = [f"c{w}" for w in range(words)]
+    rows = [(k % 7 // 6, 5, i, *[signed(c, w) for w in range(words)]) for i, c in enumerate(codes) for k in (0, 6)]  # all at two places
+    met = spark.createDataFrame(rows, f"place int, key long, rep long, {', '.join(f'{n} long' for n in names)}")
+    edges = module._forest(met, names, radius).collect()
+    labels = Labels(len(codes))
+    labels.link(np.array([e.src for e in edges]), np.array([e.dst for e in edges]))
+    assert labels.of.tolist() == plain_classes(codes, radius)
