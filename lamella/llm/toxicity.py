@@ -77,8 +77,8 @@ def terms(folded: str) -> Counter:
 def copy_keys(folded: str) -> tuple[int, int]:
     """Two keys that near copies share with high probability: smallest hashes of five-word shingles."""
     words = folded.split()
-    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-    return tuple(min(xxhash.xxh3_64_intdigest(s, seed) for s in shingles) >> 1 for seed in (1, 2))
+    starts = range(max(1, len(words) - 4))
+    return tuple(min(xxhash.xxh3_64_intdigest(" ".join(words[i : i + 5]), seed) for i in starts) >> 1 for seed in (1, 2))
 
 
 class Lexicon:
