@@ -1,7 +1,7 @@
 """Element tables (blocks, regions, shapes, ...) derived from the driver tables.
 
-The SQL of a view is common to Spark and to the engine that checks it, in exact
-integer arithmetic. Pages are 960 by 540 points. Elements of a page stay about
+The SQL of a view is common to Spark and, but for two functions, to the engine
+that checks it, in exact integer arithmetic. Pages are 960 by 540 points. Elements of a page stay about
 as many at any scale; the number of pages grows with the tables.
 """
 
@@ -70,9 +70,9 @@ SQL = {
  CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'ok' END AS status, CAST(o_orderkey % 40 AS INT) AS n_pages, CAST(o_orderkey % 90 AS DOUBLE) AS seconds,
  CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 50 AS DOUBLE) / 64.0D END AS cost, o_orderdate AS updated_at FROM (SELECT DISTINCT o_orderkey, o_orderdate FROM orders)""",
     "bands": "SELECT page, id, x0, y0, x1, y1, fill FROM shapes WHERE fill IS NOT NULL AND y1 - y0 BETWEEN 10 AND 64 AND x1 - x0 >= 2.5D * (y1 - y0) AND (x1 - x0) * (y1 - y0) < 0.5D * 518400.0D",
-    "cells": """SELECT t.page, t.id AS table_id, CAST(r.i AS INT) AS row, CAST(c.i AS INT) AS col, t.x0 + c.i * 40.0D AS x0, t.y0 + r.i * 20.0D AS y0, t.x0 + (c.i + 1) * 40.0D AS x1, t.y0 + (r.i + 1) * 20.0D AS y1,
- CASE WHEN (t.id + r.i * 3 + c.i) % 4 = 0 THEN '' WHEN (t.id + r.i) % 3 = 0 THEN CAST(t.id * 10 + c.i AS STRING) ELSE concat('cell ', CAST(t.id % 10 AS STRING)) END AS text
- FROM tables_ t CROSS JOIN (VALUES (0), (1), (2)) AS r(i) CROSS JOIN (VALUES (0), (1), (2), (3)) AS c(i)""",
+    "cells": """SELECT page, id AS table_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, x0 + c * 40.0D AS x0, y0 + r * 20.0D AS y0, x0 + (c + 1) * 40.0D AS x1, y0 + (r + 1) * 20.0D AS y1,
+ CASE WHEN (id + r * 3 + c) % 4 = 0 THEN '' WHEN (id + r) % 3 = 0 THEN CAST(id * 10 + c AS STRING) ELSE concat('cell ', CAST(id % 10 AS STRING)) END AS text
+ FROM (SELECT *, explode(sequence(0, 3)) AS c FROM (SELECT *, explode(sequence(0, 2)) AS r FROM tables_) t) u""",
     "lines": "SELECT doc_id, pos, line FROM documents {explode}",
 }
 _BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -84,6 +84,7 @@ def _needs(text: str) -> set[str]:
 
 def duck(name: str) -> str:
     text = re.sub(r"(\d)D\b", r"\1::DOUBLE", SQL[name])
+    text = re.sub(r"explode\(sequence\((\d+), (\d+)\)\)", r"unnest(range(\1, \2 + 1))", text)
     if name == "lines":
         return "SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
     return text
