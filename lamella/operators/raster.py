@@ -529,6 +529,34 @@ def composited(source: np.ndarray, edited: np.ndarray, mask: np.ndarray, sigma:
     return np.where(mask[..., None], np.clip(np.floor(mixed + 0.5), 0, 255).astype(np.uint8), source)
 
 
+def cloned(source: np.ndarray, edited: np.ndarray, mask: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """The edit's gradients within the mask on the source's values around it (Poisson blending, by relaxation)."""
+    inner = mask & ~(np.pad(np.ones_like(mask)[1:-1, 1:-1], 1, constant_values=False) == 0)
+    if not inner.any():
+        return source.copy()
+    e, out = edited.astype(float), source.astype(float).copy()
+    out[inner] = e[inner]
+
+    def neighbours(a: np.ndarray) -> np.ndarray:
+        p = np.pad(a, ((1, 1), (1, 1), (0, 0)), mode="edge")
+        return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]
+
+    curve = 4 * e - neighbours(e)
+    for _ in range(rounds):
+        new = (neighbours(out) + curve) / 4
+        moved = float(np.abs(new[inner] - out[inner]).max())
+        out[inner] = new[inner]
+        if moved < 0.1:
+            break
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+
+
+def cut_out(image: np.ndarray, box: tuple, page: tuple[float, float]) -> np.ndarray | None:
+    """The pixels that stand for an element: its part of the page image, None if it has none."""
+    b = pixel_box(box, image.shape[1] / max(page[0], 1.0), image.shape[0] / max(page[1], 1.0), 0, image.shape[:2])
+    return image[b[1] : b[3], b[0] : b[2]].copy() if b[2] > b[0] and b[3] > b[1] else None
+
+
 def ring_median(image: np.ndarray, box: tuple[int, int, int, int], px: int = 3) -> tuple[int, int, int] | None:
     """Median colour just outside a box; None if nothing is outside."""
     x0, y0, x1, y1 = box

@@ -141,6 +141,45 @@ def checked_archives(files: DataFrame, limits: dict | None = None) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, entries int, bytes long, problem string")
 
 
+def entries_of(files: DataFrame, limits: dict | None = None) -> DataFrame:
+    """(path, name, content) of the entries of archives without a problem.
+
+    The bytes that come out are counted as they are read, as a directory may
+    tell less than is there; an archive that exceeds a limit gives no entry.
+    """
+    limits = {**LIMITS, **(limits or {})}
+
+    def read(data: bytes) -> list[tuple[str, bytes]]:
+        if archive_problem(data, limits)[2]:
+            return []
+        out, total = [], 0
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for info in z.infolist():
+                if info.is_dir():
+                    continue
+                with z.open(info) as f:
+                    content = f.read(limits["entry_bytes"] + 1)
+                total += len(content)
+                if len(content) > limits["entry_bytes"] or total > limits["total_bytes"]:
+                    return []
+                out.append((info.filename, content))
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["content"]):
+                if found := read(data):
+                    yield pd.DataFrame([(path, n, c) for n, c in found], columns=["path", "name", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, content binary")
+
+
+def upload_kind(path: Column) -> Column:
+    """How an upload is read: as a document, or an image as a document of one page; null for others."""
+    p = F.lower(path)
+    return F.when(p.endswith(".pdf"), "document").when(p.rlike("\\.(png|jpe?g)$"), "image")
+
+
 def entry_problem(name: Column, size: Column, packed: Column, limits: dict) -> Column:
     """The same rules over a relation of entries; null if an entry is fine."""
     return F.when(~safe_member(name), "path outside").when(size > limits["entry_bytes"], "entry too large").when(size > limits["ratio"] * F.greatest(F.lit(1), packed), "ratio")

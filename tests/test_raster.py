@@ -223,6 +223,22 @@ def test_fills_and_groups():
     assert I.span_groups(b, small=40, gap=6).tolist() == [0, 0, 2, 3]
 
 
+def test_cloning_takes_gradients_from_the_edit():
+    y, x = np.indices((40, 50))
+    source = np.stack([100 + x] * 3, axis=2).astype(np.uint8)
+    edited = source + np.uint8(40)  # the same gradients, brighter
+    m = I.box_mask([(15, 10, 35, 30)], (40, 50))
+    fixed = I.cloned(source, edited, m)
+    assert I.unchanged_outside(source, fixed, m) and I.masked_mae(source, fixed, m) < 12 < I.masked_mae(source, edited, m)
+    assert (I.cloned(source, edited, ~np.ones_like(m)) == source).all()
+
+
+def test_cut_out():
+    a = image(54, 96)
+    assert (I.cut_out(a, (100.0, 100.0, 200.0, 205.0), (960.0, 540.0)) == a[10:21, 10:20]).all()
+    assert I.cut_out(a, (2000.0, 0.0, 2100.0, 9.0), (960.0, 540.0)) is None
+
+
 def test_residual_checker():
     m = I.box_mask([(0, 0, 9, 9)], (20, 20))
     a = image(20, 20)

@@ -144,5 +144,15 @@ def test_hours_come_after_the_watermark(spark, tmp_path):
     assert [(r.event_type, r.n, r.total) for r in ledger.stored_stream(stream, spark).collect()] == [("a", 2, 3.0)]
 
 
+def test_entries(spark, tmp_path):
+    archive(tmp_path / "ok.zip", [("a.xml", "x"), ("b/c.xml", "yy")])
+    archive(tmp_path / "out.zip", [("../a", "x")])
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert sorted((r.name, bytes(r.content)) for r in D.entries_of(files).collect()) == [("a.xml", b"x"), ("b/c.xml", b"yy")]
+    assert D.entries_of(files, {"total_bytes": 2}).count() == 0
+    kinds = spark.createDataFrame([(p,) for p in ("a.PDF", "b.jpeg", "c.jpg", "d.PNG", "e.txt")], "p string").select(D.upload_kind(F.col("p")).alias("k")).collect()
+    assert [r.k for r in kinds] == ["document", "image", "image", "image", None]
+
+
 def test_line_runs_feed_one_group_each():
     assert P.line_groups(P.np.zeros((1, 4))).tolist() == [0]
