@@ -40,7 +40,7 @@ PART_BYTES = 24 << 20
 LOCAL_HOT = 16
 #: A minimizer of more documents is hot; the bound rises with the corpus, so that MAX_HOT are hot at most.
 HOT = 20_000
-MAX_HOT = 1 << 20
+MAX_HOT = 1 << 22
 MAX_RUN = 63
 #: Minimizers are 64 bits less these; a chance agreement only costs a comparison.
 BITS = np.uint64(16)
