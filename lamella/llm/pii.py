@@ -1,6 +1,7 @@
 """Surrogates for personal data and secrets, in DataFrame functions only.
 
-1. One regular expression finds all mentions of a text.
+1. One regular expression finds all mentions of a text, in one pass; the rows
+   are written with what it found.
 2. A mention has a kind and a canonical form (an address in lower case, the
    digits of a number, the words of a name), by which mentions corefer.
 3. Each distinct (kind, canonical form) draws a core from a keyed hash: digits,
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, stored
 
 KEY = "lamella-surrogates"
 ROUNDS = 60
@@ -229,22 +230,22 @@ def surrogates(docs: DataFrame, key: str = KEY, count_col: str | None = None) ->
     repeated.
     """
     names = [c for c in docs.columns if c != count_col]
-    key_, map_, n_ = (fresh(c, names) for c in ("lm_text", "lm_map", "lm_n"))
+    key_, map_, seen_ = (fresh(c, names) for c in ("lm_text", "lm_map", "lm_seen"))
     text = F.col("text")
-    found = docs.where(text.rlike(PATTERN)).select(F.sha2(text, 256).alias("lm_text"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).alias("mention"))
-    mentions = found.distinct().withColumn("kind", kind_of(F.col("mention")))
+    seen = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+    marked = docs.select(*names, seen.alias(seen_))
+    marked = stored(marked.withColumn(key_, F.when(F.size(seen_) > 0, F.sha2(text, 256))))
+    found = marked.where(F.col(key_).isNotNull())
+    mentions = found.select(F.col(key_).alias("lm_text"), F.explode(F.array_distinct(seen_)).alias("mention")).distinct().withColumn("kind", kind_of(F.col("mention")))
     mentions = cut(mentions.withColumn("canon", canonical(F.col("kind"), F.col("mention"))))
     drawn = cores(cut(mentions.select("kind", "canon").distinct()), key)
     pairs = mentions.join(drawn, ["kind", "canon"]).select("lm_text", "mention", rewritten(F.col("kind"), F.col("mention"), F.col("core")).alias("new"))
     maps = cut(pairs.groupBy("lm_text").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("lm_map")))
 
-    parts, seen = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    joined = F.array_join(F.zip_with(parts, seen, lambda p, m: F.concat(p, F.coalesce(F.element_at(F.col(map_), m), m, F.lit("")))), "")
-    changed = docs.where(text.rlike(PATTERN)).withColumn(key_, F.sha2(text, 256)).join(maps.toDF(key_, map_), key_)
-    changed = changed.withColumn(n_, F.size(seen)).withColumn("text", joined)
+    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.col(seen_), lambda p, m: F.concat(p, F.coalesce(F.element_at(F.col(map_), m), m, F.lit("")))), "")
+    changed = found.join(maps.toDF(key_, map_), key_).withColumn("text", joined)
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    same = docs.where(~F.coalesce(text.rlike(PATTERN), F.lit(False)))
-    extra = [F.col(n_).alias(count_col)] if count_col else []
-    none = [F.lit(0).alias(count_col)] if count_col else []
-    return changed.select(*names, *extra).union(same.select(*names, *none))
+    same = marked.where(F.col(key_).isNull())
+    count = [F.size(seen_).alias(count_col)] if count_col else []
+    return changed.select(*names, *count).union(same.select(*names, *count))
