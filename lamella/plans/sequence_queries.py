@@ -173,13 +173,13 @@ _ISSUE = "CASE WHEN evidence THEN 0 ELSE 1 END, -severity, kind, id"
 
 
 @query("sort_issues", "SORT-03 SORT-04", f"""
-WITH p AS (SELECT page, sum(severity) AS total FROM issues GROUP BY page), o AS (SELECT page, row_number() OVER (ORDER BY -round(total, 6), page) AS page_rank FROM p)
+WITH p AS (SELECT page, sum(severity) AS total FROM issues GROUP BY page), o AS (SELECT page, row_number() OVER (PARTITION BY floor(page / 10.0::DOUBLE) ORDER BY -round(total, 6), page) AS page_rank FROM p)
 SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY {_ISSUE})::INT AS rank, page_rank::INT AS page_rank FROM issues JOIN o USING (page)""")
 def sort_issues(v):
-    """Issues of a page by evidence and severity; pages by their severity."""
+    """Issues of a page by evidence and severity; pages of a deck by their severity."""
     p = v.issues.groupBy("page").agg(F.round(F.sum("severity"), 6).alias("total"))
-    # A rank of all pages is one order; pages are aggregated first, a row each.
-    p = p.select("page", F.row_number().over(Window.orderBy(F.desc("total"), "page")).alias("page_rank"))
+    deck = F.floor(F.col("page") / 10.0)
+    p = p.select("page", F.row_number().over(Window.partitionBy(deck).orderBy(F.desc("total"), "page")).alias("page_rank"))
     rank = F.row_number().over(Window.partitionBy("page").orderBy(F.when(F.col("evidence"), 0).otherwise(1), F.desc("severity"), "kind", "id"))
     return v.issues.withColumn("rank", rank).join(p, "page").select("page", "id", "rank", "page_rank")
 
