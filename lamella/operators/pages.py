@@ -187,11 +187,16 @@ ACCEPTANCE_SCHEMA = "title_accuracy double, n_margin int, n_filtered int, filter
 # ------------------------------------------------------------------ lines and regions
 
 
-def _on_line(a: np.ndarray, b: np.ndarray, centre_gap: float) -> np.ndarray:
-    """Whether boxes of a stand on a line with box b. The 1 in the divisor is as in functions.rules.same_line."""
-    over = np.clip(np.minimum(a[:, 3], b[3]) - np.maximum(a[:, 1], b[1]), 0, None)
-    least = np.minimum(np.minimum(a[:, 3] - a[:, 1], b[3] - b[1]), 1.0)
-    return (np.abs(a[:, 1] + a[:, 3] - b[1] - b[3]) / 2 <= centre_gap) & (over > 0) & (over / np.where(least > 0, least, 1) >= 0.3)
+def _overlaps(b: np.ndarray) -> np.ndarray:
+    """Common height of each two boxes."""
+    return np.clip(np.minimum(b[:, None, 3], b[None, :, 3]) - np.maximum(b[:, None, 1], b[None, :, 1]), 0, None)
+
+
+def _on_line(a: list, b: list, centre_gap: float) -> bool:
+    """Whether two boxes stand on a line. The 1 in the divisor is as in functions.rules.same_line."""
+    over = min(a[3], b[3]) - max(a[1], b[1])
+    least = min(a[3] - a[1], b[3] - b[1], 1.0)
+    return over > 0 and abs(a[1] + a[3] - b[1] - b[3]) / 2 <= centre_gap and over >= 0.3 * least
 
 
 def line_groups(b: np.ndarray) -> np.ndarray:
@@ -205,27 +210,37 @@ def line_groups(b: np.ndarray) -> np.ndarray:
     small = (size[:, 1] < 0.25 * mid) | ((size < 0.4 * mid).all(axis=1))
     if small.all():
         small[:] = False
+    height, over, rows = b[:, 3] - b[:, 1], _overlaps(b), b.tolist()
+    twice = b[:, 1] + b[:, 3]
+    on = (over > 0) & (np.abs(twice[:, None] - twice[None, :]) / 2 <= 0.75 * mid) & (over >= 0.3 * np.minimum(np.minimum(height[:, None], height[None, :]), 1.0))
+    mates = [sum(1 << int(j) for j in np.flatnonzero(r)) for r in on]  # a set of boxes is a whole number
     lines: list[list[int]] = []
-    for i in sorted(np.flatnonzero(~small).tolist(), key=lambda i: ((b[i, 1] + b[i, 3]) / 2, b[i, 0])):
-        home = next((line for line in lines if _on_line(b[line], b[i], 0.75 * mid).any()), None)
-        lines.append([i]) if home is None else home.append(i)
+    members: list[int] = []
+    for i in sorted(np.flatnonzero(~small).tolist(), key=lambda i: (twice[i] / 2, rows[i][0])):
+        home = next((k for k, m in enumerate(members) if m & mates[i]), None)
+        if home is None:
+            home = len(lines)
+            lines.append([])
+            members.append(0)
+        lines[home].append(i)
+        members[home] |= 1 << i
     for i in np.flatnonzero(small).tolist():
-        over = [float(np.clip(np.minimum(b[line, 3], b[i, 3]) - np.maximum(b[line, 1], b[i, 1]), 0, None).max()) for line in lines]
-        best = int(np.argmax(over)) if over else -1
-        lines[best].append(i) if over and over[best] > 0 else lines.append([i])
+        most = [float(over[i, line].max()) for line in lines]
+        best = int(np.argmax(most)) if most else -1
+        lines[best].append(i) if most and most[best] > 0 else lines.append([i])
     at = -1
     for line in lines:
         extent = None
-        for i in sorted(line, key=lambda i: b[i, 0]):
-            joins = False
+        for i in sorted(line, key=lambda i: rows[i][0]):
+            box, joins = rows[i], False
             if extent is not None:
-                free = b[i, 0] - extent[2]
-                close = free <= max(0.0, 0.35 * mid) or (extent[2] > b[i, 0] and b[i, 2] > extent[0])
-                joins = free <= 1.25 * mid and close and bool(_on_line(extent[None], b[i], 0.75 * mid)[0])
-            if not joins:
-                at, extent = at + 1, b[i].copy()
+                free = box[0] - extent[2]
+                close = free <= max(0.0, 0.35 * mid) or (extent[2] > box[0] and box[2] > extent[0])
+                joins = free <= 1.25 * mid and close and _on_line(extent, box, 0.75 * mid)
+            if joins:
+                extent = [min(extent[0], box[0]), min(extent[1], box[1]), max(extent[2], box[2]), max(extent[3], box[3])]
             else:
-                extent = np.r_[np.minimum(extent[:2], b[i, :2]), np.maximum(extent[2:], b[i, 2:])]
+                at, extent = at + 1, box
             group[i] = at
     return group
 
@@ -237,24 +252,26 @@ def paragraph_regions(b: np.ndarray, labels: list[str], is_list: np.ndarray, pag
     member; boxes in between may belong elsewhere.
     """
     text_like = {"text", "list", "caption"}
-    region, out = np.full(len(b), -1), []
-    for i in range(len(b)):
+    region, out, rows, is_list = [-1] * len(b), [], b.tolist(), is_list.tolist()
+    for i in range(len(rows)):
         if region[i] >= 0:
             continue
         number, label, last = len(out), labels[i], i
         region[i] = number
-        for j in range(i + 1, len(b)) if label in text_like else ():
-            if region[j] >= 0 or labels[j] not in text_like or not _goes_on(b[last], b[j], bool(is_list[j]), page_w):
+        listed = is_list[i]
+        for j in range(i + 1, len(rows)) if label in text_like else ():
+            if region[j] >= 0 or labels[j] not in text_like or not _goes_on(rows[last], rows[j], is_list[j], page_w):
                 continue
             if label == "list" and labels[j] != "list" and not is_list[j]:
                 continue
             label = "list" if labels[j] == "list" else label
             region[j], last = number, j
-        out.append("list" if is_list[region == number].any() else label)
-    return region, out
+            listed = listed or is_list[j]
+        out.append("list" if listed else label)
+    return np.array(region, np.int64), out
 
 
-def _goes_on(a: np.ndarray, b: np.ndarray, is_list: bool, page_w: float) -> bool:
+def _goes_on(a: list, b: list, is_list: bool, page_w: float) -> bool:
     """functions.rules.joins_paragraph for one pair."""
     ha, hb = a[3] - a[1], b[3] - b[1]
     over = max(0.0, min(a[3], b[3]) - max(a[1], b[1])) / max(1.0, min(ha, hb))
