@@ -216,7 +216,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def wide_fingerprint(text: bytes | None, shingle: int = 5) -> tuple[int, int]:
-    """128-bit SimHash (XXH3) as two signed words; zeros for a text without words."""
+    """128-bit SimHash (XXH3) as two signed words, of the distinct shingles, as in the Jaccard
+    similarity; zeros for a text without words."""
     words = text.lower().split() if text else []
     if not words:
         return 0, 0
@@ -226,12 +227,13 @@ def wide_fingerprint(text: bytes | None, shingle: int = 5) -> tuple[int, int]:
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     xx = xxhash.xxh3_128_digest
+    distinct = {xx(joined[i:j]) for i, j in zip(starts[:n].tolist(), last.tolist())}
+    digests = b"".join(distinct)
     set_bits = np.zeros(128, np.int64)
-    for at in range(0, n, SLICE):
-        s, e = starts[at : min(at + SLICE, n)].tolist(), last[at : at + SLICE].tolist()
-        h = np.frombuffer(b"".join([xx(joined[i:j]) for i, j in zip(s, e)]), np.uint8).reshape(-1, 16)
+    for at in range(0, len(digests), 16 * SLICE):
+        h = np.frombuffer(digests[at : at + 16 * SLICE], np.uint8).reshape(-1, 16)
         set_bits += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int32)
-    return tuple(np.packbits(set_bits * 2 > n).view(np.int64).tolist())
+    return tuple(np.packbits(set_bits * 2 > len(distinct)).view(np.int64).tolist())
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:

@@ -147,3 +147,10 @@ def test_hot_places_in_cells(spark, monkeypatch, words, radius):
     labels = Labels(len(codes))
     labels.link(np.array([e.src for e in edges]), np.array([e.dst for e in edges]))
     assert labels.of.tolist() == plain_classes(codes, radius)
+
+
+def test_repeats_do_not_make_texts_similar(frame, prose):
+    one, other = prose(60, 1), prose(60, 2)
+    rows = [(1, one + " again and again it says" * 40), (2, other + " again and again it says" * 40), (3, one + " again and again it says" * 41)]
+    got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
