@@ -23,21 +23,33 @@ def boxes(pdf: pd.DataFrame) -> np.ndarray:
     return pdf[BOX].to_numpy(float).reshape(-1, 4)
 
 
+#: Pages that go to Python together, as a call for each page costs more than most pages' work.
+PAGES = 32
+
+
+def _together(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat([f for f in frames if len(f)] or frames[:1], ignore_index=True)
+
+
 def by_page(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """work(page's rows) for each page; the page column is put in front of what it returns."""
+    """work(page's rows) for each page, with the page as a column of what it returns."""
 
-    def run(key, pdf):
-        return work(pdf).assign(page=key[0])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _together([work(g).assign(page=p) for p, g in pdf.groupby("page", dropna=False)])
 
-    return df.groupBy("page").applyInPandas(run, f"{schema}, page long")
+    return df.groupBy(F.floor(F.col("page") / PAGES)).applyInPandas(run, f"{schema}, page long")
 
 
 def by_page_pair(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    def run(key, a, b):
-        return work(a, b).assign(page=key[0])
+    """The same with the page's rows of two frames, of which one may have none."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        of_a, of_b = (dict(list(x.groupby("page", dropna=False))) for x in (a, b))
+        return _together([work(of_a.get(p, a.iloc[:0]), of_b.get(p, b.iloc[:0])).assign(page=p) for p in sorted({*of_a, *of_b})])
 
     right = right.toDF(*right.columns)  # new columns, as both sides may come from one frame
-    return left.groupBy("page").cogroup(right.groupBy("page")).applyInPandas(run, f"{schema}, page long")
+    block = F.floor(F.col("page") / PAGES)
+    return left.groupBy(block).cogroup(right.groupBy(block)).applyInPandas(run, f"{schema}, page long")
 
 
 # ------------------------------------------------------------------ boxes
