@@ -154,3 +154,26 @@ def test_repeats_do_not_make_texts_similar(frame, prose):
     rows = [(1, one + " again and again it says" * 40), (2, other + " again and again it says" * 40), (3, one + " again and again it says" * 41)]
     got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def spoiled(text, runs):
+    """text with `runs` single words changed, each ten words from the next: five shingles each."""
+    own = text.split()
+    for k in range(runs):
+        own[5 + 10 * k] = f"changed{k}"
+    return " ".join(own)
+
+
+def test_real_near_copies_are_found(frame, prose):
+    rows = []
+    for i in range(150):
+        one = prose(504, 1000 + i)
+        rows += [(2 * i, one), (2 * i + 1, spoiled(one, 11))]
+    assert all(0.8 <= jaccard(rows[k][1], rows[k + 1][1]) < 0.81 for k in range(0, 300, 2))
+    got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(300)}
