@@ -6,9 +6,10 @@ ceil((i + 1) / w), in slots of one block. Earliest deadline first, among the
 released, gives each slot one block and keeps every source within less than
 one block of weight * slots at every slot.
 
-Weights are whole parts of `parts` slots, so the schedule repeats after
-`parts` slots: one period is laid out on the driver (its size does not depend
-on the data) and every document finds its slot by a join with that table.
+Weights are exact fractions, as no rounding of them would stay within a block
+over a long run. The schedule is laid out on the driver, a row for each block
+that there is (a 64th of the documents), and every document finds its slot by a
+join with that table.
 Positions within a source come from per-bucket sums, so no source, however
 large, meets in one task.
 """
@@ -16,8 +17,13 @@ large, meets in one task.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +31,8 @@ from pyspark.sql.window import Window
 PARTS = 4096
 MAX_SOURCES = 1 << 16
 BLOCK = 64
+#: Blocks of the schedule that are broadcast at most; beyond, rows and schedule meet by an exchange.
+BROADCAST = 1 << 18
 SEED = 20
 #: Rows of a source are ordered by buckets of about so many rows; buckets of a source at most.
 BUCKET_ROWS = 2_000
@@ -50,24 +58,38 @@ def whole_parts(weights: dict, parts: int = PARTS) -> dict:
     return got
 
 
-def pfair_period(parts: dict) -> list[tuple]:
-    """[(source, block, release, deadline, slot)] of one period, earliest deadline first."""
-    period = sum(parts.values())
-    waiting: list[list] = [[] for _ in range(period)]
-    for name in sorted(parts, key=lambda k: (k is not None, str(k))):
-        p = parts[name]
-        for i in range(p):
-            waiting[i * period // p].append((-(-(i + 1) * period // p), str(name), name, i))
+def pfair_slots(weights: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, block, release, deadline, slot) of all blocks, earliest deadline first. weights: of any sum, exact.
+
+    A source has one block waiting at a time: the next is released in the last slot of this one at the earliest.
+    """
+    weights = {k: Fraction(w) for k, w in weights.items()}
+    common = lcm(*(w.denominator for w in weights.values()))
+    whole = {k: int(w * common) for k, w in weights.items()}
+    total = sum(whole.values())
+    names = sorted((k for k in whole if blocks[k]), key=lambda k: (k is not None, str(k)))
+    waiting = [(0, n, 0) for n in range(len(names))]
     ready: list = []
-    out = []
-    for slot in range(period):
-        for n, x in enumerate(waiting[slot]):
-            heapq.heappush(ready, (x[0], x[1], slot, n, x))
-        deadline, _, _, _, (_, _, name, i) = heapq.heappop(ready)
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, n, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // whole[names[n]]), n, i))
+        deadline, n, i = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a deadline was missed")
-        out.append((name, i, i * period // parts[name], deadline, slot))
-    return out
+        name = names[n]
+        yield name, i, i * total // whole[name], deadline, slot
+        if i + 1 < blocks[name]:
+            heapq.heappush(waiting, ((i + 1) * total // whole[name], n, i + 1))
+        slot += 1
+
+
+def pfair_period(parts: dict) -> list[tuple]:
+    """[(source, block, release, deadline, slot)] of one period of whole parts, earliest deadline first."""
+    return list(pfair_slots(parts, parts))
 
 
 def tempered(sizes: dict, exponent: float = 0.5) -> dict:
@@ -82,7 +104,7 @@ def source_sizes(docs: DataFrame, max_sources: int = MAX_SOURCES) -> dict:
     return {r["source"]: r["n"] for r in rows}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts: int = PARTS, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts: int | None = None, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
     """docs with mix_block, mix_release, mix_deadline, mix_slot and mix_rank (all long).
 
     The mixed order is by (mix_slot, mix_rank). Every row is kept once. Up to
@@ -93,23 +115,33 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts:
     source without a positive weight follows after all others, off target (its
     mix_block is -1 and its slot null). A null source is a source as any other.
     Repeated rows keep a row each, in any order; null ids are ordered first;
-    no rows give no rows. Columns named mix_* of docs are replaced.
+    no rows give no rows. Columns named mix_* of docs are replaced. parts, if
+    given, rounds the weights to whole parts of so many.
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     sizes = source_sizes(docs, max_sources)
-    shares = whole_parts({k: w for k, w in (tempered(sizes) if weights is None else weights).items() if sizes.get(k)}, parts)
-    period = sum(shares.values())
-    plan = pfair_period(shares)
-    # Slot at which the first source has given its last whole block.
-    ends = {k: _slot_of(plan, k, (sizes[k] // block) - 1, shares[k], period) for k in shares}
-    target_end = min(ends.values(), default=-1)
+    shares = {k: Fraction(w) for k, w in (tempered(sizes) if weights is None else weights).items() if w > 0 and sizes.get(k)}
+    if parts is not None:
+        shares = whole_parts(shares, parts)
+    blocks = {k: -(-sizes[k] // block) for k in shares}
 
     # Sources by number, so that all keys below are plain equalities and one exchange of the rows serves them all.
     numbers = {k: n for n, k in enumerate(sizes)}
     kind = docs.schema["source"].dataType.simpleString()
-    named = spark.createDataFrame([(k, n, shares.get(k)) for k, n in numbers.items()], f"mix_s {kind}, mix_sid int, mix_share long")
-    slots = spark.createDataFrame([(numbers[k], i, r, d, s) for k, i, r, d, s in plan], "mix_sid int, mix_j long, mix_r long, mix_d long, mix_t long")
+    named = spark.createDataFrame([(k, n, k in shares) for k, n in numbers.items()], f"mix_s {kind}, mix_sid int, mix_sched boolean")
+    last = {k: sizes[k] // block - 1 for k in shares}
+    # Slot at which the first source has given its last whole block.
+    target_end = -1 if -1 in last.values() else None
+    plan = [array("q") for _ in range(5)]
+    for name, *row in pfair_slots(shares, blocks):
+        for column, x in zip(plan, (numbers[name], *row)):
+            column.append(x)
+        if target_end is None and row[0] == last[name]:
+            target_end = row[-1]
+    slots = spark.createDataFrame(pa.table([pa.array(np.frombuffer(c, np.int64)) for c in plan], names=["mix_sid", "mix_block", "mix_r", "mix_d", "mix_t"])).withColumn("mix_sid", F.col("mix_sid").cast("int"))
+    if len(plan[0]) <= BROADCAST:
+        slots = F.broadcast(slots)
     buckets = min(BUCKETS, max(1, sum(sizes.values()) // BUCKET_ROWS))
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     rows = docs.withColumn("mix_key", key).withColumn("mix_bucket", F.pmod("mix_key", F.lit(buckets)))
@@ -120,23 +152,14 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts:
     within = Window.partitionBy("mix_sid", "mix_bucket").orderBy("mix_key", "doc_id")
     rows = rows.withColumn("mix_i", F.row_number().over(within) - 1).join(starts, ["mix_sid", "mix_bucket"])
     at = F.col("mix_before") + F.col("mix_i")
-    rows = rows.withColumn("mix_block", F.when(F.col("mix_share").isNotNull(), F.floor(at / block)).otherwise(-1).cast("long"))
-    rows = rows.withColumn("mix_rank", (at % block).cast("long")).withColumn("mix_cycle", F.floor(F.col("mix_block") / F.col("mix_share")))
-    rows = rows.withColumn("mix_j", F.col("mix_block") % F.col("mix_share")).join(F.broadcast(slots), ["mix_sid", "mix_j"], "left")  # `parts` rows, or 8 for each source
-    offset = F.col("mix_cycle") * period
+    rows = rows.withColumn("mix_block", F.when(F.col("mix_sched"), F.floor(at / block)).otherwise(-1).cast("long"))
+    rows = rows.withColumn("mix_rank", (at % block).cast("long")).join(slots, ["mix_sid", "mix_block"], "left")
     return rows.select(
         *docs.columns,
         "mix_block",
-        (offset + F.col("mix_r")).cast("long").alias("mix_release"),
-        (offset + F.col("mix_d")).cast("long").alias("mix_deadline"),
-        (offset + F.col("mix_t")).cast("long").alias("mix_slot"),
+        F.col("mix_r").alias("mix_release"),
+        F.col("mix_d").alias("mix_deadline"),
+        F.col("mix_t").alias("mix_slot"),
         "mix_rank",
-        F.coalesce(offset + F.col("mix_t") <= target_end, F.lit(False)).alias("mix_on_target"),
+        F.coalesce(F.col("mix_t") <= (-1 if target_end is None else target_end), F.lit(False)).alias("mix_on_target"),
     )
-
-
-def _slot_of(plan: list, name, number: int, share: int, period: int) -> int:
-    if number < 0:
-        return -1
-    slot = {i: s for k, i, _, _, s in plan if k == name}
-    return number // share * period + slot[number % share]

@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -83,3 +84,18 @@ def test_odd_rows(frame, odd_rows):
 def test_too_many_sources(frame):
     with pytest.raises(ValueError):
         mix(frame([(i, "t", "en", f"s{i}") for i in range(20)]), max_sources=10)
+
+
+def test_exact_weights_over_a_long_run(frame):
+    """More slots than a period of whole parts had, against the weights as they were given."""
+    weights = {"a": Fraction(1, 3), **{f"s{i}": Fraction(2, 57) for i in range(19)}, "z": Fraction(1, 10**6)}
+    names = sorted(weights)
+    rows = [(i, "t", "en", "a" if i % 3 == 0 else f"s{i % 19}") for i in range(40_000)] + [(40_000 + i, "t", "en", "z") for i in range(5)]
+    got = mix(frame(rows), weights, block=1).where("mix_on_target").collect()
+    total, so_far = sum(weights.values()), Counter()
+    assert len(got) > 30_000
+    for slot, r in enumerate(sorted(got, key=lambda r: r.mix_slot)):
+        so_far[r.source] += 1
+        assert r.mix_slot == slot and r.mix_release <= slot < r.mix_deadline
+        if slot % 50 == 0 or slot > len(got) - 100:
+            assert all(abs(so_far[k] - weights[k] / total * (slot + 1)) < 1 for k in names)
