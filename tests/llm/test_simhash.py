@@ -177,3 +177,13 @@ def test_real_near_copies_are_found(frame, prose):
     assert all(0.8 <= jaccard(rows[k][1], rows[k + 1][1]) < 0.81 for k in range(0, 300, 2))
     got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
     assert got == {i: i // 2 * 2 for i in range(300)}
+
+
+def test_less_than_the_similarity_is_not_linked(frame, prose):
+    rows = []
+    for i in range(60):
+        one = prose(504, 2000 + i)
+        rows += [(2 * i, one), (2 * i + 1, spoiled(one, 12 + i % 4))]
+    assert all(0.7 < jaccard(rows[k][1], rows[k + 1][1]) < 0.8 for k in range(0, 120, 2))
+    got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
+    assert got == {i: i for i in range(120)}
