@@ -125,8 +125,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
-def core_of(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """A keyed draw of the kind: what replaces the canonical form."""
+def country_of(kind: Column, mention: Column) -> Column:
+    """Digits of the country code that a phone number sets apart; empty for all else."""
+    return F.when(kind == "phone", F.regexp_extract(mention, "^\\+(\\d{1,3})[ .(-]", 1)).otherwise("")
+
+
+def core_of(kind: Column, canon: Column, country: Column, attempt: Column, key: str) -> Column:
+    """A keyed draw of the kind: what replaces the canonical form. A country code is kept in front."""
     h = _digest(kind, canon, attempt, key, "core")
     n = F.length(canon)
     digits = F.concat(_digits(h), _digits(_digest(kind, canon, attempt, key, "more")), _digits(_digest(kind, canon, attempt, key, "most")))
@@ -149,7 +154,7 @@ def core_of(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         .when(kind == "name", F.concat_ws(" ", given, F.initcap(family)))
         .when(kind == "card", card)
         .when(kind == "ip", ip)
-        .when(kind == "phone", F.concat((_number(h, 50) % 8 + 2).cast("string"), F.substring(digits, 2, 20)))
+        .when(kind == "phone", F.concat(country, (_number(h, 50) % 8 + 2).cast("string"), F.substring(digits, 2, 20)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, 2, 8)))
         .otherwise(F.concat(digits, letters))
     )
@@ -169,42 +174,48 @@ def _filled(shape: Column, digits: Column, letters: Column) -> Column:
     return F.aggregate(F.split(shape, ""), zero, step, lambda a: a["out"])
 
 
+def _secret(value: Column, core: Column) -> Column:
+    letters = F.regexp_replace(core, "[^a-z]", "")
+    hex_letters = F.translate(letters, "bcdfghjkmnprstvw", "abcdefabcdefabcd")
+    return _filled(value, F.regexp_replace(core, "\\D", ""), F.when(value.rlike("^[0-9a-f]+$"), hex_letters).otherwise(letters))
+
+
 def rewritten(kind: Column, mention: Column, core: Column) -> Column:
     """The mention in its own format, from the core."""
     digits, letters = F.regexp_replace(core, "\\D", ""), F.regexp_replace(core, "[^a-z]", "")
     local, domain = F.regexp_extract(mention, "^([^@]*)@", 1), F.regexp_extract(core, "@(.*)$", 1)
     mail_letters = F.regexp_replace(F.regexp_extract(core, "^([^@]*)@", 1), "[^a-z]", "")
     prefix = F.regexp_extract(mention, "^([^=:]*[=:]\\s{0,2}[\"']?)", 1)
-    country = F.regexp_extract(mention, "^(\\+\\d{1,3})[ .(-]", 1)
+    value = F.substring(mention, F.length(prefix) + 1, F.length(mention))
     title = F.regexp_extract(mention, f"^((?:{_TITLE})\\.?\\s)", 1)
     hex_letters = F.translate(letters, "bcdfghjkmnprstvw", "abcdefabcdefabcd")
     words = F.size(F.split(_bare_name(mention), "\\s"))
     return (
         F.when(kind == "email", F.concat(_filled(local, digits, mail_letters), F.lit("@"), domain))
-        .when(kind == "secret", F.concat(prefix, _filled(F.substring(mention, F.length(prefix) + 1, F.length(mention)), digits, F.when(mention.rlike("[=:]\\s{0,2}[\"']?[0-9a-f]+$"), hex_letters).otherwise(letters))))
+        .when(kind == "secret", F.concat(prefix, _secret(value, core)))
         .when((kind == "key") & mention.startswith("AKIA"), F.concat(F.lit("AKIA"), _filled(F.substring(mention, 5, 16), digits, letters)))
         .when(kind == "key", _filled(mention, digits, hex_letters))
         .when(kind == "iban", F.concat(F.substring(mention, 1, 2), _filled(F.substring(mention, 3, 60), digits, letters)))
         .when(kind == "ip", core)
         .when(kind == "name", F.concat(title, F.when(words > 1, core).otherwise(F.element_at(F.split(core, " "), -1))))
-        .when(kind == "phone", F.concat(country, _filled(F.substring(mention, F.length(country) + 1, F.length(mention)), digits, letters)))
         .otherwise(_filled(mention, digits, letters))
     )
 
 
 def _spelled(kind: Column, canon: Column, core: Column) -> Column:
-    """What must differ between entities of a kind: the core as it will be seen in their format."""
-    shown = F.when(kind == "name", F.concat(F.substring_index(canon, " ", 2), F.lit(" "), F.lower(core)))
-    return F.when(kind == "name", shown).when(kind == "secret", _filled(canon, F.regexp_replace(core, "\\D", ""), F.regexp_replace(core, "[^a-z]", ""))).otherwise(F.lower(rewritten(kind, canon, core)))
+    """What must differ between entities of a kind: the canonical form, in lower case, of what rewritten() gives for them."""
+    single = F.size(F.split(canon, "\\s")) == 3  # gender, script and one word, of which the family name alone is written
+    name = F.concat(F.substring_index(canon, " ", 2), F.lit(" "), F.when(single, F.element_at(F.split(core, " "), -1)).otherwise(core))
+    return F.lower(F.when(kind == "name", name).when(kind == "secret", _secret(canon, core)).otherwise(rewritten(kind, canon, core)))
 
 
 def cores(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon), distinct -> (kind, canon, core): no two entities of a kind look alike,
+    """(kind, canon, country), one for each (kind, canon) -> (kind, canon, core): no two entities of a kind look alike,
     and none looks like one that occurs. Each round draws again for what collided."""
     taken = None
     left = entities.withColumn("attempt", F.lit(0))
     for _ in range(ROUNDS):
-        drawn = left.withColumn("core", core_of(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        drawn = left.withColumn("core", core_of(F.col("kind"), F.col("canon"), F.col("country"), F.col("attempt"), key))
         drawn = cut(drawn.withColumn("shown", _spelled(F.col("kind"), F.col("canon"), F.col("core"))))
         first = drawn.groupBy("kind", "shown").agg(F.min("canon").alias("canon"))
         first = first.join(entities.select("kind", F.lower("canon").alias("shown")).distinct(), ["kind", "shown"], "left_anti")
@@ -216,8 +227,8 @@ def cores(entities: DataFrame, key: str = KEY) -> DataFrame:
         if left.isEmpty():
             return taken.drop("shown")
     # A kind whose forms are used up (a format of a few characters): the rest keep their draw.
-    rest = left.withColumn("core", core_of(F.col("kind"), F.col("canon"), F.col("attempt"), key))
-    return taken.drop("shown").unionByName(rest.drop("attempt"))
+    rest = left.withColumn("core", core_of(F.col("kind"), F.col("canon"), F.col("country"), F.col("attempt"), key))
+    return taken.drop("shown").unionByName(rest.drop("attempt", "country"))
 
 
 def surrogates(docs: DataFrame, key: str = KEY, count_col: str | None = None) -> DataFrame:
@@ -238,7 +249,7 @@ def surrogates(docs: DataFrame, key: str = KEY, count_col: str | None = None) ->
     found = marked.where(F.col(key_).isNotNull())
     mentions = found.select(F.col(key_).alias("lm_text"), F.explode(F.array_distinct(seen_)).alias("mention")).distinct().withColumn("kind", kind_of(F.col("mention")))
     mentions = cut(mentions.withColumn("canon", canonical(F.col("kind"), F.col("mention"))))
-    drawn = cores(cut(mentions.select("kind", "canon").distinct()), key)
+    drawn = cores(cut(mentions.groupBy("kind", "canon").agg(F.max(country_of(F.col("kind"), F.col("mention"))).alias("country"))), key)
     pairs = mentions.join(drawn, ["kind", "canon"]).select("lm_text", "mention", rewritten(F.col("kind"), F.col("mention"), F.col("core")).alias("new"))
     maps = cut(pairs.groupBy("lm_text").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("lm_map")))
 

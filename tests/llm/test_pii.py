@@ -102,3 +102,25 @@ def test_query(spark, sf_dir):
 def test_native(spark, sf_dir):
     plan = op3_surrogates(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_what_is_written_stays_distinct(frame):
+    """On the forms in the texts: phones with a country code, in a space that its last digit belongs to, and names of one word."""
+    from lamella.llm.pii import FAMILY
+
+    phones = [f"call +1 ({200 + i // 1000}) 555-{i % 1000:04d} now" for i in range(1500)]
+    names = [f"met Mr. {''.join(chr(97 + i // 26 ** k % 26) for k in range(3)).title()}son, alone" for i in range(3000)]
+    out = replaced(frame, phones + names)
+    digits = [re.sub(r"\D", "", t) for t in out[:1500]]
+    assert len(set(digits)) == 1500 and all(re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", t) for t in out[:1500])
+    assert not set(digits) & {re.sub(r"\D", "", t) for t in phones}
+    assert len(set(out[1500:])) == 3000 and FAMILY
+    short = [f"ring +{c} 12 34 {n:02d} now" for c in (31, 32) for n in range(100)]
+    got = replaced(frame, short)
+    assert len(set(got)) == 200 and not set(got) & set(short)
+    assert all(a[:8] == b[:8] for a, b in zip(short, got))
+
+
+def test_phone_formats_corefer(frame):
+    a, b = replaced(frame, ["call +49 171 234 5678 now", "call +491712345678 now"])
+    assert a.startswith("call +49 ") and re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
