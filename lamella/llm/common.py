@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between JVM and Python, and of texts that are worked on at a time.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,6 +40,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of an Arrow batch to BATCH_BYTES: rows of long texts are otherwise held by
+    the JVM, by Arrow and by Python, 64 MB each. A lower bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().getConfString(name)
+    if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, at: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of its text column `at`; a longer text is a slice of its own."""
+    if not batch.num_rows:
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(size) - size) // most
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def packed(docs: DataFrame, apart: list[str]) -> DataFrame:
     """The columns `apart`, and all others in a struct lm_doc: so no name of theirs meets one of an operator's own."""
     others = [docs[f"`{c}`"].alias(c) for c in docs.columns if c not in apart]
