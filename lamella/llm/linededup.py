@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, stored
 
 SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
-MIN_WORDS = 5
+MIN_WORDS = 1
 
 
 def units(text: str | None, unit: str = "line") -> list[tuple[int, int]]:

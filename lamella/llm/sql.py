@@ -19,7 +19,7 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 
 LINE_DEDUP_SQL = r"""
 WITH e AS (SELECT doc_id, unnest(range(len(l))) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')),
-f AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda x: x <> '') AS words FROM e), g AS (SELECT doc_id, no, line, array_to_string(words, ' ') AS form, len(words) >= 5 AS counts FROM f),
+f AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '\s+'), lambda x: x <> '') AS words FROM e), g AS (SELECT doc_id, no, line, array_to_string(words, ' ') AS form, len(words) >= 1 AS counts FROM f),
 firsts AS (SELECT form, min(row(doc_id, no)) AS first FROM g WHERE counts GROUP BY form),
 m AS (SELECT g.*, counts AND first <> row(doc_id, no) AS gone, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM g LEFT JOIN firsts USING (form)),
 r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone) AS left_, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed, string_agg(concat(start, '-', start + length(line)), ',' ORDER BY no) FILTER (WHERE gone) AS removed FROM m GROUP BY doc_id)

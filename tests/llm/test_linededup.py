@@ -4,7 +4,7 @@ from lamella.llm.linededup import line_dedup
 from lamella.llm.queries import op7_line_dedup
 
 
-def plain(docs, min_words=5):
+def plain(docs, min_words=1):
     """By (row number): (doc_id, text left, removed spans)."""
     lines = []
     for n, (doc, text) in enumerate(docs):
@@ -64,4 +64,11 @@ def test_odd_rows(frame, odd_rows):
 
 def test_newlines_within_words_are_kept(frame):
     text = "a\n\n\nb\r\nc" * 3
-    assert line_dedup(frame([(1, text)])).first().text == text and re.search("\r", text)
+    assert line_dedup(frame([(1, text)]), min_words=5).first().text == text and re.search("\r", text)
+
+
+def test_short_lines_and_scripts_without_blanks(frame):
+    docs = [(1, "All rights reserved.\n这是一个重复的段落"), (2, "all  RIGHTS reserved.\n这是一个重复的段落\n\n\nown"), (3, "\n \n")]
+    got = results(line_dedup(frame(docs)))
+    assert got == sorted(plain(docs), key=repr) and got[1] == (2, "\n\nown", [(0, 21), (22, 31)]) and got[2][1] == "\n \n"
+    assert all(r.n_removed == 0 for r in line_dedup(frame(docs), min_words=5).collect())
