@@ -15,7 +15,8 @@ of the corpus with one another:
    prefixes by Kasai's scan; strings with a common prefix of LENGTH bytes or
    more form a class with a smallest document. Classes are merged over the
    shards of a partition by binary search, with a comparison of the bytes.
-4. Each document gets the starts of its repeated strings.
+4. The starts of repeated strings go back packed, a row for each task and
+   bucket of documents; each document gets its own.
 
 Whole copies of a text are settled before by their digests.
 """
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices, small_batches
 
 LENGTH = 50
 K = 24
@@ -80,7 +81,7 @@ class Chunk:
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         low = minimizers(self.data, length)
-        owner = np.repeat(np.arange(len(texts)), self.sizes)[: len(low)]
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)[: len(low)]
         inside = np.arange(len(low)) + length <= self.ends[owner] if len(low) else np.empty(0, bool)
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
@@ -345,34 +346,58 @@ def shard_classes(data: np.ndarray, row: np.ndarray, row_end: np.ndarray, doc: n
     return whole, number, whole[first], least
 
 
-def _by_document(doc: np.ndarray, own: np.ndarray, start: np.ndarray, mask: np.ndarray):
-    """Batches of (doc_id, lm_row, starts, masks): the repeated strings found, a row for each document."""
+#: Repeated strings found: the bucket of their documents, and, packed, document, row, start and mask of each.
+HITS = "part int, packed binary"
+
+
+def _hit_rows(parts: int, doc: np.ndarray, own: np.ndarray, start: np.ndarray, mask: np.ndarray) -> list[tuple[int, bytes]]:
+    """Rows of HITS, one for each bucket with a document."""
+    part = _bucket(doc.view(np.uint64), parts)
+    order = np.lexsort((start, own, doc, part))
+    part, columns = part[order], [x[order].astype(np.int64) for x in (doc, own, start, mask)]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.array([0])
+    return [(int(part[a]), _packed(np.concatenate([c[a:b] for c in columns]).view(np.uint64), 8)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def _hits_of_documents(batches):
+    """Of a bucket: a row for each document, with starts and masks of its repeated strings by row."""
+    blobs = [_unpacked(x.as_py(), 8).view(np.int64).reshape(4, -1) for b in batches for x in b.column(1)]
+    if not blobs:
+        return
+    doc, own, start, mask = np.concatenate(blobs, axis=1)
     order = np.lexsort((own, doc))
     doc, own, start, mask = doc[order], own[order], start[order].astype("<i4"), mask[order].astype("<i8")
-    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]), True]) if len(doc) else np.array([0])
-    for at in range(0, len(cuts) - 1, 5000):
-        c = cuts[at : at + 5001].tolist()
-        blobs = [[x[a:b].tobytes() for a, b in zip(c[:-1], c[1:])] for x in (start, mask)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), pa.array(own[c[:-1]]), *[pa.array(x, pa.binary()) for x in blobs]], names=["doc_id", "lm_row", "starts", "masks"])
+    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]), True])
+    of = doc[cuts[:-1]]
+    docs = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+    for at in range(0, len(docs) - 1, 2000):
+        ends = docs[at : at + 2001]
+        c = cuts[ends[0] : ends[-1] + 1].tolist()
+        starts, masks = ([x[a:b].tobytes() for a, b in zip(c[:-1], c[1:])] for x in (start, mask))
+        hits = pa.StructArray.from_arrays([pa.array(own[c[:-1]]), pa.array(starts, pa.binary()), pa.array(masks, pa.binary())], names=["lm_row", "starts", "masks"])
+        lists = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), hits)
+        yield pa.RecordBatch.from_arrays([pa.array(of[ends[:-1]]), lists], names=["lm_id", "hits"])
 
 
-def _settle(length: int):
+def _settle(length: int, parts: int):
+    """Of the runs of a key: those that a smaller document has too, as HITS."""
+
     def scan(batches):
-        parts: list[tuple] = []
+        columns: list[tuple] = []
         distinct: dict[bytes, int] = {}
         numbers: list[np.ndarray] = []
         for batch in batches:
             known = pc.is_valid(batch.column(5))
             if pc.any(known).as_py():  # settled in its task
                 done = batch.filter(known)
-                yield pa.RecordBatch.from_arrays([done.column(k) for k in (1, 2, 5, 6)], names=["doc_id", "lm_row", "starts", "masks"])
+                yield pa.RecordBatch.from_arrays([done.column(5), done.column(6)], names=["part", "packed"])
             batch = batch.filter(pc.is_valid(batch.column(4)))
             pieces = batch.column(4).to_pylist()
             numbers.append(np.array([distinct.setdefault(p, len(distinct)) for p in pieces], np.int64))
-            parts.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+            columns.append(tuple(batch.column(k).to_numpy() for k in range(4)))
         if not distinct:
             return
-        key, doc, own, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        key, doc, own, start = (np.concatenate([c[k] for c in columns]) for k in range(4))
         number = np.concatenate(numbers)
         texts = list(distinct)
         size = np.array(list(map(len, texts)), np.int64)
@@ -399,19 +424,21 @@ def _settle(length: int):
                 gone = inside & (least[np.where(inside, at, 0)] < doc[r][:, None])
                 mask[r] = (gone.astype(np.int64) << bit).sum(axis=1)
         hit = np.flatnonzero(mask)
-        yield from _by_document(doc[hit], own[hit], start[hit], mask[hit])
+        rows = _hit_rows(parts, doc[hit], own[hit], start[hit], mask[hit])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["part", "packed"])
 
     return scan
 
 
-def string_marks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def string_marks(data: np.ndarray, starts: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """128 bits of each string of `length` bytes at the given starts, as two words."""
     words = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     at = [*range(0, length - 7, 8), length - 8] if length >= 8 else [0]
     cut = np.uint64((1 << 8 * min(8, length)) - 1)
     out = np.zeros((len(starts), 2), np.uint64)
     for n in (0, 1):
-        h = np.full(len(starts), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[n], np.uint64)
+        h = np.full(len(starts), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[n] ^ seed, np.uint64)
         odd = np.uint64((0xBF58476D1CE4E5B9, 0x94D049BB133111EB)[n])
         for k in at:
             h = (h ^ (words[starts + k] & cut)) * odd
@@ -430,29 +457,44 @@ def _least_documents(pieces: list[bytes], doc: np.ndarray, length: int) -> tuple
     """
     size = np.array(list(map(len, pieces)), np.int64)
     offset = np.r_[0, np.cumsum(size)]
+    everything = np.frombuffer(b"".join(pieces), np.uint8)
     cuts = np.unique(np.r_[0, np.searchsorted(np.cumsum(size), np.arange(SHARD, size.sum() + SHARD, SHARD), side="right"), len(size)])
     shards = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        data = np.frombuffer(b"".join(pieces[a:b]), np.uint8)
         ends = offset[a + 1 : b + 1] - offset[a]
         row = np.repeat(np.arange(b - a), size[a:b])
-        at, number, first, least = shard_classes(data, row, np.repeat(ends, size[a:b]), doc[a:b], length)
-        shards.append((offset[a], at, number, string_marks(data, first, length) if len(cuts) > 2 else None, least))
+        at, number, first, least = shard_classes(everything[offset[a] : offset[b]], row, np.repeat(ends, size[a:b]), doc[a:b], length)
+        shards.append((offset[a] + at, number, offset[a] + first, least))
     out = np.full(int(offset[-1]), np.iinfo(np.int64).max)
     if len(shards) == 1:
-        _, at, number, _, least = shards[0]
+        at, number, _, least = shards[0]
         out[at] = least[number]
         return out, offset
-    marks, leasts = np.concatenate([s[3] for s in shards]), np.concatenate([s[4] for s in shards])
-    order = np.lexsort((marks[:, 1], marks[:, 0]))
-    table = marks[order]
-    head = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]).any(axis=1)])
-    known, best = table[head], np.minimum.reduceat(leasts[order], head)
-    for begin, at, number, own, _ in shards:
-        out[begin + at] = best[_search(known, own)][number]
+    own, leasts = np.concatenate([s[2] for s in shards]), np.concatenate([s[3] for s in shards])
+    for seed in range(64):
+        marks = string_marks(everything, own, length, seed)
+        order = np.lexsort((marks[:, 1], marks[:, 0]))
+        table = marks[order]
+        head = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]).any(axis=1)])
+        known, best = table[head], np.minimum.reduceat(leasts[order], head)
+        place = _search(known, marks)
+        if _same_bytes(everything, own, own[order[head]][place], length):
+            break
+    else:
+        raise RuntimeError("strings could not be told apart")
+    done = 0
+    for at, number, first, _ in shards:
+        out[at] = best[place[done : done + len(first)]][number]
+        done += len(first)
     return out, offset
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> bool:
+    """Whether the strings at a are those at b, byte by byte."""
+    step = np.arange(length)
+    return all((data[a[i : i + 50_000, None] + step] == data[b[i : i + 50_000, None] + step]).all() for i in range(0, len(a), 50_000))
+
+
 def _search(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of two-word keys, all present, in a sorted table of them: binary search by the first word, then the second."""
     place = np.searchsorted(table[:, 0], wanted[:, 0])
@@ -466,11 +508,12 @@ def _search(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the operator
 
 
-#: A run: its piece of text, or, settled in its task for a whole document, starts and masks.
-RUNS = "key long, doc_id long, lm_row long, start int, piece binary, starts binary, masks binary"
+#: A run, with its piece of text; or HITS that are settled in their task.
+RUNS = "key long, doc_id long, lm_row long, start int, piece binary, part int, packed binary"
+_RUN_NAMES = [c.split()[0] for c in RUNS.split(", ")]
 
 
-def _run_rows(length: int, crowded):
+def _run_rows(length: int, parts: int, crowded):
     """Runs of strings with shared minimizers, as RUNS.
 
     A run that a smaller document of the same task has is settled already. A
@@ -502,17 +545,19 @@ def _run_rows(length: int, crowded):
             begin = (first - starts[c.owner[at]]).astype(np.int64)
             own = np.array([m[0] for m in more], np.int64)[c.owner[at]]
             done = np.flatnonzero(doc > doc[chief])
-            for b in _by_document(doc[done], own[done], begin[done], (np.int64(1) << (last - first)[done]) - 1):
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), b.column(2), b.column(3)], names=["key", "doc_id", "lm_row", "start", "piece", "starts", "masks"])
+            rows = _hit_rows(parts, doc[done], own[done], begin[done], (np.int64(1) << (last - first)[done]) - 1)
+            if rows:
+                part, packed = zip(*rows)
+                none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *none, pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names=_RUN_NAMES)
             sent = np.flatnonzero(doc == doc[chief])
             key = c.low[at].view(np.int64).copy()
             for n in sent[hot[at[sent]]].tolist():
                 key[n] = xxhash.xxh3_64_intdigest(pieces[n]) >> 1
             for a in range(0, len(sent), 20_000):
                 r = sent[a : a + 20_000]
-                none = pa.nulls(len(r), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(doc[r]), pa.array(own[r]), pa.array(begin[r].astype(np.int32)), pa.array([pieces[n] for n in r.tolist()], pa.binary()), none, none], names=["key", "doc_id", "lm_row", "start", "piece", "starts", "masks"])
+                none = [pa.nulls(len(r), t) for t in (pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(doc[r]), pa.array(own[r]), pa.array(begin[r].astype(np.int32)), pa.array([pieces[n] for n in r.tolist()], pa.binary()), *none], names=_RUN_NAMES)
 
     return scan
 
@@ -546,6 +591,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     matches nothing. No rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     all_rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("lm_text")).withColumn("lm_row", F.xxhash64("lm_text"))
     rows = all_rows.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -573,31 +619,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # One exchange of the texts, by document, serves the runs and the removal.
     placed = rows.repartition(int(max(parts, spark.sparkContext.defaultParallelism)), "doc_id")
     suspects = placed.join(by_doc, placed.doc_id == by_doc.doc).where(~F.coalesce(F.array_contains("whole", F.col("lm_row")), F.lit(False)))
-    runs = suspects.select("doc_id", "lm_text", "lm_row", "shared").mapInArrow(_run_rows(length, crowded), RUNS)
-    settled = runs.repartition("key").mapInArrow(_settle(length), "doc_id long, lm_row long, starts binary, masks binary")
-    hits = settled.unionByName(copies.select("doc_id", "lm_row", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("masks")))
-    gone = hits.groupBy("doc_id").agg(F.collect_list(F.struct("lm_row", "starts", "masks")).alias("hits")).withColumnRenamed("doc_id", "lm_id")
-    marked = placed.join(gone, placed.doc_id == gone.lm_id, "left").select(F.col("doc_id").cast(id_type).alias("doc_id"), "lm_text", "lm_row", "hits")
-    nameless = all_rows.where("doc_id IS NULL").select("doc_id", "lm_text", "lm_row", F.lit(None).cast("array<struct<lm_row:bigint,starts:binary,masks:binary>>").alias("hits"))
+    runs = suspects.select("doc_id", "lm_text", "lm_row", "shared").mapInArrow(_run_rows(length, parts, crowded), RUNS)
+    settled = runs.repartition("key").mapInArrow(_settle(length, parts), HITS)
+    hits = settled.repartition(parts, "part").mapInArrow(_hits_of_documents, "lm_id long, hits array<struct<lm_row:bigint,starts:binary,masks:binary>>")
+    marked = placed.join(whole, placed.doc_id == whole.copy_of, "left").join(hits, placed.doc_id == hits.lm_id, "left")
+    marked = marked.select(F.col("doc_id").cast(id_type).alias("doc_id"), "lm_text", "lm_row", F.array_contains("whole", F.col("lm_row")).alias("whole"), "hits")
+    nameless = all_rows.where("doc_id IS NULL").select("doc_id", "lm_text", "lm_row", F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("array<struct<lm_row:bigint,starts:binary,masks:binary>>").alias("hits"))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for b in slices(batch, 1):
                 sizes, spans, kept = [], [], []
-                for text, own, hits in zip(b.column(1), b.column(2), b.column(3)):
-                    raw = text.as_py()
-                    starts, whole = [np.empty(0, np.int64)], False
+                for text, own, whole, hits in zip(*b.columns[1:]):
+                    raw, starts = text.as_py(), [np.empty(0, np.int64)]
                     for hit in hits.as_py() or ():
-                        if hit["lm_row"] != own.as_py():
-                            continue
-                        if hit["starts"] is None:
-                            whole = True
-                            continue
-                        first, mask = np.frombuffer(hit["starts"], "<i4").astype(np.int64), np.frombuffer(hit["masks"], "<i8")
-                        starts.append((first[:, None] + np.arange(MAX_RUN))[((mask[:, None] >> np.arange(MAX_RUN)) & 1) == 1])
-                    a, e = (np.array([0]), np.array([len(raw)])) if whole else removed_spans(len(raw), np.concatenate(starts), length)
+                        if hit["lm_row"] == own.as_py():
+                            first, mask = np.frombuffer(hit["starts"], "<i4").astype(np.int64), np.frombuffer(hit["masks"], "<i8")
+                            starts.append((first[:, None] + np.arange(MAX_RUN))[((mask[:, None] >> np.arange(MAX_RUN)) & 1) == 1])
+                    a, e = (np.array([0]), np.array([len(raw)])) if whole.as_py() else removed_spans(len(raw), np.concatenate(starts), length)
                     sizes.append(len(raw))
                     spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, e)])
                     kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*a.tolist(), len(raw)])))

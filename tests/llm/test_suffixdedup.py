@@ -114,3 +114,42 @@ def test_shard_classes():
         found.setdefault(raw[s : s + 4], set()).add(n)
     assert all(len(x) == 1 for x in found.values()) and len(found) == len(first)
     assert least[next(iter(found[b"abca"]))] == 2 and least[next(iter(found[b"cabx"]))] == 4
+
+
+def least_of(pieces, doc, length):
+    first = {}
+    for p, d in zip(pieces, doc):
+        for i in range(len(p) - length + 1):
+            first[p[i : i + length]] = min(first.get(p[i : i + length], d), d)
+    return [first[p[i : i + length]] for p in pieces for i in range(len(p) - length + 1)]
+
+
+def test_shards_are_merged_by_bytes(monkeypatch):
+    import lamella.llm.suffixdedup as module
+
+    rng = np.random.default_rng(3)
+    pieces = [bytes(rng.integers(97, 99, rng.integers(10, 40)).astype(np.uint8)) for _ in range(80)]
+    doc = rng.integers(0, 50, 80)
+    marks, seeds = module.string_marks, []
+
+    def clashing(data, starts, length, seed=0):  # with the first two seeds unlike strings have one mark
+        seeds.append(seed)
+        return marks(data, starts, length, seed) % (1 if seed < 2 else 1 << 63)
+
+    monkeypatch.setattr(module, "SHARD", 200)
+    monkeypatch.setattr(module, "string_marks", clashing)
+    least, offset = module._least_documents(pieces, doc, 10)
+    got = [least[offset[i] + k] for i, p in enumerate(pieces) for k in range(len(p) - 9)]
+    assert got == least_of(pieces, doc.tolist(), 10) and seeds == [0, 1, 2]
+
+
+def test_bound_of_hot_minimizers(frame, prose, monkeypatch):
+    import lamella.llm.suffixdedup as module
+
+    shared = prose(20, 77)
+    docs = [(i, f"{prose(12, 1000 + i)} {shared} {prose(12, 2000 + i)}") for i in range(40)]
+    wanted = sorted(plain(docs))
+    for hot, most in ((1, 1 << 22), (1, 1), (20_000, 1)):
+        monkeypatch.setattr(module, "HOT", hot)
+        monkeypatch.setattr(module, "MAX_HOT", most)
+        assert digests(repeated_spans(frame(docs))) == wanted
