@@ -387,14 +387,14 @@ def _settle(length: int, parts: int):
         distinct: dict[bytes, int] = {}
         numbers: list[np.ndarray] = []
         for batch in batches:
-            known = pc.is_valid(batch.column(5))
+            known = pc.is_valid(batch.column(1))
             if pc.any(known).as_py():  # settled in its task
                 done = batch.filter(known)
-                yield pa.RecordBatch.from_arrays([done.column(5), done.column(6)], names=["part", "packed"])
-            batch = batch.filter(pc.is_valid(batch.column(4)))
-            pieces = batch.column(4).to_pylist()
-            numbers.append(np.array([distinct.setdefault(p, len(distinct)) for p in pieces], np.int64))
-            columns.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2)], names=["part", "packed"])
+            for blob in batch.filter(pc.is_null(batch.column(1))).column(2):
+                *run, pieces = _unpacked_runs(blob.as_py())
+                numbers.append(np.fromiter((distinct.setdefault(p, len(distinct)) for p in pieces), np.int64, len(pieces)))
+                columns.append(tuple(run))
         if not distinct:
             return
         key, doc, own, start = (np.concatenate([c[k] for c in columns]) for k in range(4))
@@ -508,12 +508,31 @@ def _search(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the operator
 
 
-#: A run, with its piece of text; or HITS that are settled in their task.
-RUNS = "key long, doc_id long, lm_row long, start int, piece binary, part int, packed binary"
-_RUN_NAMES = [c.split()[0] for c in RUNS.split(", ")]
+#: Runs for a part of the minimizers (bucket is null), or HITS for a bucket that are settled in their task.
+RUNS = "part int, bucket int, packed binary"
+#: Parts of runs for each part of minimizers.
+RUN_PARTS = 3
 
 
-def _run_rows(length: int, parts: int, crowded):
+def _packed_runs(key: np.ndarray, doc: np.ndarray, own: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> bytes:
+    """Runs of one part: their keys (6 bytes), documents, rows, starts and pieces of text (below 256 bytes each)."""
+    planes = [x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() for x, width in ((key, 6), (doc, 8), (own, 8), (start, 4), (np.fromiter(map(len, pieces), np.int64, len(pieces)), 1))]
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(pieces)).tobytes() + b"".join(planes) + b"".join(pieces))
+
+
+def _unpacked_runs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for width in (6, 8, 8, 4, 1):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(x.view("<i8").ravel())
+        at += n * width
+    ends = np.cumsum(out[4]) + at
+    return *out[:4], [raw[a:b] for a, b in zip((ends - out[4]).tolist(), ends.tolist())]
+
+
+def _run_rows(length: int, parts: int, runs: int, crowded):
     """Runs of strings with shared minimizers, as RUNS.
 
     A run that a smaller document of the same task has is settled already. A
@@ -547,17 +566,19 @@ def _run_rows(length: int, parts: int, crowded):
             done = np.flatnonzero(doc > doc[chief])
             rows = _hit_rows(parts, doc[done], own[done], begin[done], (np.int64(1) << (last - first)[done]) - 1)
             if rows:
-                part, packed = zip(*rows)
-                none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *none, pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names=_RUN_NAMES)
+                bucket, packed = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([x % runs for x in bucket], pa.int32()), pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], names=["part", "bucket", "packed"])
             sent = np.flatnonzero(doc == doc[chief])
             key = c.low[at].view(np.int64).copy()
             for n in sent[hot[at[sent]]].tolist():
-                key[n] = xxhash.xxh3_64_intdigest(pieces[n]) >> 1
-            for a in range(0, len(sent), 20_000):
-                r = sent[a : a + 20_000]
-                none = [pa.nulls(len(r), t) for t in (pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(doc[r]), pa.array(own[r]), pa.array(begin[r].astype(np.int32)), pa.array([pieces[n] for n in r.tolist()], pa.binary()), *none], names=_RUN_NAMES)
+                key[n] = xxhash.xxh3_64_intdigest(pieces[n]) >> 16
+            part = key[sent] % runs
+            sent = sent[np.lexsort((begin[sent], doc[sent], part))]
+            part = key[sent] % runs
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]).tolist() if len(sent) else [0]
+            own_runs = [sent[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            packed = [_packed_runs(key[r], doc[r], own[r], begin[r], [pieces[n] for n in r.tolist()]) for r in own_runs]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.nulls(len(packed), pa.int32()), pa.array(packed, pa.binary())], names=["part", "bucket", "packed"])
 
     return scan
 
@@ -608,20 +629,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = int(max(8, total // PART_BYTES))
     hot_documents = max(HOT, total // 7 // MAX_HOT)
     packed = long_.select("doc_id", "lm_text").mapInArrow(_minimizer_rows(parts, length), PACKED)
-    shared = cut(packed.repartition(parts, "part").mapInArrow(_shared_rows(parts, hot_documents), PACKED))
+    shared = cut(packed.repartitionById(parts, F.col("part")).mapInArrow(_shared_rows(parts, hot_documents), PACKED))
     # A hot minimizer stands for more than hot_documents pairs, of at most a seventh of the bytes: there are MAX_HOT at most.
     crowded = [_from_six(r.hashes) for r in shared.where("part = -1").select("hashes").toLocalIterator()]
     crowded = spark.sparkContext.broadcast(np.sort(np.concatenate([np.empty(0, np.uint64), *crowded])))
-    by_doc = shared.where("part >= 0").repartition(parts, "part").select("part", "direct", "ids", "docs", "hashes").mapInArrow(_merged_documents, "doc long, shared binary")
+    by_doc = shared.where("part >= 0").repartitionById(parts, F.col("part")).select("part", "direct", "ids", "docs", "hashes").mapInArrow(_merged_documents, "doc long, shared binary")
     whole = copies.groupBy("doc_id").agg(F.collect_set("lm_row").alias("whole")).withColumnRenamed("doc_id", "copy_of")
     by_doc = by_doc.join(whole, by_doc.doc == whole.copy_of, "left").select("doc", "shared", "whole")
 
     # One exchange of the texts, by document, serves the runs and the removal.
     placed = rows.repartition(int(max(parts, spark.sparkContext.defaultParallelism)), "doc_id")
     suspects = placed.join(by_doc, placed.doc_id == by_doc.doc).where(~F.coalesce(F.array_contains("whole", F.col("lm_row")), F.lit(False)))
-    runs = suspects.select("doc_id", "lm_text", "lm_row", "shared").mapInArrow(_run_rows(length, parts, crowded), RUNS)
-    settled = runs.repartition("key").mapInArrow(_settle(length, parts), HITS)
-    hits = settled.repartition(parts, "part").mapInArrow(_hits_of_documents, "lm_id long, hits array<struct<lm_row:bigint,starts:binary,masks:binary>>")
+    runs = suspects.select("doc_id", "lm_text", "lm_row", "shared").mapInArrow(_run_rows(length, parts, RUN_PARTS * parts, crowded), RUNS)
+    settled = runs.repartitionById(RUN_PARTS * parts, F.col("part")).mapInArrow(_settle(length, parts), HITS)
+    hits = settled.repartitionById(parts, F.col("part")).mapInArrow(_hits_of_documents, "lm_id long, hits array<struct<lm_row:bigint,starts:binary,masks:binary>>")
     marked = placed.join(whole, placed.doc_id == whole.copy_of, "left").join(hits, placed.doc_id == hits.lm_id, "left")
     marked = marked.select(F.col("doc_id").cast(id_type).alias("doc_id"), "lm_text", "lm_row", F.array_contains("whole", F.col("lm_row")).alias("whole"), "hits")
     nameless = all_rows.where("doc_id IS NULL").select("doc_id", "lm_text", "lm_row", F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("array<struct<lm_row:bigint,starts:binary,masks:binary>>").alias("hits"))
