@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_of, packed, stored
+from .common import column_of, packed, small_batches, stored
 
 #: Bytes to their lower case, and those in no word to a blank. Bytes over 0x7F, parts of other characters, are in words.
 FOLD = bytes(i if 48 <= i < 58 or 97 <= i < 123 or i > 127 else i + 32 if 65 <= i < 91 else 32 for i in range(256))
@@ -171,6 +171,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     are passed on as they are.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kept = [x for x in keep or [] if x != "doc_id"]
     head = docs.select("doc_id", *kept)
     schema = T.StructType([*head.schema, *T._parse_datatype_string("lm_bytes binary, n_words long, hits array<struct<start:int,end:int>>, items array<string>")])

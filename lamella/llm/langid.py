@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_remainder
+from .common import fold_remainder, small_batches
 
 DIMS = 1 << 15
 BATCH = 64
@@ -183,6 +183,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     pieces, so memory is bounded by a batch of bits.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     keep = [c for c in keep if c not in ("lang_pred", "score")]
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.select(*keep).schema)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

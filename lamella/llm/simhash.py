@@ -20,21 +20,25 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, slices, small_batches, stored
 from .components import connected_components
 from .gray_index import Labels, gray_rank, link_within
 
 HOT_PLACE = 50_000
 PIVOTS = 3
 SLICE = 1 << 18
-#: MinHash bands of similar_groups, and its pivots for each place.
+#: MinHash bands of similar_groups.
 BANDS, BAND_ROWS = 16, 4
-STARS = 2
+#: A place of more members or bytes of shingles is searched by cells, after links to so many pivots.
+CELL_ROWS, CELL_BYTES = 1024, 16 << 20
+STARS = 8
+FEW = 6
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -156,10 +160,7 @@ def _hot_cells(rows: DataFrame, words: list[str], radius: int) -> tuple[DataFram
 
     A code within the radius of its place's pivot is linked to it, and so to
     all others that are: pairs of one such class need no search. What is left
-    is taken by a second pivot, and a third. All other pairs meet: rows are
-    cut into chunks by class, and each two chunks that are not of one class
-    make a cell. A large group of near copies is one class, so its cells are
-    as many as its chunks, not their square.
+    is taken by a second pivot, and a third. All other pairs meet, by _cells.
     """
     at, rest = ["place", "key"], rows
     edges, classed = None, None
@@ -175,17 +176,27 @@ def _hot_cells(rows: DataFrame, words: list[str], radius: int) -> tuple[DataFram
         if rest.isEmpty():
             break
     everything = cut(classed.unionByName(rest.select(*at, "rep", *words, F.lit(0).cast("long").alias("class"), F.lit(True).alias("open"))))
-    sizes = everything.groupBy(*at, "open", "class").agg(F.ceil(F.count(F.lit(1)) / HOT_PLACE).alias("chunks"))
-    sizes = cut(sizes)
+    return edges, _cells(everything, words, F.lit(1.0), HOT_PLACE)
+
+
+def _cells(rows: DataFrame, words: list[str], weight: Column, most: int) -> DataFrame:
+    """(place, key, class, open, rep, words...) -> (place, key, rep, words...), key being the cell's.
+
+    Rows are cut into chunks of about `most` in weight, by class, and each two
+    chunks of a place that are not of one class make a cell, as does a chunk
+    of open rows with itself. A large group of near copies is one class, so
+    its cells are as many as its chunks, not their square.
+    """
+    at = ["place", "key"]
+    sizes = cut(rows.groupBy(*at, "open", "class").agg(F.ceil(F.sum(weight) / most).alias("chunks")))
     chunk = sizes.select(*at, "open", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"))
     chunk = cut(chunk.withColumn("c", F.xxhash64("open", "class", "c")))
     a, b = (chunk.select(*at, *[F.col(x).alias(f"{n}_{x}") for x in ("open", "class", "c")]) for n in "ab")
     unlike = F.col("a_open") | F.col("b_open") | (F.col("a_class") != F.col("b_class"))
     pair = a.join(b, at).where(((F.col("a_c") < F.col("b_c")) & unlike) | ((F.col("a_c") == F.col("b_c")) & F.col("a_open")))
     pair = pair.select(*at, F.explode(F.array_distinct(F.array("a_c", "b_c"))).alias("c"), F.xxhash64("key", "a_c", "b_c").alias("cell"))
-    of_chunk = everything.join(sizes, [*at, "open", "class"]).withColumn("c", F.xxhash64("open", "class", F.pmod(F.xxhash64("rep"), F.col("chunks"))))
-    cells = of_chunk.join(cut(pair), [*at, "c"]).select("place", F.col("cell").alias("key"), "rep", *words)
-    return edges, cells
+    of_chunk = rows.join(sizes, [*at, "open", "class"]).withColumn("c", F.xxhash64("open", "class", F.pmod(F.xxhash64("rep"), F.col("chunks"))))
+    return of_chunk.join(cut(pair), [*at, "c"]).select("place", F.col("cell").alias("key"), "rep", *words)
 
 
 def _searched(met: DataFrame, radius: int) -> DataFrame:
@@ -212,6 +223,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     takes the class of its fingerprint, null if no row with an id shares it.
     No rows give no rows. Only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
     codes = cut(prints.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep")))
     edges = hamming_links(codes.where("rep IS NOT NULL"), radius)
@@ -220,39 +232,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(of_code, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = 5) -> tuple[int, int]:
-    """128-bit SimHash (XXH3) as two signed words, of the distinct shingles, as in the Jaccard
-    similarity; zeros for a text without words."""
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """128-bit hashes (XXH3) of the lower-cased text's distinct word shingles, sorted; a row of two words each."""
     words = text.lower().split() if text else []
     if not words:
-        return 0, 0
+        return np.empty((0, 2), np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(words) - shingle + 1)]
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     xx = xxhash.xxh3_128_digest
-    distinct = {xx(joined[i:j]) for i, j in zip(starts[:n].tolist(), last.tolist())}
-    digests = b"".join(distinct)
-    set_bits = np.zeros(128, np.int64)
-    for at in range(0, len(digests), 16 * SLICE):
-        h = np.frombuffer(digests[at : at + 16 * SLICE], np.uint8).reshape(-1, 16)
-        set_bits += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int32)
-    return tuple(np.packbits(set_bits * 2 > len(distinct)).view(np.int64).tolist())
-
-
-def shingle_digests(text: bytes | None, shingle: int = 5) -> set[bytes]:
-    """Distinct 128-bit hashes (XXH3) of the lower-cased text's word shingles."""
-    words = text.lower().split() if text else []
-    if not words:
-        return set()
-    xx = xxhash.xxh3_128_digest
-    return {xx(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
+    found = np.frombuffer(b"".join({xx(joined[i:j]) for i, j in zip(starts.tolist(), last.tolist())}), "<u8").reshape(-1, 2)
+    return found[np.lexsort((found[:, 1], found[:, 0]))]
 
 
-def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
-    """The digests, sorted; a row of two words each."""
-    return np.frombuffer(b"".join(sorted(shingle_digests(text, shingle))), np.uint64).reshape(-1, 2)
+def set_mark(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole shingle set, as two signed words."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), "<i8").tolist())
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -267,55 +263,150 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64).view(np.int64)
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of the pairs (src, dst) of reps those whose shingle sets have the Jaccard similarity, counted exactly."""
-    least = Fraction(str(similarity))
+def alike(one: int, two: int, both: int, least: Fraction) -> bool:
+    """Whether sets of so many members, and so many in common, have the Jaccard similarity."""
+    return both * least.denominator >= (one + two - both) * least.numerator
+
+
+def links_of_sets(rep: np.ndarray, sets: list[np.ndarray], least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges (src, dst) over all pairs of the sets that have the similarity, which is counted exactly.
+
+    sets: the members as 64-bit words, without repeats. Beyond a few sets, all
+    intersections come from products of the 0/1 matrix of the members that sets share.
+    """
+    m = len(sets)
+    labels = Labels(m)
+    size = np.fromiter(map(len, sets), np.int64, m)
+    if m <= FEW:
+        plain = [set(s.tolist()) for s in sets]
+        for i, j in combinations(range(m), 2):
+            if labels.of[i] != labels.of[j] and alike(size[i], size[j], min(size[i], size[j]), least) and alike(size[i], size[j], len(plain[i] & plain[j]), least):
+                labels.link(np.array([i]), np.array([j]))
+    else:
+        _, word, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[word] > 1
+        row, number = np.repeat(np.arange(m), size)[shared], (np.cumsum(count > 1) - 1)[word[shared]]
+        order = np.argsort(number, kind="stable")
+        row, number = row[order], number[order]
+        both = np.zeros((m, m), np.float32)  # whole numbers below 2 ** 24 are exact
+        width = max(256, (1 << 21) // m)
+        for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+            x, y = np.searchsorted(number, (a, a + width))
+            dense = np.zeros((m, width), np.float32)
+            dense[row[x:y], number[x:y] - a] = 1
+            both += dense @ dense.T
+        both = both.astype(np.int64)
+        union = size[:, None] + size[None, :] - both
+        labels.link(*np.nonzero(np.triu(both * least.denominator >= union * least.numerator, 1)))
+    linked = np.flatnonzero(labels.of != np.arange(m))
+    return rep[linked], rep[labels.of[linked]]
+
+
+def _linked_places(least: Fraction):
+    """Rows (place, key, rep, words) sorted by place and key -> forest edges; one place is in memory at a time."""
+
+    def search(batches):
+        found, held, last = [], [], None
+
+        def close():
+            if len(held) > 1:
+                found.append(links_of_sets(np.array([r for r, _ in held], np.int64), [np.frombuffer(w, np.uint64) for _, w in held], least))
+            held.clear()
+
+        for batch in batches:
+            for place, key, rep, words in zip(*[c.to_pylist() for c in batch.columns]):
+                if (place, key) != last:
+                    close()
+                    last = place, key
+                held.append((rep, words))
+            if sum(len(x) for x, _ in found) > 10_000:
+                yield _edges(found)
+        close()
+        yield _edges(found)
+
+    return search
+
+
+def _edges(found: list) -> pa.RecordBatch:
+    src, dst = (np.concatenate([np.empty(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
+    found.clear()
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(src, dst)), pa.array(np.minimum(src, dst))], names=["src", "dst"])
+
 
-    def compare(batches):
-        last, first = None, set()  # rows of one src follow each other
+def _places_searched(members: DataFrame, least: Fraction) -> DataFrame:
+    at = ["place", "key"]
+    return members.select(*at, "rep", "words").repartition(*at).sortWithinPartitions(*at).mapInArrow(_linked_places(least), "src long, dst long").distinct()
+
+
+def _members(rows: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(place, key, rep, n, words): the shingle sets of the texts that places ask for. A set is
+    computed once and sent to each of its places, as the first words of its 128-bit hashes."""
+
+    def emit(batches):
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3)):
-                text = one.as_py()
-                if text != last:
-                    last, first = text, shingle_digests(text, shingle)
-                second = shingle_digests(two.as_py(), shingle)
-                both = len(first & second)
-                keep.append(both >= least * (len(first) + len(second) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-    met = pairs.join(texts.toDF("dst", "two"), "dst").join(texts.toDF("src", "one"), "src")
-    return met.select("src", "dst", "one", "two").mapInArrow(compare, "src long, dst long").distinct()
-
-
-def _similar_links(met: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(place, key, rep, n) -> (node, component) over all pairs that meet and are alike.
-
-    First each place's members are compared with STARS pivots; what is then in
-    one component needs no comparison. All other pairs of a place are compared,
-    so no link between them is lost.
+            for part in slices(batch, 0, 1 << 19):
+                out = [[], [], [], [], []]
+                for text, rep, wanted in zip(*part.columns):
+                    hashes = shingle_set(text.as_py(), shingle)
+                    mark, words = set_mark(hashes), hashes[:, 0].tobytes()
+                    for w in wanted.as_py():
+                        if (w["c1"], w["c2"]) == mark:
+                            for column, x in zip(out, (w["place"], w["key"], rep.as_py(), len(hashes), words)):
+                                column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["place", "key", "rep", "n", "words"])
+
+    wanted = stored(asked.groupBy("rep").agg(F.collect_list(F.struct("c1", "c2", "place", "key")).alias("wanted")))
+    return rows.join(wanted, rows.doc_id == wanted.rep).select("t", "rep", "wanted").mapInArrow(emit, "place int, key long, rep long, n int, words binary")
+
+
+def _similar_links(met: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """(place, key, rep, n, c1, c2) -> (node, component) over all pairs that meet and are alike.
+
+    Places with the same members are searched once. The members of a place
+    meet in one task, as sets; those of a hot place are first compared with
+    STARS pivots, and then, by cells, with all that are not in one component
+    with them yet. So no link is lost and pairs are never rows.
     """
     at = ["place", "key"]
-    met = cut(met.join(stored(met.groupBy(*at).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")), at))
-    reps = stored(met.select(F.col("rep").alias("doc_id")).distinct())
-    texts = stored(docs.join(reps, "doc_id", "left_semi").select("doc_id", "t").distinct())
-    fits = F.least("n", "o") >= F.greatest("n", "o") * similarity - 1e-6  # else no such similarity is possible
-    member = F.struct("rep", "n")
-    pivots = F.array(*[F.min_by(member, F.xxhash64("rep", F.lit(k))) for k in range(STARS)])
-    stars = stored(met.groupBy(*at).agg(pivots.alias("p")).select(*at, F.explode(F.array_distinct("p")).alias("p")).select(*at, F.col("p.rep").alias("to"), F.col("p.n").alias("o")))
-    pair = [F.greatest("rep", "to").alias("src"), F.least("rep", "to").alias("dst")]
-    tried = cut(met.join(stars, at).where((F.col("rep") != F.col("to")) & fits).select(*pair).distinct())
-    edges = cut(_alike(tried, texts, shingle, similarity))
+    places = met.groupBy(*at).agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep", "c1")).alias("x"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.sum(F.col("n") * 8).alias("bytes")).where("m > 1")
+    once = places.groupBy("m", "x", "a", "b", "bytes").agg(F.min(F.struct(*at)).alias("p")).select("p.*", ((F.col("m") > CELL_ROWS) | (F.col("bytes") > CELL_BYTES)).alias("hot"))
+    asked = cut(met.join(stored(once), at))
+    edges = cut(_places_searched(_members(rows, asked.where("NOT hot"), shingle), least))
+    if asked.where("hot").isEmpty():
+        return connected_components(edges)
+    members = stored(_members(rows, asked.where("hot"), shingle).distinct())
+    edges = cut(edges.unionByName(_stars(members, least)))
     labels = connected_components(edges)
-    own = stored(met.join(labels, met.rep == labels.node, "left").select(*at, "rep", "n", F.coalesce("component", "rep").alias("label")))
-    mixed = stored(own.groupBy(*at).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select(*at))
-    left = stored(own.join(mixed, at))
-    other = left.select(*at, F.col("rep").alias("to"), F.col("n").alias("o"), F.col("label").alias("other"))
-    rest = left.join(other, at).where((F.col("rep") > F.col("to")) & (F.col("label") != F.col("other")) & fits).select(*pair).distinct()
-    more = cut(_alike(rest.join(tried, ["src", "dst"], "left_anti"), texts, shingle, similarity))
+    own = stored(members.join(labels, members.rep == labels.node, "left").select(*at, "rep", "n", "words", F.coalesce("component", "rep").alias("class")))
+    sizes = own.groupBy(*at, "class").agg(F.count(F.lit(1)).alias("rows_"))
+    mixed = sizes.groupBy(*at).agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    left = own.join(stored(sizes.join(mixed, at)), [*at, "class"])
+    small = F.col("rows_") * STARS < CELL_ROWS  # small classes share chunks, as rows that stand alone do
+    left = cut(left.select(*at, "rep", "n", "words", small.alias("open"), F.when(small, 0).otherwise(F.col("class")).alias("class")))
+    cells = _cells(left, ["words"], 1 + F.col("n") / (CELL_BYTES / CELL_ROWS / 8), CELL_ROWS // 2)
+    more = cut(_places_searched(cells, least))
     return labels if more.isEmpty() else connected_components(edges.unionByName(more))
 
 
+def _stars(members: DataFrame, least: Fraction) -> DataFrame:
+    """Edges between the members of each place and STARS pivots of it."""
+
+    @F.pandas_udf("boolean")
+    def near(one: pd.Series, two: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(one, two):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            fits = alike(len(a), len(b), min(len(a), len(b)), least)
+            out.append(fits and alike(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), least))
+        return pd.Series(out, dtype=bool)
+
+    at = ["place", "key"]
+    pivots = F.array(*[F.min_by(F.struct("rep", "words"), F.xxhash64("rep", F.lit(k))) for k in range(STARS)])
+    stars = stored(members.groupBy(*at).agg(pivots.alias("p")).select(*at, F.explode(F.array_distinct("p")).alias("p")).select(*at, F.col("p.rep").alias("to"), F.col("p.words").alias("other")))
+    met = members.join(stars, at).where("rep != to")
+    return met.where(near("words", "other")).select(F.greatest("rep", "to").alias("src"), F.least("rep", "to").alias("dst")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """-> (doc_id, component_id): documents whose sets of five-word shingles have
     at least `similarity` as Jaccard similarity are linked.
@@ -323,24 +414,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Candidates agree on all BAND_ROWS minima of one of BANDS MinHash bands: a
     pair of similarity s is missed with probability (1 - s**4)**16, which is
     0.00022 at 0.8 and less above, whatever the number of documents. A
-    candidate pair is linked only if its exact sets are that similar.
-    Nulls, ids, repeated and empty rows are treated as in simhash_groups.
+    candidate pair is linked only if its sets, as 64-bit hashes of whole
+    shingles, are that similar. Nulls, ids, repeated and empty rows are treated
+    as in simhash_groups; very long texts are single slices and, with many
+    alike, cells of CELL_BYTES.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def scan(batches):
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
-            mark = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark[:, 0].copy()), pa.array(mark[:, 1].copy()), pa.array([len(s) for s in sets], pa.int32()), keys], names=["doc_id", "c1", "c2", "n", "bands"])
+            for part in slices(batch, 1, 1 << 20):
+                sets = [shingle_set(x.as_py(), shingle) for x in part.column(1)]
+                c1, c2 = zip(*map(set_mark, sets))
+                keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys], names=["doc_id", "c1", "c2", "n", "bands"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     found = stored(rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, c1 long, c2 long, n int, bands array<long>"))
     prints = found.select("doc_id", "c1", "c2")
     codes = cut(found.groupBy("c1", "c2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    met = codes.where("rep IS NOT NULL AND n > 0").select("rep", "n", F.posexplode("bands").alias("place", "key")).select("place", "key", "rep", "n")
-    classes = _similar_links(met, rows.withColumn("doc_id", F.col("doc_id").cast("long")), shingle, similarity)
+    met = codes.where("rep IS NOT NULL AND n > 0").select("rep", "n", "c1", "c2", F.posexplode("bands").alias("place", "key"))
+    classes = _similar_links(met, rows.withColumn("doc_id", F.col("doc_id").cast("long")), shingle, Fraction(str(similarity)))
     of_code = codes.join(classes, codes.rep == classes.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(stored(of_code), ["c1", "c2"]).select("doc_id", "component_id")
 

@@ -9,7 +9,6 @@ import pytest
 import corpus_pipeline
 from lamella.llm import langid
 from lamella.llm.decontaminate import Automaton, removed_spans, words_of
-from lamella.llm.simhash import wide_fingerprint
 
 from .test_mixing import check
 from .test_decontaminate import plain
@@ -26,11 +25,12 @@ def plain_language_id(spark, docs):
 
 
 def plain_near_dedup(rows):
+    """Jaccard similarity of 0.8 or more of the sets of five-word shingles, over all pairs."""
     codes = {}
     for r in rows:
-        codes.setdefault(wide_fingerprint((r["text"] or "").encode()), []).append(r["doc_id"])
+        w = (r["text"] or "").encode().lower().split()
+        codes.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w), []).append(r["doc_id"])
     keys = list(codes)
-    bits = np.array([[x & (2**64 - 1) for x in k] for k in keys], np.uint64)
     label = list(range(len(keys)))
 
     def root(i):
@@ -39,7 +39,7 @@ def plain_near_dedup(rows):
         return i
 
     for i, j in combinations(range(len(keys)), 2):
-        if np.bitwise_count(bits[i] ^ bits[j]).sum() <= 25:
+        if 10 * len(keys[i] & keys[j]) >= 8 * len(keys[i] | keys[j]) > 0:
             a, b = root(i), root(j)
             label[max(a, b)] = min(a, b)
     least = {}

@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -187,3 +188,61 @@ def test_less_than_the_similarity_is_not_linked(frame, prose):
     assert all(0.7 < jaccard(rows[k][1], rows[k + 1][1]) < 0.8 for k in range(0, 120, 2))
     got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
     assert got == {i: i for i in range(120)}
+
+
+def family(rng, size, changes, of=300):
+    """Sets of words drawn from a common set, each with up to so many changed."""
+    base = rng.integers(0, 1 << 63, of, dtype=np.uint64)
+    out = []
+    for _ in range(size):
+        own = base.copy()
+        at = rng.choice(of, int(rng.integers(0, changes + 1)), replace=False)
+        own[at] = rng.integers(0, 1 << 63, len(at), dtype=np.uint64)
+        out.append(np.unique(own))
+    return out
+
+
+def plain_set_classes(sets):
+    label = list(range(len(sets)))
+    plain = [set(s.tolist()) for s in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(plain[i] & plain[j]) >= 8 * len(plain[i] | plain[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("size", [2, 5, 40])
+def test_links_of_sets(size):
+    from lamella.llm.simhash import links_of_sets
+
+    rng = np.random.default_rng(size)
+    sets = family(rng, size, 60) + family(rng, size // 2, 2, 5) + [np.array([1], np.uint64), np.array([1, 2, 3, 4, 5], np.uint64)]
+    src, dst = links_of_sets(np.arange(len(sets)), sets, Fraction("0.8"))
+    labels = Labels(len(sets))
+    labels.link(src, dst)
+    assert labels.of.tolist() == plain_set_classes(sets)
+
+
+@pytest.mark.parametrize("rows_, bytes_", [(24, 1 << 20), (1 << 20, 1 << 15)])
+def test_hot_places_of_sets_in_cells(spark, frame, prose, monkeypatch, rows_, bytes_):
+    import lamella.llm.simhash as module
+
+    monkeypatch.setattr(module, "CELL_ROWS", rows_)
+    monkeypatch.setattr(module, "CELL_BYTES", bytes_)
+    monkeypatch.setattr(module, "STARS", 2)
+    monkeypatch.setattr(module, "band_keys", lambda hashes: np.arange(16))  # all texts meet
+    rng = np.random.default_rng(8)
+    rows = []
+    for base in (prose(120, 1), prose(120, 2)):
+        for _ in range(45):
+            own = base.split()
+            for k in rng.choice(24, int(rng.integers(0, 4)), replace=False):
+                own[5 * int(k)] = f"changed{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, prose(80, 50 + i)) for i in range(30)]
+    sets = [module.shingle_set(t.encode())[:, 0] for _, t in rows]
+    got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
+    wanted = plain_set_classes(sets)
+    assert [got[i] for i in range(len(rows))] == wanted and 30 < len(set(wanted)) < 80
