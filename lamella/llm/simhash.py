@@ -39,6 +39,8 @@ BANDS, BAND_ROWS = 16, 4
 CELL_ROWS, CELL_BYTES = 1024, 16 << 20
 STARS = 8
 FEW = 6
+#: Bits of a filter of ids that is broadcast: 8 MB, about twice that as a table of bitmaps.
+FILTER_BITS = 1 << 26
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -356,7 +358,20 @@ def _members(rows: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["place", "key", "rep", "n", "words"])
 
     wanted = stored(asked.groupBy("rep").agg(F.collect_list(F.struct("c1", "c2", "place", "key")).alias("wanted")))
-    return rows.join(wanted, rows.doc_id == wanted.rep).select("t", "rep", "wanted").mapInArrow(emit, "place int, key long, rep long, n int, words binary")
+    return _perhaps(rows, "doc_id", wanted, "rep").join(wanted, rows.doc_id == wanted.rep).select("t", "rep", "wanted").mapInArrow(emit, "place int, key long, rep long, n int, words binary")
+
+
+def _perhaps(rows: DataFrame, id_: str, wanted: DataFrame, wanted_id: str) -> DataFrame:
+    """Of rows, those whose id is wanted and a few others: so a join that keeps few texts shuffles few.
+
+    Ids are hashed to FILTER_BITS bits, in bitmaps of 32,768 bits each. If very
+    many are wanted most rows pass, and the join alone decides.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    maps = wanted.select(bit(wanted_id).alias("b")).groupBy(F.floor(F.col("b") / 32768).cast("int").alias("lm_maps")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("lm_bits"))
+    held = rows.withColumn("lm_bit", bit(id_)).join(F.broadcast(maps), F.floor(F.col("lm_bit") / 32768).cast("int") == F.col("lm_maps"))
+    byte = F.conv(F.hex(F.substring("lm_bits", F.floor(F.col("lm_bit") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.where(F.getbit(byte, (F.col("lm_bit") % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def _similar_links(met: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:

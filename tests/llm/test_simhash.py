@@ -246,3 +246,13 @@ def test_hot_places_of_sets_in_cells(spark, frame, prose, monkeypatch, rows_, by
     got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
     wanted = plain_set_classes(sets)
     assert [got[i] for i in range(len(rows))] == wanted and 30 < len(set(wanted)) < 80
+
+
+def test_filter_of_ids(spark):
+    from lamella.llm.simhash import _perhaps
+
+    rows = spark.range(0, 200_000, 1, 4).withColumnRenamed("id", "doc_id").selectExpr("doc_id", "'x' AS t")
+    got = _perhaps(rows, "doc_id", spark.range(0, 200_000, 40).toDF("rep"), "rep")
+    ids = {r.doc_id for r in got.collect()}
+    assert got.columns == ["doc_id", "t"] and ids >= set(range(0, 200_000, 40)) and len(ids) < 5_050
+    assert _perhaps(rows, "doc_id", spark.range(0).toDF("rep"), "rep").count() == 0
