@@ -14,7 +14,7 @@ from .html import extract_text
 from .langid import held_out, identify
 from .linededup import line_dedup
 from .mixing import mix
-from .pii import surrogates
+from .pii import session_key, surrogates
 from .simhash import hex_fingerprint, simhash_groups
 from .suffixdedup import repeated_spans
 from .sql import ORACLES
@@ -31,7 +31,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates(docs, count_col="n_mentions")
+    return surrogates(docs, session_key(spark), count_col="n_mentions")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,17 @@
+import random
 import re
 
+import pytest
+
 from lamella.llm.pii import surrogates
 from lamella.llm.queries import op3_surrogates
 
 
-def replaced(frame, texts, **more):
-    got = surrogates(frame([(i, t) for i, t in enumerate(texts)]), **more).collect()
+KEY = "a key of these tests"
+
+
+def replaced(frame, texts, key=KEY):
+    got = surrogates(frame([(i, t) for i, t in enumerate(texts)]), key).collect()
     return [r.text for r in sorted(got, key=lambda r: r.doc_id)]
 
 
@@ -79,13 +85,13 @@ def test_clean_texts_are_left_alone(frame, prose):
 def test_odd_rows(frame, odd_rows):
     rows = [*odd_rows, (50, "a@bc.de " * 3000), (51, None), (None, "x@yz.org"), (52, "x@yz.org"), (52, "x@yz.org")]
     df = frame(rows, clash=True)
-    out = surrogates(df, count_col="n_mentions")
+    out = surrogates(df, KEY, count_col="n_mentions")
     assert out.columns == [*df.columns, "n_mentions"]
     got = out.collect()
     assert len(got) == len(rows)
     assert len({r.text for r in got if r.n_mentions == 1}) == 1
     assert all(r.n_chars is None if r.text is None else r.n_chars == len(r.text) for r in got)
-    assert surrogates(frame([])).count() == 0
+    assert surrogates(frame([]), KEY).count() == 0
 
 
 def test_query(spark, sf_dir):
@@ -124,3 +130,79 @@ def test_what_is_written_stays_distinct(frame):
 def test_phone_formats_corefer(frame):
     a, b = replaced(frame, ["call +49 171 234 5678 now", "call +491712345678 now"])
     assert a.startswith("call +49 ") and re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+
+
+def test_names_corefer_by_their_words(frame):
+    texts = ["John Smith met Mr. Smith, Dr. JOHN SMITH and Mrs. Mary Smith", "Mr. Xandrio Smith and Mr. Xandrio Jones", "Κύριος Νίκος Παππάς, Κυρία Παππάς", "г-н Смирнов и Иван Смирнов"]
+    out = replaced(frame, texts)
+    a = re.fullmatch(r"(\w+) (\w+) met Mr\. (\w+), Dr\. (\w+) (\w+) and Mrs\. (\w+) (\w+)", out[0])
+    assert a[2] == a[3] == a[7] != "Smith" and a[5].title() == a[2] and a[5].isupper()
+    from lamella.llm.pii import GIVEN
+
+    assert a[1] in GIVEN["m", "latin"] and a[1] != "John" and a[6] in GIVEN["f", "latin"]
+    b = re.fullmatch(r"Mr\. (\w+) (\w+) and Mr\. (\w+) (\w+)", out[1])
+    assert b[1] == b[3] != "Xandrio" and b[2] == a[2] != b[4]
+    c = re.fullmatch(r"Κύριος (\w+) (\w+), Κυρία (\w+)", out[2])
+    assert c[1] in GIVEN["m", "greek"] and c[2] == c[3] and all("α" <= x.lower() <= "ώ" or x.lower() in "ά" for x in c[2])
+    d = re.fullmatch(r"г-н (\w+) и (\w+) (\w+)", out[3])
+    assert d[1] == d[3] and d[2] in GIVEN["m", "cyrillic"]
+
+
+def test_phones_corefer_with_and_without_country(frame):
+    a, b, c = replaced(frame, ["call (212) 555-0147 now", "call +1 212-555-0147 now", "call +44 212-555-0147 now"])
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(b) == "1" + digits(a) and digits(c)[:2] == "44" and digits(c)[2:] != digits(a)
+
+
+def luhn(digits):
+    return sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(digits[::-1])) % 10 == 0
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_check_digits_and_networks(frame):
+    r = random.Random(3)
+    cards, ibans = [], []
+    for prefix, n in (("4", 16), ("51", 16), ("37", 15), ("6011", 16)):
+        for _ in range(60):
+            body = prefix + "".join(r.choice("0123456789") for _ in range(n - 1 - len(prefix)))
+            cards.append(next(body + str(d) for d in range(10) if luhn(body + str(d))))
+    for k in range(200):
+        bban = ("WEST" if k % 2 else "") + "".join(r.choice("0123456789") for _ in range(14 if k % 2 else 18))
+        country = "GB" if k % 2 else "DE"
+        ibans.append(f"{country}{98 - mod97(country + '00' + bban):02d}{bban}")
+    bad = ibans[0][:3] + str((int(ibans[0][3]) + 1) % 10) + ibans[0][4:]
+    out = replaced(frame, [f"pay {x} now" for x in [*cards, *ibans, bad]])
+    out = [t[4:-4] for t in out]
+    assert len(set(out)) == len(out) and not set(out) & {*cards, *ibans}
+    for a, b in zip(cards, out):
+        assert len(a) == len(b) and a[:2] == b[:2] and luhn(b)
+    for a, b in zip(ibans, out[len(cards) : -1]):
+        assert mod97(a) == mod97(b) == 1 and a[:2] == b[:2] and [c.isdigit() for c in a] == [c.isdigit() for c in b]
+    assert mod97(out[-1]) != 1
+
+
+def test_distinct_even_if_a_format_is_used_up(spark, frame):
+    """1,000 addresses of a letter and 26 of its forms; 60 names of one family; secrets without a letter or digit."""
+    texts = [f"to {a}@one.org now" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"password: {'*' * n} ok" for n in range(6, 12)] + [f"Mr. {a}{b}ovan Smith" for a in "ABCDEFGHIJ" for b in "aeiouy"]
+    out = replaced(frame, texts)
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    assert all(re.fullmatch(r"to \w+@\w+\.example now", t) for t in out[:26])
+
+
+@pytest.mark.parametrize("kind, make", [("ssn", lambda i: f"{100 + i % 800}-{10 + i // 800}-{1000 + i}"), ("key", lambda i: f"AKIA{i:016d}"), ("secret", lambda i: f"token={i:06d}"), ("ip", lambda i: f"10.{i % 200}.7.{i // 200 + 1}"), ("email", lambda i: f"ab{i:03d}@x.org")])
+def test_brute_force_distinctness(frame, kind, make):
+    texts = [f"see {make(i)} ok" for i in range(900)]
+    out = replaced(frame, texts)
+    assert len(set(out)) == len(set(texts)) == 900 and not set(out) & set(texts)
+    assert replaced(frame, texts[:50])[:1] != texts[:1]
+
+
+def test_a_key_is_needed(spark, frame):
+    with pytest.raises(ValueError):
+        surrogates(frame([(1, "a@bc.de")]), "")
+    from lamella.llm.pii import session_key
+
+    assert session_key(spark) == session_key(spark) and len(session_key(spark)) >= 32
