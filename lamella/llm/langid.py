@@ -119,6 +119,12 @@ class Scorer:
         return langs, scores
 
 
+def chosen_piece(text: str, number: int) -> str:
+    """One of the pieces by which a text is scored."""
+    at = number % max(1, -(-len(text) // PIECE)) * PIECE
+    return text[at : at + PIECE]
+
+
 def _normal(bits: np.ndarray) -> np.ndarray:
     x = bits.astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
@@ -145,12 +151,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
     """Fits on the rows of docs (doc_id, text, lang) with a text and a lang.
 
     At most `sample` rows, in equal shares of the labels, are used: those with
-    the smallest hashes of doc_id. None if there is no such row. Texts are
-    turned into bits by the executors, so what is collected is bounded by
-    sample * DIMS / 8 bytes (twice that before the last cut).
+    the smallest hashes of doc_id; of more than `sample` labels the most
+    frequent. Of each a piece of PIECE characters is learned from, as texts are
+    scored by such pieces; which one, its hash tells. None if there is no such
+    row. Pieces are turned into bits by the executors, so what is collected is
+    bounded by sample * DIMS / 8 bytes (about twice that before the last cut).
     """
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("lm_h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small_batches(docs.sparkSession)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return None
     share = max(1, sample // len(counts))
@@ -163,9 +172,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
     def to_bits(batches):
         for batch in batches:
             out = []
-            for x in batch.column(1):
+            for x, h in zip(batch.column(1), batch.column(3).to_pylist()):
                 row = np.zeros(DIMS, np.uint8)
-                mark(x.as_py(), row)
+                mark(chosen_piece(x.as_py(), h), row)
                 out.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(out, pa.binary())], names=["lang", "h", "bits"])
 
