@@ -21,10 +21,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, stored
+from .common import fold_remainder, small_batches, stored
 
 #: Labelled documents learned from, at most so many of each class.
 SAMPLE = 20_000
@@ -32,6 +32,8 @@ PREFIXES = range(4, 8)
 EVIDENCE = 30.0
 LEAST_ODDS = 25
 MAX_WEIGHT = 6.0
+#: Terms and excused phrases of a lexicon at most, of the largest weights and counts: what the driver collects.
+MAX_TERMS, MAX_PHRASES = 50_000, 10_000
 #: Phrases in which a term that is often an insult is none, beside those learned.
 EXCUSED = ("clown fish", "circus clown", "trash can", "trash bag", "trash bin", "pond scum", "sore loser rule")
 
@@ -130,24 +132,21 @@ def _squash(z: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def log_odds(a: int, b: int, n_bad: int, n_good: int) -> float:
+def log_odds(a: Column, b: Column, n_bad: int, n_good: int) -> Column:
     """Log odds of a of n_bad against b of n_good; 0 unless they are high and beyond chance (likelihood ratio)."""
-    if a < 3:
-        return 0.0
-    odds = math.log((a + 0.5) / (n_bad + 1)) - math.log((b + 0.5) / (n_good + 1))
+    odds = F.log((a + 0.5) / (n_bad + 1)) - F.log((b + 0.5) / (n_good + 1))
     p = (a + b) / (n_bad + n_good)
-    ratio = 2 * sum(x * math.log(x / e) for x, e in ((a, n_bad * p), (b, n_good * p)) if x)
-    return odds if odds > math.log(LEAST_ODDS) and ratio > EVIDENCE else 0.0
-
-
-def choose(bad: dict, good: dict, n_bad: int, n_good: int) -> dict[str, float]:
-    """Weights of the terms that mark toxic documents. bad, good: documents with a term once and twice or more, by term."""
-    out = {}
-    for t, (once, twice) in bad.items():
-        b1, b2 = good.get(t, (0, 0))
-        w = max(log_odds(once, b1, n_bad, n_good), log_odds(twice, b2, n_bad, n_good) / 2)
-        if w:
-            out[t] = min(MAX_WEIGHT, w)
+    part = lambda x, n: F.when(x > 0, x * F.log(x / (p * n))).otherwise(0.0)
+    ratio = 2 * (part(a, n_bad) + part(b, n_good))
+    return F.when((a >= 3) & (odds > math.log(LEAST_ODDS)) & (ratio > EVIDENCE), odds).otherwise(0.0)
+
+
+def choose(counts: DataFrame, n_bad: int, n_good: int, most: int = MAX_TERMS) -> dict[str, float]:
+    """Weights of the terms that mark toxic documents, `most` of them. counts: (term, bad1, bad2, good1, good2),
+    the toxic and the clean documents with a term once or more, and twice or more."""
+    once, twice = (log_odds(F.col(f"bad{k}"), F.col(f"good{k}"), n_bad, n_good) for k in (1, 2))
+    weighed = counts.select("term", F.least(F.lit(MAX_WEIGHT), F.greatest(once, twice / 2)).alias("w")).where("w > 0")
+    out = {r.term: r.w for r in weighed.orderBy(F.desc("w"), "term").limit(most).collect()}
     # A term says no more than a shorter beginning of it that weighs as much.
     return {t: w for t, w in out.items() if not any(out.get(t[: n + 1], 0) >= w for n in PREFIXES if n + 1 < len(t.rstrip()))}
 
@@ -180,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     passed over; a document labelled more than once is toxic if one label says
     so. Without labels of both classes no text is toxic (or all are).
     """
+    small_batches(docs.sparkSession)
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = F.lit(False)
@@ -200,28 +200,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     n_rows = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_good, n_bad = n_rows.get(0, 0), n_rows.get(1, 0)
 
-    def count_terms(only: frozenset | None):
-        def scan(batches):
-            once: Counter = Counter()
-            twice: Counter = Counter()
-            for batch in batches:
-                for x in batch.column(1):
-                    found = terms(fold(x.as_py()))
-                    held = [t for t in found if only is None or t in only]
-                    once.update(held)
-                    twice.update(t for t in held if found[t] > 1)
-            if once:
-                yield pa.RecordBatch.from_arrays([pa.array(once.keys(), pa.string()), pa.array(once.values(), pa.int64()), pa.array([twice[t] for t in once], pa.int64())], names=["term", "once", "twice"])
-
-        return scan
-
-    def totals(rows: DataFrame, only: frozenset | None, least: int) -> dict:
-        got = rows.mapInArrow(count_terms(only), "term string, once long, twice long").groupBy("term").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).where(F.col("once") >= least)
-        return {r.term: (r.once, r.twice) for r in got.collect()}
-
-    bad = totals(known.where("toxic = 1"), None, 3)
-    good = totals(known.where("toxic = 0"), frozenset(bad), 1) if bad else {}
-    weights = choose(bad, good, n_bad, n_good)
+    def count_terms(batches):
+        counts = [Counter() for _ in range(4)]
+        for batch in batches:
+            for label, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = terms(fold(x.as_py()))
+                counts[0 if label else 2].update(found.keys())
+                counts[1 if label else 3].update(t for t, n in found.items() if n > 1)
+            if sum(map(len, counts)) > 200_000:
+                yield told(counts)
+        yield told(counts)
+
+    def told(counts: list[Counter]) -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[2].keys())
+        out = [pa.array(names, pa.string()), *[pa.array([c[t] for t in names], pa.int64()) for c in counts]]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(out, names=["term", "bad1", "bad2", "good1", "good2"])
+
+    counted = known.mapInArrow(count_terms, "term string, bad1 long, bad2 long, good1 long, good2 long")
+    counted = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("bad1", "bad2", "good1", "good2")]).where("bad1 >= 3")
+    weights = choose(counted, n_bad, n_good) if n_bad else {}
     draft = Lexicon(weights, set(), np.zeros(4))
 
     def phrases(batches):
@@ -238,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["toxic", "phrase", "n"])
 
     seen = known.mapInArrow(phrases, "toxic int, phrase string, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("good"), F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("bad"))
-    excused = {r["phrase"] for r in seen.where("good >= 5 AND bad IS NULL").collect()} | set(EXCUSED)
+    excused = {r["phrase"] for r in seen.where("good >= 5 AND bad IS NULL").orderBy(F.desc("good"), "phrase").limit(MAX_PHRASES).collect()} | set(EXCUSED)
     draft = Lexicon(weights, excused, np.zeros(4))
 
     def measure(batches):
@@ -256,6 +255,7 @@ def rate(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     Null and empty texts have the score of a text without a term.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 

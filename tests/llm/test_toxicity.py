@@ -1,5 +1,9 @@
+import math
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from lamella.llm import toxicity
 from lamella.llm.queries import op5_toxicity
 
@@ -51,9 +55,49 @@ def test_near_copies_teach_as_one(spark, frame, prose):
     assert not any("zorb" in t for t in toxicity.train(frame(rows), labels).weights)
 
 
-def test_repeated_terms_weigh_where_single_ones_do_not():
-    assert toxicity.choose({" a ": (60, 50)}, {" a ": (100, 2)}, 100, 1000)[" a "] > 1
-    assert toxicity.choose({" a ": (60, 5)}, {" a ": (100, 2)}, 100, 1000) == {}
+def plain_log_odds(a, b, n_bad, n_good):
+    if a < 3:
+        return 0.0
+    odds = math.log((a + 0.5) / (n_bad + 1)) - math.log((b + 0.5) / (n_good + 1))
+    p = (a + b) / (n_bad + n_good)
+    ratio = 2 * sum(x * math.log(x / e) for x, e in ((a, n_bad * p), (b, n_good * p)) if x)
+    return odds if odds > math.log(toxicity.LEAST_ODDS) and ratio > toxicity.EVIDENCE else 0.0
+
+
+def test_weights_of_terms(spark):
+    rows = [(f" {chr(97 + k)}x ", a1, a2, b1, b2) for k, (a1, a2, b1, b2) in enumerate([(60, 50, 100, 2), (60, 5, 100, 2), (3, 0, 0, 0), (40, 0, 0, 0), (90, 90, 1, 0), (2, 2, 0, 0)])]
+    got = toxicity.choose(spark.createDataFrame(rows, "term string, bad1 long, bad2 long, good1 long, good2 long"), 100, 1000)
+    wanted = {t: min(6.0, max(plain_log_odds(a1, b1, 100, 1000), plain_log_odds(a2, b2, 100, 1000) / 2)) for t, a1, a2, b1, b2 in rows}
+    assert got == pytest.approx({t: w for t, w in wanted.items() if w}) and " ax " in got and " bx " not in got
+    short = [(" grob", 50, 0, 0, 0), (" grobnak ", 50, 0, 0, 0), (" zork ", 40, 0, 0, 0)]
+    frame = spark.createDataFrame(short, "term string, bad1 long, bad2 long, good1 long, good2 long")
+    assert set(toxicity.choose(frame, 100, 1000)) == {" grob", " zork "} and set(toxicity.choose(frame, 100, 1000, 1)) <= {" grob", " grobnak "}
+
+
+def plain_score(lexicon, text):
+    """A search for each term and phrase, and the formula of the score."""
+    folded = toxicity.fold(text)
+    places = lambda t: [i for i in range(len(folded)) if folded.startswith(t, i)]
+    best = {}
+    for t, w in lexicon.weights.items():
+        for i in places(t):
+            best[i] = max(w, best.get(i, 0))
+    off = [(i, i + len(p) + 1) for p in lexicon.excused for i in places(f" {p} ")]
+    total = sum(w for i, w in best.items() if not any(a <= i <= b for a, b in off))
+    words = max(1, len(folded.split()))
+    z = sum(c * x for c, x in zip(lexicon.scale, (1, total, total / math.sqrt(words), 100 * total / words)))
+    return 1 / (1 + math.exp(-max(-50, min(50, z))))
+
+
+def test_query_against_plain_scores(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r for r in op5_toxicity(spark, folder).collect()}
+    assert lexicon.weights
+    for r in docs.collect():
+        want = plain_score(lexicon, r.text)
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
 
 
 def test_odd_rows(spark, frame, prose, odd_rows):
