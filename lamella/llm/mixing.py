@@ -7,9 +7,10 @@ released, gives each slot one block and keeps every source within less than
 one block of weight * slots at every slot.
 
 Weights are exact fractions, as no rounding of them would stay within a block
-over a long run. The schedule is laid out on the driver, a row for each block
-that there is (a 64th of the documents), and every document finds its slot by a
-join with that table.
+over a long run. Each slot follows from those before, so the schedule is laid
+out on the driver, a row for each block that there is (a 64th of the
+documents); it is not held there, but written in chunks to the folder that all
+share, and every document finds its slot by a join with that table.
 Positions within a source come from per-bucket sums, so no source, however
 large, meets in one task.
 """
@@ -17,6 +18,7 @@ large, meets in one task.
 from __future__ import annotations
 
 import heapq
+import uuid
 from array import array
 from collections.abc import Iterator
 from fractions import Fraction
@@ -28,11 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import shared_folder
+
 PARTS = 4096
 MAX_SOURCES = 1 << 16
 BLOCK = 64
 #: Blocks of the schedule that are broadcast at most; beyond, rows and schedule meet by an exchange.
 BROADCAST = 1 << 18
+#: Blocks of the schedule that the driver holds.
+CHUNK = 1 << 20
 SEED = 20
 #: Rows of a source are ordered by buckets of about so many rows; buckets of a source at most.
 BUCKET_ROWS = 2_000
@@ -104,6 +110,11 @@ def source_sizes(docs: DataFrame, max_sources: int = MAX_SOURCES) -> dict:
     return {r["source"]: r["n"] for r in rows}
 
 
+def _schedule(spark: SparkSession, plan: list[array]) -> DataFrame:
+    table = pa.table([pa.array(np.frombuffer(c, np.int64)) for c in plan], names=["mix_sid", "mix_block", "mix_r", "mix_d", "mix_t"])
+    return spark.createDataFrame(table).withColumn("mix_sid", F.col("mix_sid").cast("int"))
+
+
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts: int | None = None, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
     """docs with mix_block, mix_release, mix_deadline, mix_slot and mix_rank (all long).
 
@@ -133,14 +144,21 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, parts:
     last = {k: sizes[k] // block - 1 for k in shares}
     # Slot at which the first source has given its last whole block.
     target_end = -1 if -1 in last.values() else None
-    plan = [array("q") for _ in range(5)]
+    path, plan = None, [array("q") for _ in range(5)]
     for name, *row in pfair_slots(shares, blocks):
         for column, x in zip(plan, (numbers[name], *row)):
             column.append(x)
         if target_end is None and row[0] == last[name]:
             target_end = row[-1]
-    slots = spark.createDataFrame(pa.table([pa.array(np.frombuffer(c, np.int64)) for c in plan], names=["mix_sid", "mix_block", "mix_r", "mix_d", "mix_t"])).withColumn("mix_sid", F.col("mix_sid").cast("int"))
-    if len(plan[0]) <= BROADCAST:
+        if len(plan[0]) == CHUNK:
+            path = path or f"{shared_folder(spark)}/mix-{uuid.uuid4().hex}"
+            _schedule(spark, plan).write.mode("append").parquet(path)
+            plan = [array("q") for _ in range(5)]
+    slots = _schedule(spark, plan)
+    if path:
+        slots.write.mode("append").parquet(path)
+        slots = spark.read.schema(slots.schema).parquet(path)
+    elif len(plan[0]) <= BROADCAST:
         slots = F.broadcast(slots)
     buckets = min(BUCKETS, max(1, sum(sizes.values()) // BUCKET_ROWS))
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))

@@ -99,3 +99,38 @@ def test_exact_weights_over_a_long_run(frame):
         assert r.mix_slot == slot and r.mix_release <= slot < r.mix_deadline
         if slot % 50 == 0 or slot > len(got) - 100:
             assert all(abs(so_far[k] - weights[k] / total * (slot + 1)) < 1 for k in names)
+
+
+def plain_mix(rows, weights, block):
+    """(doc_id, block, release, deadline, slot, rank): at each slot the block of the earliest deadline among all that are released."""
+    of = {}
+    for key, doc, source in sorted(rows):
+        of.setdefault(source, []).append(doc)
+    total = sum(weights[s] for s in of)
+    left = [(-(-(i + 1) * total // weights[s]), s is not None, str(s), i, i * total // weights[s], s) for s, ids in of.items() for i in range(-(-len(ids) // block))]
+    done, out, slot = Counter(), [], 0
+    while left:
+        ready = [b for b in left if b[4] <= slot and b[3] == done[b[5]]]
+        if ready:
+            deadline, _, _, i, release, s = b = min(ready)
+            left.remove(b)
+            done[s] += 1
+            out += [(doc, i, release, deadline, slot, k) for k, doc in enumerate(of[s][i * block : (i + 1) * block])]
+        slot += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 3])
+def test_query_against_plain_schedule(spark, sf_dir, monkeypatch, chunk):
+    from pyspark.sql import functions as F
+
+    import lamella.llm.mixing as module
+
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    buckets = max(1, spark.read.parquet(f"{sf_dir}/documents.parquet").count() // module.BUCKET_ROWS)
+    key = F.xxhash64(F.lit(module.SEED), F.col("doc_id").cast("string"))
+    rows = [((r.b, r.k), r.doc_id, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", key.alias("k"), F.pmod(key, F.lit(buckets)).alias("b")).collect()]
+    weights = {s: Fraction(w) for s, w in tempered(Counter(s for _, _, s in rows)).items()}
+    for block in (64, 7):
+        got = op1_mixing(spark, sf_dir) if block == 64 else mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), block=block)
+        assert sorted((r.doc_id, r.mix_block, r.mix_release, r.mix_deadline, r.mix_slot, r.mix_rank) for r in got.collect()) == plain_mix(rows, weights, block)
