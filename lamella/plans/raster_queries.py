@@ -1,8 +1,8 @@
 """Queries over page rasters.
 
 The sample rasters are 96 by 54 pixels, made from a page's number and blocks
-by integer arithmetic, so that plain errors can be checked by SQL; the other
-kernels are tested one by one.
+by integer arithmetic, so that errors, masks, rings, ink and fills can be
+checked by SQL, pixel by pixel; the other kernels are tested one by one.
 """
 
 from __future__ import annotations
@@ -146,3 +146,99 @@ def raster_repairs(v):
         }
 
     return _rasters(v, work, "fixed_mae double, patched_mae double, kept boolean, alpha double, engine string, seam double, untinted_mae double, still_read boolean")
+
+
+#: Pieces of check SQL: pixels and channels of noise and what is disturbed, boxes in pixels, and the pixels of boxes.
+_GRID = "xy AS (SELECT page, x, y FROM pages_, (SELECT unnest(range(96)) AS x), (SELECT unnest(range(54)) AS y))"
+_NOISE = f"{_GRID}, q AS (SELECT *, abs(a - b) AS d FROM (SELECT *, (a + (x * y + page) % 5) % 256 AS b FROM (SELECT page, x, y, c, (x * 3 + y * 5 + page * 7 + c * 11) % 256 AS a FROM xy, (SELECT unnest(range(3)) AS c))))"
+_BOXES = "r AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY id) AS n, floor(x0 / 10)::INT AS x0, floor(y0 / 10)::INT AS y0, floor(x1 / 10)::INT AS x1, floor(y1 / 10)::INT AS y1 FROM blocks)"
+
+
+def _in_boxes(pad: int, where: str = "true") -> str:
+    return f"SELECT DISTINCT xy.page, xy.x, xy.y FROM xy JOIN r ON xy.page = r.page AND xy.x BETWEEN r.x0 - {pad} AND r.x1 + {pad} AND xy.y BETWEEN r.y0 - {pad} AND r.y1 + {pad} WHERE {where}"
+
+
+def _rim(mask: str, px: int) -> str:
+    """Pixels of a mask with one outside it within px; all of the mask, if there is none."""
+    off = f"(SELECT unnest(range(-{px}, {px} + 1)) AS dx), (SELECT unnest(range(-{px}, {px} + 1)) AS dy)"
+    return f"SELECT DISTINCT m.page, m.x, m.y FROM (SELECT *, x + dx AS ox, y + dy AS oy FROM {mask}, {off}) m JOIN (SELECT * FROM xy EXCEPT SELECT * FROM {mask}) o ON o.page = m.page AND o.x = ox AND o.y = oy"
+
+
+@query("raster_regions", "RAS-04 RAS-07 RAS-37", f"""
+WITH {_NOISE}, {_BOXES}, m0 AS ({_in_boxes(0)}), m1 AS ({_in_boxes(1)}), e0 AS ({_rim("m0", 2)}), e1 AS ({_rim("m1", 2)}), s AS (SELECT page, round_even(avg(d), 4) AS seam FROM q JOIN e0 USING (page, x, y) GROUP BY page),
+g AS (SELECT page, round_even(avg(d), 4) AS region_mae FROM q JOIN m1 USING (page, x, y) GROUP BY page), k AS (SELECT page, round_even(avg(d), 4) AS rim_mae FROM q JOIN e1 USING (page, x, y) GROUP BY page),
+l AS (SELECT q.page, round_even(avg(d), 4) AS local_mae FROM q JOIN r ON q.page = r.page AND n = 1 AND x >= x0 AND x < x1 + 2 AND y >= y0 AND y < y1 + 2 WHERE x1 - x0 >= 2 AND y1 - y0 >= 2 GROUP BY q.page) SELECT page, seam, local_mae, region_mae, rim_mae FROM pages_ LEFT JOIN s USING (page) LEFT JOIN l USING (page) LEFT JOIN g USING (page) LEFT JOIN k USING (page)""")
+def raster_regions(v):
+    """Errors in a region, in all text regions, and on the inner rims of their masks."""
+
+    def work(page, boxes):
+        a = noise(page)
+        b = disturbed(a, page)
+        x0, y0, x1, y1 = boxes[0]
+        return {"seam": I.seam_mae(a, b, I.box_mask(boxes, (H, W)), 2), "local_mae": I.region_mae(a, b, (x0, y0, x1 + 2, y1 + 2)), **I.region_metrics(a, b, boxes, 1, 2)}
+
+    return _rasters(v, work, "seam double, local_mae double, region_mae double, rim_mae double")
+
+
+@query("raster_readings", "RAS-26 RAS-32 UDF-08", f"""
+WITH {_NOISE}, {_BOXES}, m AS ({_in_boxes(0)}), few AS ({_in_boxes(0, "n <= 3")}), s AS (SELECT page, count(*) AS n FROM m GROUP BY page), f AS (SELECT page, count(*) AS n FROM few GROUP BY page),
+u AS (SELECT page, round_even(avg(CASE WHEN x BETWEEN 20 AND 49 AND y BETWEEN 10 AND 24 THEN abs(a - greatest(0, least(255, 2 * ((a + t) // 2) - t))) ELSE 0 END), 4) AS untinted FROM (SELECT *, CASE c WHEN 0 THEN 255 WHEN 1 THEN 40 ELSE 0 END AS t FROM q) GROUP BY page)
+SELECT page, round_even(f.n::DOUBLE / s.n, 6) AS still_share, f.n::DOUBLE / s.n > 0.3 AS still_read, untinted FROM s JOIN f USING (page) JOIN u USING (page)""")
+def raster_readings(v):
+    """How much of a mask is still read, and a translucent fill taken off a page."""
+    colour = np.array([255, 40, 0])
+
+    def work(page, boxes):
+        a, m = noise(page), I.box_mask(boxes, (H, W))
+        tinted = a.copy()
+        tinted[10:25, 20:50] = (a[10:25, 20:50].astype(int) + colour) // 2
+        back = I.uncomposited(tinted, [((20.0, 10.0, 50.0, 25.0), tuple(colour), 0.5)], (float(W), float(H)))
+        check = I.residual_checker(lambda i: boxes[:3], 0.3)
+        return {"still_share": round(I.residual_share(m, boxes[:3]), 6), "still_read": check(a, m), "untinted": I.pixel_error(a, back)["mae"]}
+
+    return _rasters(v, work, "still_share double, still_read boolean, untinted double")
+
+
+@query("raster_rings", "RAS-25 RAS-27", f"""
+WITH {_NOISE}, {_BOXES}, o AS (SELECT page, n, greatest(0, x0 - 1) AS x0, greatest(0, y0 - 1) AS y0, least(96, x1 + 1) AS x1, least(54, y1 + 1) AS y1 FROM r WHERE n <= 3),
+c AS (SELECT o.page, n, c, floor(median(a)) AS v FROM q JOIN o ON q.page = o.page AND x >= x0 - 3 AND x < x1 + 3 AND y >= y0 - 3 AND y < y1 + 3 AND NOT (x >= x0 AND x < x1 AND y >= y0 AND y < y1) GROUP BY ALL),
+w AS (SELECT q.page, q.x, q.y, q.c, max(n) AS n FROM q JOIN o ON q.page = o.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL), e AS (SELECT q.page, round_even(avg(coalesce(v, a)), 4) AS mean FROM q LEFT JOIN w USING (page, x, y, c) LEFT JOIN c ON c.page = q.page AND c.n = w.n AND c.c = q.c GROUP BY q.page)
+SELECT page, max(v) FILTER (WHERE c = 0)::INT AS ring_r, max(v) FILTER (WHERE c = 1)::INT AS ring_g, max(v) FILTER (WHERE c = 2)::INT AS ring_b, min(mean) AS mean FROM c JOIN e USING (page) WHERE n = 1 GROUP BY page""")
+def raster_rings(v):
+    """Colours around a page's first boxes, taken before any is painted over with its own."""
+
+    def work(page, boxes):
+        a = noise(page)
+        page_size, regions = (float(W), float(H)), [tuple(map(float, b)) for b in boxes[:3]]
+        r, g, b = I.ring_median(a, I.pixel_box(regions[0], 1.0, 1.0, 1, (H, W)))
+        return {"ring_r": r, "ring_g": g, "ring_b": b, "mean": round(float(I.erased(a, regions, page_size, (255, 255, 255)).mean()), 4)}
+
+    return _rasters(v, work, "ring_r int, ring_g int, ring_b int, mean double")
+
+
+_SLIDE = f"{_GRID}, {_BOXES}, i AS (SELECT xy.*, CASE WHEN frame THEN 90 WHEN stroke THEN 30 ELSE 200 + x // 8 END AS r, CASE WHEN frame THEN 90 WHEN stroke THEN 30 ELSE 205 + y // 8 END AS g, CASE WHEN frame THEN 90 WHEN stroke THEN 30 ELSE 210 + page % 20 END AS b FROM (SELECT xy.*, (y IN (2, 51) AND x BETWEEN 2 AND 93) OR (x IN (2, 93) AND y BETWEEN 2 AND 50) AS frame, coalesce(x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND (y - y0) % 2 = 0, false) AS stroke FROM xy LEFT JOIN r ON xy.page = r.page AND n = 1) xy)"
+
+
+@query("raster_ink_rows", "RAS-08 RAS-09", f"""
+WITH {_SLIDE}, k AS (SELECT i.page, x, y, y0, abs(l - median(l) OVER (PARTITION BY i.page)) > 24 AS ink FROM (SELECT i.page, x, y, x0, y0, x1, y1, floor(0.299 * i.r + 0.587 * i.g + 0.114 * i.b + 0.5) AS l FROM i JOIN r ON i.page = r.page AND n = 1 AND x >= x0 - 2 AND x < x1 + 3 AND y >= y0 - 2 AND y < y1 + 3) i),
+d AS (SELECT *, avg(density) OVER (PARTITION BY page) AS mean FROM (SELECT page, y, avg(ink::INT) AS density FROM k GROUP BY ALL)), t AS (SELECT page, y, y - row_number() OVER (PARTITION BY page ORDER BY y) AS run FROM d WHERE density > greatest(0.02, 0.5 * mean)), u AS (SELECT page, (min(y) + max(y)) / 2.0 AS centre FROM t GROUP BY page, run),
+c AS (SELECT page, count(*) AS n_rows, min(centre)::DOUBLE AS first_row, max(centre)::DOUBLE AS last_row FROM u GROUP BY page) SELECT page, n_rows::INT AS n_rows, first_row, last_row, min(x)::INT AS x0, min(y)::INT AS y0, max(x)::INT + 1 AS x1, max(y)::INT + 1 AS y1 FROM k JOIN c USING (page) WHERE ink GROUP BY ALL""")
+def raster_ink_rows(v):
+    """Centres of the bands of rows with ink around a page's first block, and the box of its ink."""
+
+    def work(page, boxes):
+        x0, y0, x1, y1 = boxes[0]
+        image, area = slide(page, boxes[:1]), (max(0, x0 - 2), max(0, y0 - 2), min(W, x1 + 3), min(H, y1 + 3))
+        rows, extent = I.ink_rows(image, area), I.ink_extent(image, area)
+        return {"n_rows": len(rows), "first_row": rows[0], "last_row": rows[-1], **dict(zip(P.BOX, extent))}
+
+    return _rasters(v, work, "n_rows int, first_row double, last_row double, x0 int, y0 int, x1 int, y1 int")
+
+
+@query("raster_cell_fills", "AGG-18 RAS-36", f"""
+WITH {_SLIDE.replace("AND n = 1) xy)", "AND n = 0) xy)")}, w AS ({_in_boxes(1, "n <= 3")}), s AS (SELECT i.page, i.r, i.g, i.b, (i.r // 16) * 65536 + (i.g // 16) * 256 + i.b // 16 AS q FROM i LEFT JOIN w USING (page, x, y) WHERE i.x BETWEEN 20 AND 59 AND i.y BETWEEN 10 AND 39 AND w.page IS NULL),
+n AS (SELECT page, q, count(*) AS n, sum(count(*)) OVER (PARTITION BY page) AS all_, row_number() OVER (PARTITION BY page ORDER BY count(*) DESC, q) AS place FROM s GROUP BY page, q), m AS (SELECT * FROM n WHERE place = 1)
+SELECT s.page, printf('#%02X%02X%02X', floor(median(r))::INT, floor(median(g))::INT, floor(median(b))::INT) AS fill FROM s JOIN m ON s.page = m.page AND (s.q = m.q OR m.n < 0.6 * m.all_) GROUP BY s.page""")
+def raster_cell_fills(v):
+    """Fill of a cell: the median of its most frequent shade, if that has the share, else of all its pixels off words."""
+    return _rasters(v, lambda page, boxes: {"fill": I.cell_fill(slide(page, []), (20, 10, 60, 40), boxes[:3])}, "fill string")

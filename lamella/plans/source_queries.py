@@ -24,14 +24,14 @@ def spans(v):
     return rows.select("page", "id", "line", "span", "text", F.coalesce(F.lower("font").contains("new"), F.lit(False)).alias("bold"))
 
 
-@query("src_words", "SRC-03 SRC-06", "SELECT page, id, x0, y0, x1, y1, text FROM words WHERE id % 6 > 3")
+@query("src_words", "SRC-03 SRC-06", "SELECT page, id, x0, y0, x1, y1, text FROM words")
 def words(v):
-    """Raw word tuples; rows that are short, blank, not numeric or of no extent go."""
-    i = F.col("id") % 6
-    nums = lambda *c: F.concat_ws(",", *[F.col(x).cast("string") for x in c])
-    good = F.concat(F.lit("["), nums("x0", "y0", "x1", "y1"), F.lit(',"'), F.col("text"), F.lit('",0,0]'))
-    raw = F.when(i == 0, F.concat(F.lit("["), nums("x0", "y0", "x1", "y1"), F.lit("]"))).when(i == 1, F.concat(F.lit("["), nums("x0", "y0", "x1", "y1"), F.lit(',"  "]'))).when(i == 2, F.lit('["a",1,2,3,"t"]')).when(i == 3, F.concat(F.lit("["), nums("x1", "y0", "x0", "y1"), F.lit(',"t"]'))).otherwise(good)
-    return v.words.select("page", "id", D.word_fields(raw).alias("w")).where("w IS NOT NULL").select("page", "id", "w.*")
+    """Raw word tuples, with malformed ones beside the true ones: rows that are short, blank, not numeric or of no extent go."""
+    tuple_ = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *[F.col(p).cast("string") if p in v.words.columns and p != "text" else F.lit(p) for p in parts]), F.lit("]"))
+    good = F.concat(F.lit("["), F.concat_ws(",", *[F.col(c).cast("string") for c in ("x0", "y0", "x1", "y1")]), F.lit(',"'), F.col("text"), F.lit('",0,0]'))
+    malformed = (tuple_("x0", "y0", "x1", "y1"), tuple_("x0", "y0", "x1", "y1", '"  "'), F.lit('["a",1,2,3,"t"]'), tuple_("x1", "y0", "x0", "y1", '"t"'), F.lit(None).cast("string"))
+    raw = v.words.select("page", "id", F.explode(F.array(good, *malformed)).alias("raw"))
+    return raw.select("page", "id", D.word_fields(F.col("raw")).alias("w")).where("w IS NOT NULL").select("page", "id", "w.*")
 
 
 @query("src_drawings", "SRC-05 SRC-07 SRC-08 SRC-09", """
