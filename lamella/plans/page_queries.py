@@ -20,6 +20,7 @@ from lamella.sources.views import PAGE_H, PAGE_W
 
 from . import sqltext as S
 from .registry import query
+from .text_queries import _BUL
 
 
 _FIG = "STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]"
@@ -43,7 +44,21 @@ def merged_figures(v):
     return P.by_page_pair(v.images.select("page", "id", *P.BOX), figures, work, "id long, kind string")
 
 
-@query("page_grouping_scores", "JOIN-19 JOIN-20 SRC-17")
+_FIRST_FREE = "list_filter({cands}, lambda x: NOT coalesce(list_contains({taken}, x.k), false))[1]"
+
+
+@query("page_grouping_scores", "JOIN-19 JOIN-20 SRC-17", f"""
+WITH RECURSIVE p AS (SELECT a.page, a.id AS f, b.id AS w, {S.iou("a", "b")} AS score, {S.inter("a", "b")} AS com, {S.area("a")} AS fa, {S.area("b")} AS wa, regexp_matches(a.text, '{_BUL}') AND b.label = 'list' AS listed FROM blocks a JOIN regions b ON a.page = b.page AND {S.inter("a", "b")} > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, f DESC, w DESC) AS n FROM p WHERE score >= 0.35),
+r AS (SELECT page, 0::BIGINT AS n, []::BIGINT[] AS fs, []::BIGINT[] AS ws, false AS ok, 0.0::DOUBLE AS score FROM (SELECT DISTINCT page FROM o) UNION ALL SELECT r.page, o.n, CASE WHEN list_contains(r.fs, o.f) OR list_contains(r.ws, o.w) THEN r.fs ELSE list_append(r.fs, o.f) END, CASE WHEN list_contains(r.fs, o.f) OR list_contains(r.ws, o.w) THEN r.ws ELSE list_append(r.ws, o.w) END, NOT (list_contains(r.fs, o.f) OR list_contains(r.ws, o.w)), o.score FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1),
+g AS (SELECT page, count(*) AS pairs, avg(score) AS mean FROM r WHERE ok GROUP BY page),
+i AS (SELECT page, f, row_number() OVER (PARTITION BY page ORDER BY f) AS n, list(struct_pack(k := w, s := s) ORDER BY s DESC, w) AS cands FROM (SELECT *, greatest(score, 0.9 * com / greatest(wa, 1.0)) AS s FROM p WHERE listed) WHERE s >= 0.25 GROUP BY page, f),
+l AS (SELECT page, 0::BIGINT AS n, []::BIGINT[] AS ws FROM (SELECT DISTINCT page FROM i) UNION ALL SELECT l.page, i.n, list_append(l.ws, {_FIRST_FREE.format(cands="i.cands", taken="l.ws")}.k) FROM l JOIN i ON i.page = l.page AND i.n = l.n + 1),
+h AS (SELECT page, max(len(list_filter(ws, lambda x: x IS NOT NULL))) AS hits FROM l GROUP BY page), nf AS (SELECT page, count(*) AS n_found, count(*) FILTER (WHERE regexp_matches(text, '{_BUL}')) AS fl FROM blocks GROUP BY page), nw AS (SELECT page, count(*) AS n_wanted, count(*) FILTER (WHERE label = 'list') AS wl FROM regions GROUP BY page),
+m AS (SELECT page, count(*) AS merges FROM (SELECT page, f FROM p WHERE com / greatest(wa, 1.0) >= 0.5 GROUP BY ALL HAVING count(*) >= 2) GROUP BY page), t AS (SELECT page, count(*) AS splits FROM (SELECT page, w FROM p WHERE com / greatest(fa, 1.0) >= 0.5 GROUP BY ALL HAVING count(*) >= 2) GROUP BY page),
+z AS (SELECT page, coalesce(n_found, 0) AS n_found, coalesce(n_wanted, 0) AS n_wanted, coalesce(fl, 0) AS fl, coalesce(wl, 0) AS wl, coalesce(pairs, 0) AS pairs, coalesce(mean, 0.0) AS mean, coalesce(merges, 0) AS merges, coalesce(splits, 0) AS splits, coalesce(hits, 0)::DOUBLE AS hits FROM pages_ LEFT JOIN nf USING (page) LEFT JOIN nw USING (page) LEFT JOIN g USING (page) LEFT JOIN m USING (page) LEFT JOIN t USING (page) LEFT JOIN h USING (page)),
+y AS (SELECT *, CASE WHEN fl + wl > 0 THEN CASE WHEN fl > 0 THEN hits / fl ELSE 0.0 END END AS lp, CASE WHEN fl + wl > 0 THEN CASE WHEN wl > 0 THEN hits / wl ELSE 0.0 END END AS lr FROM z)
+SELECT page, n_found::INT AS n_found, n_wanted::INT AS n_wanted, CASE WHEN n_wanted > 0 THEN round(n_found::DOUBLE / n_wanted, 6) WHEN n_found = 0 THEN 0.0 ELSE -1.0 END AS ratio, round(mean, 6) AS mean_iou, merges::INT AS merges, splits::INT AS splits, (n_found - pairs)::INT AS unmatched_found, (n_wanted - pairs)::INT AS unmatched_wanted, lp AS list_precision, lr AS list_recall, CASE WHEN lp + lr <= 0 THEN 0.0 ELSE 2 * lp * lr / (lp + lr) END AS list_f1 FROM y""")
 def grouping_scores(v):
     """Blocks of a page against its regions as the truth."""
 
@@ -71,7 +86,15 @@ def grouping_errors(v):
     return rows.na.fill(0)
 
 
-@query("page_acceptance", "JOIN-21")
+@query("page_acceptance", "JOIN-21", f"""
+WITH RECURSIVE b AS (SELECT page, id, source, reading_order, role, role IN ('header', 'footer', 'page_number') AS margin, x0, y0, x1, y1, lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) AS t FROM blocks JOIN annotations USING (page, id)),
+p AS (SELECT w.page, w.id AS w, f.id AS f, w.margin, f.reading_order AS ro, CASE WHEN w.t = '' THEN 0.0 WHEN f.t = w.t THEN 1.0 WHEN contains(w.t, f.t) OR contains(f.t, w.t) THEN 0.85 ELSE 0.0 END AS ts, {S.iou("f", "w")} AS place, greatest({S.iou("f", "w")}, {S.inter("f", "w")} / greatest({S.area("w")}, 1.0)) AS over FROM b w JOIN b f ON f.page = w.page AND f.source = 'native'),
+s AS (SELECT page, w, bool_or(ts >= 0.85 OR (ts >= 0.5 AND over >= 0.15) OR over >= 0.5) AS still FROM p WHERE margin GROUP BY ALL), g AS (SELECT b.page, count(*) AS n_margin, count(*) FILTER (WHERE NOT coalesce(still, false)) AS n_filtered FROM b LEFT JOIN s ON s.page = b.page AND s.w = b.id WHERE margin GROUP BY b.page),
+c AS (SELECT page, w, row_number() OVER (PARTITION BY page ORDER BY w) AS n, list(struct_pack(k := f, o := ro) ORDER BY score DESC, f) AS cands FROM (SELECT *, greatest(ts, 0.9 * place) AS score FROM p WHERE NOT margin) WHERE score >= 0.35 GROUP BY page, w),
+r AS (SELECT page, 0::BIGINT AS n, []::BIGINT[] AS fs, []::INT[] AS os FROM (SELECT DISTINCT page FROM c) UNION ALL SELECT r.page, c.n, list_append(r.fs, {_FIRST_FREE.format(cands="c.cands", taken="r.fs")}.k), list_append(r.os, {_FIRST_FREE.format(cands="c.cands", taken="r.fs")}.o) FROM r JOIN c ON c.page = r.page AND c.n = r.n + 1),
+o AS (SELECT page, list_filter(arg_max(os, n), lambda x: x IS NOT NULL) AS os FROM r GROUP BY page), e AS (SELECT page, i, os[i + 1] AS v FROM (SELECT page, os, unnest(range(len(os))) AS i FROM o)),
+k AS (SELECT a.page, count(*) AS n_pairs, count(*) FILTER (WHERE a.v <= z.v) AS right_way FROM e a JOIN e z ON a.page = z.page AND a.i < z.i GROUP BY a.page), t AS (SELECT page, coalesce(bool_or(role = 'title'), false) = coalesce(bool_or(role = 'title') FILTER (WHERE source = 'native'), false) AS ok FROM b GROUP BY page)
+SELECT page, ok::INT::DOUBLE AS title_accuracy, coalesce(n_margin, 0)::INT AS n_margin, coalesce(n_filtered, 0)::INT AS n_filtered, CASE WHEN n_margin > 0 THEN round(n_filtered::DOUBLE / n_margin, 6) END AS filter_rate, coalesce(n_pairs, 0)::INT AS n_pairs, CASE WHEN n_pairs > 0 THEN round(right_way::DOUBLE / n_pairs, 6) END AS order_score FROM t LEFT JOIN g USING (page) LEFT JOIN k USING (page)""")
 def acceptance(v):
     """Planned native blocks of a page against labelled ones."""
 
@@ -115,7 +138,19 @@ def ocr_lines(v):
     return merged.select("page", "run", *[F.col(f"b{c}").alias(c) for c in P.BOX], T.join_pieces(F.col("pieces")).alias("text"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("page_heuristic_regions", "WIN-09")
+#: Each step takes one block: the next that goes on with the region's last member, else the first that is free.
+@query("page_heuristic_regions", "WIN-09", f"""
+WITH RECURSIVE m AS (SELECT *, median(font_size) OVER (PARTITION BY page) AS base, regexp_matches(text, '{_BUL}') AS listed FROM blocks), t AS (SELECT DISTINCT a.page, a.id FROM blocks a JOIN tables_ b ON a.page = b.page AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND a.y0 - b.y1 BETWEEN 0 AND 40),
+b AS (SELECT m.*, row_number() OVER (PARTITION BY m.page ORDER BY round(y0, 1), round(x0, 1), m.id) AS i, CASE WHEN y1 <= 0.06::DOUBLE * 540 AND font_size < 1.2::DOUBLE * base THEN 'header' WHEN y0 >= 0.9::DOUBLE * 540 AND regexp_matches(trim(text), '^[0-9]{{1,4}}$') THEN 'page_number' WHEN y0 >= 0.93::DOUBLE * 540 AND t.id IS NULL THEN 'footer'
+ WHEN font_size >= 1.4::DOUBLE * base AND y0 <= 0.28::DOUBLE * 540 THEN 'title' WHEN listed THEN 'list' WHEN regexp_matches(trim(text), '^(Figure|Table|Fig\\.)\\s') AND font_size <= base THEN 'caption' ELSE 'text' END AS label FROM m LEFT JOIN t ON m.page = t.page AND m.id = t.id),
+e AS (SELECT a.page, a.i, list(struct_pack(j := b.i, l := b.label, s := b.listed) ORDER BY b.i) AS nexts FROM b a JOIN b ON a.page = b.page AND a.i < b.i AND b.label IN ('text', 'list', 'caption') AND CASE WHEN greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest(1.0, least(a.y1 - a.y0, b.y1 - b.y0)) >= 0.45 THEN b.x0 - a.x1 <= least(0.08::DOUBLE * 960, 0.6::DOUBLE * (a.y1 - a.y0 + b.y1 - b.y0) / 2)
+ ELSE b.y0 - a.y1 BETWEEN -0.2::DOUBLE * (b.y1 - b.y0) AND 1.35::DOUBLE * (b.y1 - b.y0) AND abs(a.x0 + a.x1 - b.x0 - b.x1) / 2 <= 0.18::DOUBLE * 960 AND (abs(a.x0 - b.x0) <= 0.12::DOUBLE * 960 OR b.listed) END GROUP BY a.page, a.i),
+n AS (SELECT page, list(struct_pack(j := i, l := label, s := listed) ORDER BY i) AS all_ FROM b GROUP BY page),
+r AS (SELECT page, 0::BIGINT AS n, []::BIGINT[] AS used, struct_pack(j := 0::BIGINT, l := 'none', s := false) AS last, -1::BIGINT AS region, 'none' AS label, false AS listed FROM n
+ UNION ALL SELECT page, n + 1, list_append(used, coalesce(nxt, fresh).j), coalesce(nxt, fresh), CASE WHEN nxt IS NULL THEN region + 1 ELSE region END, CASE WHEN nxt IS NULL THEN fresh.l WHEN nxt.l = 'list' THEN 'list' ELSE label END, CASE WHEN nxt IS NULL THEN fresh.s ELSE listed OR nxt.s END
+ FROM (SELECT r.*, CASE WHEN r.label IN ('text', 'list', 'caption') THEN list_filter(coalesce(e.nexts, []), lambda x: NOT list_contains(r.used, x.j) AND NOT (r.label = 'list' AND x.l <> 'list' AND NOT x.s))[1] END AS nxt, list_filter(n.all_, lambda x: NOT list_contains(r.used, x.j))[1] AS fresh FROM r JOIN n ON n.page = r.page LEFT JOIN e ON e.page = r.page AND e.i = r.last.j) WHERE fresh IS NOT NULL),
+f AS (SELECT page, region, arg_max(label, n) AS label, bool_or(listed) AS listed FROM r WHERE n > 0 GROUP BY ALL)
+SELECT b.page, b.id, r.region, CASE WHEN f.listed THEN 'list' ELSE f.label END AS label FROM r JOIN b ON r.page = b.page AND r.last.j = b.i JOIN f ON f.page = r.page AND f.region = r.region WHERE r.n > 0""")
 def heuristic_regions(v):
     """Regions grown from the blocks of a page without a layout model."""
     rows = v.blocks.withColumn("base", F.median("font_size").over(Window.partitionBy("page")))

@@ -166,3 +166,69 @@ def test_names_of_one_family_share_a_group(spark):
 
 def test_text_score():
     assert [P.text_score(a, b) for a, b in (("A b", "ab"), ("xaby", "AB"), ("", "ab"), ("q", "ab"), ("q", ""))] == [1.0, 0.85, 0.85, 0.0, 0.0]
+
+
+def plain_line_groups(b):
+    """Runs of text on lines, step by step."""
+    n, height, width = len(b), [x[3] - x[1] for x in b], [x[2] - x[0] for x in b]
+    if n < 2:
+        return [0] * n
+    mid = float(np.median([max(h, 1.0) for h in height]))
+    small = [max(h, 1.0) < 0.25 * mid or (max(h, 1.0) < 0.4 * mid and max(w, 1.0) < 0.4 * mid) for h, w in zip(height, width)]
+    if all(small):
+        small = [False] * n
+    over = lambda x, y: max(0.0, min(x[3], y[3]) - max(x[1], y[1]))
+
+    def mates(x, y):
+        least = min(x[3] - x[1], y[3] - y[1], 1.0)
+        return over(x, y) > 0 and abs(x[1] + x[3] - y[1] - y[3]) / 2 <= 0.75 * mid and over(x, y) >= 0.3 * least
+
+    lines = []
+    for i in sorted((i for i in range(n) if not small[i]), key=lambda i: ((b[i][1] + b[i][3]) / 2, b[i][0], i)):
+        home = [line for line in lines if any(mates(b[i], b[k]) for k in line)]
+        (home[0] if home else lines.append([]) or lines[-1]).append(i)
+    for i in range(n):
+        if small[i]:
+            best = max(lines, key=lambda line: max(over(b[i], b[k]) for k in line), default=None)
+            if best is not None and max(over(b[i], b[k]) for k in best) > 0:
+                best.append(i)
+            else:
+                lines.append([i])
+    out, runs = [None] * n, -1
+    for line in lines:
+        run = None
+        for i in sorted(line, key=lambda i: b[i][0]):
+            x = b[i]
+            gap = None if run is None else x[0] - run[2]
+            if run is not None and gap <= 1.25 * mid and (gap <= max(0.0, 0.35 * mid) or (run[2] > x[0] and x[2] > run[0])) and mates(run, x):
+                run = [min(run[0], x[0]), min(run[1], x[1]), max(run[2], x[2]), max(run[3], x[3])]
+            else:
+                runs, run = runs + 1, list(x)
+            out[i] = runs
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_line_groups_against_plain_steps(seed):
+    b = some_boxes(60, seed, 30)
+    b[::7, 2:] = b[::7, :2] + 2
+    assert P.line_groups(b).tolist() == plain_line_groups(b.tolist())
+
+
+def test_ocr_lines_query_against_plain_version(spark, sf_dir):
+    from lamella.plans.registry import QUERIES
+    from lamella.sources.views import Views
+
+    rows = [r for r in Views(spark, sf_dir).blocks.where("source = 'ocr'").orderBy("page", "id").collect()]
+    wanted = {}
+    for page in sorted({r.page for r in rows}):
+        own = [r for r in rows if r.page == page]
+        for r, g in zip(own, plain_line_groups([[r.x0, r.y0, r.x1, r.y1] for r in own])):
+            wanted.setdefault((page, g), []).append(r)
+    got = {(r.page, r.run): r for r in QUERIES["page_ocr_lines"](spark, sf_dir).collect()}
+    assert set(got) == set(wanted)
+    for k, of in wanted.items():
+        weight = sum(len(r.text) for r in of)
+        assert (got[k].x0, got[k].y0, got[k].x1, got[k].y1) == (min(r.x0 for r in of), min(r.y0 for r in of), max(r.x1 for r in of), max(r.y1 for r in of))
+        assert got[k].confidence == pytest.approx(sum(r.confidence * len(r.text) for r in of) / max(1, weight), abs=1e-6)
+        assert "".join(got[k].text.split()) == "".join("".join(r.text.split()) for r in sorted(of, key=lambda r: (r.x0, r.id)))
