@@ -12,6 +12,7 @@ import pandas as pd
 
 from lamella.operators import pages as P
 from lamella.operators import raster as I
+from lamella.sources import slides as D
 
 from .registry import query
 
@@ -242,3 +243,15 @@ SELECT s.page, printf('#%02X%02X%02X', floor(median(r))::INT, floor(median(g))::
 def raster_cell_fills(v):
     """Fill of a cell: the median of its most frequent shade, if that has the share, else of all its pixels off words."""
     return _rasters(v, lambda page, boxes: {"fill": I.cell_fill(slide(page, []), (20, 10, 60, 40), boxes[:3])}, "fill string")
+
+
+@query("sink_debug_images", "SNK-12", f"""
+WITH {_NOISE}, {_BOXES}, m AS ({_in_boxes(0)}) SELECT page, sum(a)::BIGINT AS page_sum, (255 * count(m.page) FILTER (WHERE c = 0))::BIGINT AS mask_sum, sum(CASE WHEN m.page IS NULL THEN a ELSE 255 END)::BIGINT AS masked_sum FROM q LEFT JOIN m USING (page, x, y) GROUP BY page""")
+def debug_images(v):
+    """The debug images of a page as files, and the sums of the pixels read from them."""
+
+    def work(page, boxes):
+        files = D.debug_artifacts(noise(page), I.box_mask(boxes, (H, W)))
+        return {f"{k}_sum": int(D.pixels_of(data).sum()) for k, data in files.items()}
+
+    return _rasters(v, work, "page_sum long, mask_sum long, masked_sum long")

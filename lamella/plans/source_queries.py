@@ -8,6 +8,7 @@ from lamella.functions.geometry import box
 from lamella.operators import spatial as J
 from lamella.sources import documents as D
 from lamella.sources import sinks
+from lamella.sources import slides as decks
 
 from .registry import query
 
@@ -135,3 +136,18 @@ def reports(v):
     """Issues of a page as report entries."""
     entry = F.to_json(F.struct("id", "kind", "evidence"))
     return v.issues.groupBy("page").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+@query("sink_slides", "SNK-01", """
+WITH i AS (SELECT page, 0 AS layer, z AS ord, id, 'shape' AS kind, x0, y0, x1, y1, NULL AS text FROM shapes UNION ALL SELECT page, 1, reading_order, id, 'text', x0, y0, x1, y1, text FROM blocks)
+SELECT page, kind, id, (row_number() OVER (PARTITION BY page ORDER BY layer, ord, id) - 1)::INT AS place, x0, y0, x1, y1, text FROM i""")
+def slides(v):
+    """Shapes and texts written as editable slide files, ten pages a deck, and read from the files again."""
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    box_ = ["x0", "y0", "x1", "y1"]
+    deck = F.floor(F.col("page") / 10).alias("deck")
+    shapes = v.shapes.select(deck, "page", F.lit(0).alias("layer"), F.col("z").alias("ord"), "id", F.lit("shape").alias("kind"), *box_, *none("string", "text"), *none("double", "font_size"), *none("boolean", "bold", "italic"), *none("string", "font"), "fill", "stroke", "stroke_width", "opacity", F.col("kind").alias("form"))
+    texts = v.blocks.select(deck, "page", F.lit(1).alias("layer"), F.col("reading_order").alias("ord"), "id", F.lit("text").alias("kind"), *box_, "text", "font_size", "bold", "italic", "font", *none("string", "fill", "stroke"), *none("double", "stroke_width", "opacity"), *none("string", "form"))
+    read = decks.deck_items(decks.deck_files(shapes.unionByName(texts), 960.0, 540.0))
+    name = F.split("name", " ")
+    return read.select(F.get(name, F.lit(1)).cast("long").alias("page"), "kind", F.get(name, F.lit(2)).cast("long").alias("id"), "place", *[F.round(c, 4).alias(c) for c in box_], "text")
