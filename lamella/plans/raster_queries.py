@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from lamella.operators import engines as E
 from lamella.operators import pages as P
 from lamella.operators import raster as I
 from lamella.sources import slides as D
@@ -255,3 +256,25 @@ def debug_images(v):
         return {f"{k}_sum": int(D.pixels_of(data).sum()) for k, data in files.items()}
 
     return _rasters(v, work, "page_sum long, mask_sum long, masked_sum long")
+
+
+class _Flat:
+    """A stand-in for a service: the mask in one colour, at a price by its size."""
+
+    def edit(self, request: E.Edit) -> E.Edited:
+        return E.Edited(np.where(request.mask[..., None], np.uint8(100), request.image), float(request.mask.sum()) / 4096)
+
+
+@query("raster_engines", "UDF-02 UDF-03 STATE-18", f"""
+WITH {_NOISE}, {_BOXES}, m AS ({_in_boxes(0)}), n AS (SELECT page, count(*) AS n FROM m GROUP BY page), s AS (SELECT page, n, n > 2048 AS refused FROM n)
+SELECT page, CASE WHEN refused THEN 0 ELSE n::DOUBLE / 4096 END AS spent, refused::INT AS refused, round_even(avg(CASE WHEN m.page IS NULL OR refused THEN 0 ELSE abs(a - 100) END), 4) AS moved FROM q JOIN s USING (page) LEFT JOIN m USING (page, x, y) GROUP BY page, n, refused""")
+def raster_engines(v):
+    """A service's edits within a budget that a page with much text would overrun, kept to the mask."""
+
+    def work(page, boxes):
+        a, m = noise(page), I.box_mask(boxes, (H, W))
+        engine = E.ServiceEngine(_Flat(), 0.5, float(m.sum()) / 4096)
+        made = engine.repair(a, m)
+        return {"spent": engine.spent, "refused": engine.refused, "moved": I.pixel_error(a, np.where(m[..., None], made, a))["mae"]}
+
+    return _rasters(v, work, "spent double, refused int, moved double")
