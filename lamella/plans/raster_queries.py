@@ -278,3 +278,47 @@ def raster_engines(v):
         return {"spent": engine.spent, "refused": engine.refused, "moved": I.pixel_error(a, np.where(m[..., None], made, a))["mae"]}
 
     return _rasters(v, work, "spent double, refused int, moved double")
+
+
+def _kernel(sigma: float, radius: int) -> str:
+    return f"(SELECT d, exp(-(d * d) / {2 * sigma * sigma}) / (SELECT sum(exp(-(d * d) / {2 * sigma * sigma})) FROM (SELECT unnest(range(-{radius}, {radius} + 1)) AS d)) AS k FROM (SELECT unnest(range(-{radius}, {radius} + 1)) AS d))"
+
+
+def _blurred(rows: str, by: str, values: list[str], sigma: float, radius: int, w: int, h: int) -> str:
+    """SQL of values blurred along y and then x; at the borders rows (by, x, y) are mirrored."""
+    fold = lambda at, n: f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > {n - 1} THEN {2 * n - 2} - ({at}) ELSE {at} END"
+    down = ", ".join(f"sum(k * s.{v}) AS {v}" for v in values)
+    tall = f"(SELECT t.page, {by}t.x, t.y, {down} FROM (SELECT page, {by}x, y, k, {fold('y + d', h)} AS yy FROM {rows}, {_kernel(sigma, radius)}) t JOIN {rows} s USING (page, {by}x) WHERE s.y = yy GROUP BY ALL)"
+    return f"SELECT t.page, {by}t.y, t.x, {down} FROM (SELECT page, {by}x, y, k, {fold('x + d', w)} AS xx FROM {rows}, {_kernel(sigma, radius)}) t JOIN tall s USING (page, {by}y) WHERE s.x = xx GROUP BY ALL".replace("JOIN tall s", f"JOIN {tall} s")
+
+
+_LUMA = f"{_NOISE}, l AS (SELECT page, x, y, floor(0.299 * sum(a) FILTER (WHERE c = 0) + 0.587 * sum(a) FILTER (WHERE c = 1) + 0.114 * sum(a) FILTER (WHERE c = 2) + 0.5) AS u, floor(0.299 * sum(b) FILTER (WHERE c = 0) + 0.587 * sum(b) FILTER (WHERE c = 1) + 0.114 * sum(b) FILTER (WHERE c = 2) + 0.5) AS v FROM q GROUP BY ALL)"
+_SSIM = "avg((2 * u * v + 6.5025) * (2 * (uv - u * v) + 58.5225) / ((u * u + v * v + 6.5025) * (uu - u * u + vv - v * v + 58.5225)))"
+
+
+@query("raster_ssim", "RAS-01 RAS-06", f"""
+WITH {_LUMA}, whole AS MATERIALIZED (SELECT page, x, y, u, v, u * u AS uu, v * v AS vv, u * v AS uv FROM l), part AS MATERIALIZED (SELECT page, x - 20 AS x, y - 10 AS y, u, v, uu, vv, uv FROM whole WHERE x BETWEEN 20 AND 59 AND y BETWEEN 10 AND 39),
+a AS ({_blurred("whole", "", ["u", "v", "uu", "vv", "uv"], 1.5, 5, 96, 54)}), b AS ({_blurred("part", "", ["u", "v", "uu", "vv", "uv"], 1.5, 5, 40, 30)}), c AS (SELECT page, round({_SSIM}, 6) AS ssim FROM a GROUP BY page), d AS (SELECT page, round({_SSIM}, 6) AS local_ssim FROM b GROUP BY page) SELECT page, ssim, local_ssim FROM c JOIN d USING (page)""")
+def raster_ssim(v):
+    """Structural similarity of two rasters, and of a region of theirs."""
+
+    def work(page, boxes):
+        a = noise(page)
+        b = disturbed(a, page)
+        return {"ssim": I.ssim(a, b), "local_ssim": I.region_ssim(a, b, (20, 10, 60, 40))}
+
+    return _rasters(v, work, "ssim double, local_ssim double")
+
+
+@query("raster_blurs", "RAS-29 RAS-30", f"""
+WITH {_LUMA}, {_BOXES}, m AS MATERIALIZED ({_in_boxes(0, "n <= 3")}), o AS MATERIALIZED ({_in_boxes(4, "n <= 3")}), e AS MATERIALIZED (SELECT page, x, y, c, (a - b)::DOUBLE AS z FROM q), f AS ({_blurred("e", "c, ", ["z"], 2.0, 6, 96, 54)}), w AS MATERIALIZED (SELECT page, x, y, u FROM l), g AS ({_blurred("w", "", ["u"], 3.0, 9, 96, 54)}),
+h AS (SELECT page, round(avg(abs(z)), 6) AS low FROM f JOIN m USING (page, x, y) GROUP BY page), t AS (SELECT w.page, round(stddev_pop(w.u - g.u), 6) AS texture, round(stddev_pop(w.u), 6) AS spread FROM w JOIN g USING (page, x, y) JOIN o USING (page, x, y) ANTI JOIN m USING (page, x, y) GROUP BY w.page) SELECT page, low, texture, spread FROM h JOIN t USING (page)""")
+def raster_blurs(v):
+    """Errors of low frequency within a mask, and texture around it."""
+
+    def work(page, boxes):
+        a, m = noise(page), I.box_mask(boxes[:3], (H, W))
+        b = disturbed(a, page)
+        return {"low": round(I.low_frequency_mae(a, b, m, 2.0), 6), "texture": round(I.ring_texture(a, m, "highpass", 4), 6), "spread": round(I.ring_texture(a, m, "std", 4), 6)}
+
+    return _rasters(v, work, "low double, texture double, spread double")
