@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen frame basefont bgsound command".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
-UNSEEN = frozenset("script style head template noscript noembed noframes iframe object audio video canvas svg math datalist select input link meta title param source track area map dialog".split())
+UNSEEN = frozenset("script style head template noscript noembed noframes iframe audio video canvas datalist input link meta title param source track area map desc metadata defs symbol clippath mask annotation annotation-xml".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul tr td th thead tbody tfoot caption colgroup".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table text ul tr td th thead tbody tfoot caption colgroup".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset menu dir hr details".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -134,19 +136,25 @@ def parse(html: str) -> Node:
                 node.children.append(unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else n
             continue
-        if len(stack) < DEPTH:
+        # Beyond DEPTH elements are closed at once and their text stays with the last that is open, but for hidden ones.
+        if len(stack) < DEPTH or len(stack) > DEPTH or not visible(node):
             stack.append(node)
     return root
 
 
 def visible(node: Node) -> bool:
-    """False for elements that a browser does not show: by kind, attribute or inline style."""
+    """False for elements that a browser does not show: by kind, attribute or inline style.
+
+    A dialog is shown if it is open, and what is in an object if it has no data of its own.
+    """
     if node.tag in UNSEEN:
         return False
     a = node.attrs
+    if node.tag == "dialog" and "open" not in a or node.tag == "object" and "data" in a:
+        return False
     if not a:
         return True
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if "hidden" in a:
         return False
     return not _hidden.search(a.get("style", ""))
 
@@ -272,6 +280,12 @@ def _render(node: Node, out: Renderer, lists: list) -> None:
             out.indent = held
             if tag == "blockquote":
                 out.gap()
+        elif tag == "select":
+            several = "multiple" in child.attrs or child.attrs.get("size", "1") not in ("", "0", "1")
+            for label in _options(child, several):
+                if several:
+                    out.end_line()
+                out.text(label)
         elif tag == "q":
             out.text("“")
             _render(child, out, lists)
@@ -288,6 +302,27 @@ def _render(node: Node, out: Renderer, lists: list) -> None:
             _render(child, out, lists)
 
 
+def _options(select: Node, several: bool) -> list[str]:
+    """Labels of a select's options that are shown: all of a list box, else the one that is selected, or the first."""
+    found: list[tuple[bool, str]] = []
+
+    def gather(node: Node) -> None:
+        for c in node.children:
+            if isinstance(c, str) or not visible(c):
+                continue
+            if c.tag == "option":
+                found.append(("selected" in c.attrs, c.attrs.get("label") or _space.sub(" ", _plain(c)).strip()))
+            elif c.tag == "optgroup":
+                if several and c.attrs.get("label"):
+                    found.append((False, c.attrs["label"]))
+                gather(c)
+
+    gather(select)
+    if several or not found:
+        return [t for _, t in found]
+    return [next((t for chosen, t in reversed(found) if chosen), found[0][1])]
+
+
 def _plain(node: Node) -> str:
     return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _plain(c) if visible(c) else "" for c in node.children)
 
@@ -371,6 +406,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
     memory.
     """
     kept = [c for c in (keep or [c for c in pages.columns if c != html_col]) if c != text_col]
+    small_batches(pages.sparkSession)
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(pages.select(*kept).schema)] + [T.StructField("text", T.StringType())])
 
     def scan(batches):

@@ -16,6 +16,12 @@ CASES = {
     "": "",
     "<": "<",
     "</p></div>stray": "stray",
+    "<p aria-hidden=true>icon</p>": "icon",
+    "<dialog>shut</dialog><dialog open>said</dialog>": "said",
+    "pick <select><option>one<option selected>two<option>three</select> now": "pick two now",
+    "<select multiple><optgroup label=g><option>a<option hidden>b<option>c</select>": "g\na\nc",
+    "<svg><title>t</title><desc>d</desc><text>drawn</text></svg> <math><mi>x</mi><annotation>tex</annotation></math>": "drawn\nx",
+    "<object data=a.swf>no</object><object>fallback</object>": "fallback",
 }
 
 
@@ -50,6 +56,8 @@ def test_depth_and_length():
     assert extract("<div>" * 5000 + "deep" + "</div>" * 5000).strip() == "deep"
     assert len(extract("<p>" + "word " * 200_000)) > 900_000
     assert extract("<b>" * 3000 + "x") .strip() == "x"
+    deep = "<div>" * 400
+    assert extract(f"{deep}seen <div hidden>no<div>no</div>no</div> <span style='display:none'>no</span>seen").split() == ["seen", "seen"]
 
 
 def test_odd_rows(spark):
