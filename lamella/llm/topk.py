@@ -16,12 +16,17 @@ rows for each block; each task returns its best k of each query.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import shared_folder, small_batches
+
 QUERY_BLOCK = 16_384
 ROWS = 8_192
 QUERIES = 256
@@ -30,16 +35,19 @@ RESOLUTIONS = (1, 4, 16)
 
 def whole_vectors(column: pa.Array, ids: pa.Array, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: (ids, floor(scale * x)) of the vectors that are finite throughout."""
-    by_length: dict[int, tuple[list, list]] = {}
-    for i, v in zip(ids.to_pylist(), column):
-        if i is None or not v.is_valid or v.values.null_count:
-            continue
-        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if np.isfinite(x).all():
-            own = by_length.setdefault(len(x), ([], []))
-            own[0].append(i)
-            own[1].append(np.floor(scale * x))
-    return {n: (np.array(i, np.int64), np.stack(x)) for n, (i, x) in by_length.items()}
+    known = pc.and_(pc.is_valid(column), pc.is_valid(ids))
+    column, ids = column.filter(known), ids.filter(known).to_numpy(zero_copy_only=False)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    out = {}
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        x = values[start[rows][:, None] + np.arange(n)]
+        finite = np.isfinite(x).all(axis=1)
+        if finite.any():
+            out[n] = (ids[rows[finite]].astype(np.int64), np.floor(scale * x[finite]))
+    return out
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -126,18 +134,34 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col
     Fewer than k candidates give all; no rows give no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    asked = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // query_block))
-    found = None
+    small_batches(spark)
+    pair = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")]
+    rows, asked = vectors.select(*pair), vectors.where(is_query).select(*pair)
+    blocks = max(1, -(-asked.count() // query_block))
+    if blocks == 1:
+        return _searched(rows, _shared(asked, scale), k, scale)
+    # Queries are read once and kept by block; one block is in memory at a time, and its result is written.
+    path = f"{shared_folder(spark)}/topk-{uuid.uuid4().hex}"
+    asked.withColumn("lm_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).write.partitionBy("lm_block").parquet(f"{path}/queries")
+    kept = spark.read.parquet(f"{path}/queries")
     for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        arrow = own.toArrow().combine_chunks()
-        sets = whole_vectors(arrow.column("v").combine_chunks(), arrow.column("id").combine_chunks(), scale) if arrow.num_rows else {}
-        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(sets), k, scale), "block int, q int, query_id long, vec_id long, score long")
-        part = part.withColumn("block", F.lit(b))
-        found = part if found is None else found.unionByName(part)
+        shared = _shared(kept.where(F.col("lm_block") == b).select("id", "v"), scale)
+        found = _searched(rows, shared, k, scale)
+        found.write.mode("append").parquet(f"{path}/found")
+        shared.destroy()
+    return spark.read.schema(found.schema).parquet(f"{path}/found")
+
+
+def _shared(asked: DataFrame, scale: float):
+    """The queries of one block, query_block at most, as a broadcast."""
+    arrow = asked.toArrow().combine_chunks()
+    sets = whole_vectors(arrow.column("v").combine_chunks(), arrow.column("id").combine_chunks(), scale) if arrow.num_rows else {}
+    return asked.sparkSession.sparkContext.broadcast(sets)
+
+
+def _searched(rows: DataFrame, shared, k: int, scale: float) -> DataFrame:
+    """Each task has a best list for each query; those are ranked together."""
+    found = rows.mapInArrow(_searcher(shared, k, scale), "block int, q int, query_id long, vec_id long, score long")
     best = Window.partitionBy("block", "query_id", "q").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
