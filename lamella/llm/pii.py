@@ -363,8 +363,9 @@ def surrogates(docs: DataFrame, key: str, count_col: str | None = None) -> DataF
 
 
 def session_key(spark) -> str:
-    """The key in spark.lamella.surrogates.key; where it is unset, one is drawn and set for the session."""
-    name = "spark.lamella.surrogates.key"
+    """The key in spark.lamella.surrogates.secret (a name that Spark's logs redact); where it is unset, one is drawn and
+    set for the session. Query plans hold a hash of the key that is as good as the key: event logs are to be kept as it is."""
+    name = "spark.lamella.surrogates.secret"
     if not spark.conf.get(name, ""):
         spark.conf.set(name, secrets.token_hex(32))
     return spark.conf.get(name)
