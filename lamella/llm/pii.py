@@ -194,40 +194,49 @@ def country_of(kind: Column, mention: Column) -> Column:
     return F.when((kind == "phone") & _ten_digits(mention), "1").when(kind == "phone", F.regexp_extract(mention, "^\\+(\\d{1,3})[ .(-]", 1)).otherwise("")
 
 
-def core_of(kind: Column, canon: Column, country: Column, attempt: Column, key: str) -> Column:
-    """A keyed draw of the kind: what replaces the canonical form. A country code is kept in front."""
-    h = _digest(kind, canon, attempt, key, "core")
-    n = F.length(canon)
-    digits = F.concat(_digits(h), _digits(_digest(kind, canon, attempt, key, "more")), _digits(_digest(kind, canon, attempt, key, "most")))
-    letters = F.concat(_letters(h), _letters(_digest(kind, canon, attempt, key, "more")), _letters(_digest(kind, canon, attempt, key, "most")))
-    drawn_card = F.concat(F.substring(canon, 1, 2), F.substring(digits, 1, n - 3))
-    check = (10 - _luhn(F.concat(drawn_card, F.lit("0"))) % 10) % 10
-    valid = _luhn(canon) % 10 == 0
-    card = F.concat(drawn_card, F.when(valid, check).otherwise((check + 1) % 10).cast("string"))
-    account = _filled(F.substring(canon, 5, 60), digits, F.upper(letters))
+def drawn(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, country, attempt, ...) with core: a keyed draw of the kind, which replaces the canonical form.
+
+    A country code is kept in front. Step by step, as what several kinds need
+    would otherwise be computed, and compiled, for each of its uses.
+    """
+    kind, canon, country, attempt = (F.col(c) for c in ("kind", "canon", "country", "attempt"))
+    h, digits, letters, card, account = (F.col(f"lm_{c}") for c in ("core", "digits", "letters", "card", "account"))
+    digests = {f"lm_{p}": _digest(kind, canon, attempt, key, p) for p in ("core", "more", "most")}
+    three = lambda f: F.concat(*[f(F.col(c)) for c in digests])
+    out = entities.withColumns(digests).withColumns({"lm_digits": three(_digits), "lm_letters": three(_letters)})
+    out = out.withColumns(
+        {
+            "lm_card": F.when(kind == "card", F.concat(F.substring(canon, 1, 2), F.substring(digits, 1, F.length(canon) - 3))),
+            "lm_account": F.when(kind == "iban", _filled(F.substring(canon, 5, 60), digits, F.upper(letters))),
+        }
+    )
+    check = (10 - _luhn(F.concat(card, F.lit("0"))) % 10) % 10
     wanted = 98 - _mod97(F.concat(F.substring(canon, 1, 2), F.lit("00"), account))
-    iban = F.concat(F.substring(canon, 1, 2), F.lpad(F.when(_mod97(canon) == 1, wanted).otherwise(wanted % 97 + 1).cast("string"), 2, "0"), account)
+    out = out.withColumns({"lm_check": check, "lm_wanted": wanted})
+    own_card = F.concat(card, F.when(_luhn(canon) % 10 == 0, F.col("lm_check")).otherwise((F.col("lm_check") + 1) % 10).cast("string"))
+    iban = F.concat(F.substring(canon, 1, 2), F.lpad(F.when(_mod97(canon) == 1, F.col("lm_wanted")).otherwise(F.col("lm_wanted") % 97 + 1).cast("string"), 2, "0"), account)
     words = F.split(canon, " ")
     script = F.element_at(words, -2)
     stem, ending = F.lit(None).cast("string"), F.lit("")
     count = F.when(kind == "family", 3).otherwise(2) + attempt
     for s, items in FAMILY.items():
-        more = _syllables(items, h, count, attempt)
-        stem = F.when(script == s, F.array_join(more, "")).otherwise(stem)
+        stem = F.when(script == s, F.array_join(_syllables(items, h, count, attempt), "")).otherwise(stem)
     for (g, s), x in ENDINGS.items():
         ending = F.when((kind == "given") & (words[0] == g) & (script == s), x).otherwise(ending)
     ip = F.concat_ws(".", F.lit("10"), *[(_number(h, at) % 254 + 1).cast("string") for at in (1, 10, 20)])
     domain = F.concat(F.substring(_letters(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.regexp_extract(canon, "@(.*)$", 1)), 256)), 1, 8), F.lit(".example"))
-    return (
+    core = (
         F.when(kind == "email", F.concat(F.substring(letters, 1, 12), F.substring(digits, 1, 12), F.lit("@"), domain))
         .when(kind.isin("family", "given"), F.initcap(F.concat(stem, ending)))
-        .when(kind == "card", card)
+        .when(kind == "card", own_card)
         .when(kind == "iban", iban)
         .when(kind == "ip", ip)
         .when(kind == "phone", F.concat(country, (_number(h, 50) % 8 + 2).cast("string"), F.substring(digits, 2, 20)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, 2, 8)))
         .otherwise(F.concat(digits, letters))
     )
+    return out.withColumn("core", core).select(*entities.columns, "core")
 
 
 def _filled(shape: Column, digits: Column, letters: Column) -> Column:
@@ -276,8 +285,8 @@ def _written(kind: Column, mention: Column, core: Column) -> Column:
     )
 
 
-def rewritten(kind: Column, mention: Column, cores: Column, given: Column) -> Column:
-    """The mention in its own format. cores: array<struct<pos, core>>, one for each of parts_of()."""
+def rewritten(kind: Column, mention: Column, cores: Column, core: Column, given: Column) -> Column:
+    """The mention in its own format. cores: array<struct<pos, core>>, one for each of parts_of(); core: the first of them."""
     title = F.regexp_extract(mention, f"^((?:{_TITLE})\\.?\\s)", 1)
     bare = _bare_name(mention)
 
@@ -288,7 +297,7 @@ def rewritten(kind: Column, mention: Column, cores: Column, given: Column) -> Co
 
     gaps = F.concat(F.regexp_extract_all(bare, F.lit("\\s"), F.lit(0)), F.array(F.lit("")))
     name = F.concat(title, F.array_join(F.zip_with(F.transform(F.split(bare, "\\s"), word), gaps, lambda w, g: F.concat(w, g)), ""))
-    return F.when(kind == "name", name).otherwise(_written(kind, mention, F.get(cores, F.lit(0))["core"]))
+    return F.when(kind == "name", name).otherwise(_written(kind, mention, core))
 
 
 def _spelled(kind: Column, canon: Column, core: Column) -> Column:
@@ -303,22 +312,20 @@ def cores(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     `rounds` gets a suffix of 64 keyed bits."""
     taken = None
     left = entities.withColumn("attempt", F.lit(0))
-    draw = core_of(F.col("kind"), F.col("canon"), F.col("country"), F.col("attempt"), key)
     for n in range(rounds):
-        drawn = left.withColumn("core", draw)
-        drawn = cut(drawn.withColumn("shown", _spelled(F.col("kind"), F.col("canon"), F.col("core"))))
-        first = drawn.groupBy("kind", "shown").agg(F.min("canon").alias("canon"))
+        shown = cut(drawn(left, key).withColumn("shown", _spelled(F.col("kind"), F.col("canon"), F.col("core"))))
+        first = shown.groupBy("kind", "shown").agg(F.min("canon").alias("canon"))
         first = first.join(entities.select("kind", F.lower("canon").alias("shown")).distinct(), ["kind", "shown"], "left_anti")
         if taken is not None:
             first = first.join(taken.select("kind", "shown"), ["kind", "shown"], "left_anti")
-        won = drawn.join(first, ["kind", "canon", "shown"]).select("kind", "canon", "core", "shown")
+        won = shown.join(first, ["kind", "canon", "shown"]).select("kind", "canon", "core", "shown")
         taken = cut(won if taken is None else taken.unionByName(won))
         left = cut(entities.join(taken, ["kind", "canon"], "left_anti").withColumn("attempt", F.lit(n + 1)))
         if left.isEmpty():
             return taken.drop("shown")
     suffix = F.substring(_digest(F.col("kind"), F.col("canon"), F.lit(0), key, "suffix"), 1, 16)
     name = F.col("kind").isin("family", "given")
-    rest = left.withColumn("core", F.when(name, F.concat(draw, _letters(suffix))).otherwise(F.concat(draw, F.lit("~"), suffix)))
+    rest = drawn(left, key).withColumn("core", F.when(name, F.concat("core", _letters(suffix))).otherwise(F.concat("core", F.lit("~"), suffix)))
     return (rest if taken is None else taken.unionByName(rest, allowMissingColumns=True)).select("kind", "canon", "core")
 
 
@@ -347,9 +354,10 @@ def surrogates(docs: DataFrame, key: str, count_col: str | None = None) -> DataF
     places = found.select(F.col(key_).alias("lm_text"), F.posexplode(seen_).alias("at", "mention")).distinct()
     forms = cut(places.select("mention").distinct().withColumn("kind", kind_of(F.col("mention"))))
     parts = cut(forms.select("mention", F.explode(parts_of(F.col("kind"), F.col("mention"), given)).alias("part"), country_of(F.col("kind"), F.col("mention")).alias("country")).select("mention", "part.*", "country"))
-    drawn = stored(cores(cut(parts.groupBy("kind", "canon").agg(F.max("country").alias("country"))), key))
-    own = parts.join(drawn, ["kind", "canon"]).groupBy("mention").agg(F.collect_list(F.struct("pos", "core")).alias("cores"))
-    news = forms.join(own, "mention", "left").select("mention", rewritten(F.col("kind"), F.col("mention"), F.coalesce("cores", F.array().cast("array<struct<pos:int,core:string>>")), given).alias("new"))
+    draws = stored(cores(cut(parts.groupBy("kind", "canon").agg(F.max("country").alias("country"))), key))
+    own = parts.join(draws, ["kind", "canon"]).groupBy("mention").agg(F.collect_list(F.struct("pos", "core")).alias("cores"))
+    own = forms.join(own, "mention", "left").withColumn("cores", F.coalesce("cores", F.array().cast("array<struct<pos:int,core:string>>"))).withColumn("core", F.get("cores", F.lit(0))["core"])
+    news = own.select("mention", rewritten(F.col("kind"), F.col("mention"), F.col("cores"), F.col("core"), given).alias("new"))
     put = places.join(stored(news), "mention").groupBy("lm_text").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("put"))
     put = cut(put.select(F.col("lm_text").alias(key_), F.transform("put", lambda x: x["new"]).alias(new_)))
 
