@@ -61,8 +61,9 @@ ENDINGS = {("m", "latin"): "us", ("f", "latin"): "ia", ("n", "latin"): "en", ("m
 NAME_WORD = "\\p{Lu}[\\p{L}'’-]*\\p{L}"
 _TITLE = "|".join(TITLES.values())
 _GIVEN = "|".join(x for v in GIVEN.values() for x in v)
+#: Repeats with a group are bounded, as each takes a stack frame, and so are those that may start anywhere in a run: a search is linear.
 KINDS = {
-    "email": "[\\p{L}\\p{N}][\\p{L}\\p{N}._%+-]*@[\\p{L}\\p{N}-]+(?:\\.[\\p{L}\\p{N}-]+)*\\.\\p{L}{2,24}",
+    "email": "[\\p{L}\\p{N}][\\p{L}\\p{N}._%+-]{0,254}+@(?:[\\p{L}\\p{N}-]{1,63}+\\.){1,126}\\p{L}{2,24}",
     "secret": "(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)\\s{0,2}[=:]\\s{0,2}[\"']?[^\\s\"',;]{6,}",
     "key": "AKIA[0-9A-Z]{16}|[0-9a-f]{32,128}",
     "ip": "(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?!\\.\\d)",
@@ -128,7 +129,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, "\\D", "")
     return (
         F.when(kind == "email", F.lower(mention))
-        .when(kind == "secret", F.regexp_extract(mention, "[=:]\\s{0,2}[\"']?(.*)$", 1))
+        .when(kind == "secret", F.regexp_extract(mention, "(?s)[=:]\\s{0,2}[\"']?(.*)$", 1))
         .when(kind == "key", mention)
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .when(kind == "ip", mention)
@@ -254,9 +255,19 @@ def _filled(shape: Column, digits: Column, letters: Column) -> Column:
 
 
 def _secret(value: Column, core: Column) -> Column:
-    letters = F.regexp_replace(core, "[^a-z]", "")
-    hex_letters = F.translate(letters, "bcdfghjkmnprstvw", "abcdefabcdefabcd")
-    return _filled(value, F.regexp_replace(core, "\\D", ""), F.when(value.rlike("^[0-9a-f]+$"), hex_letters).otherwise(letters))
+    """value with each digit and letter taken from the core by its place: a secret has one format, and may be long."""
+    digits, letters = F.regexp_replace(core, "\\D", ""), F.regexp_replace(core, "[^a-z]", "")
+    letters = F.when(value.rlike("^[0-9a-f]+$"), F.translate(letters, "bcdfghjkmnprstvw", "abcdefabcdefabcd")).otherwise(letters)
+    at = lambda s, i: F.substring(s, i % F.length(s) + 1, F.lit(1))
+
+    def other(c: Column, i: Column, own: Column) -> Column:
+        letter = F.when(c.rlike("^\\p{Lu}$"), F.upper(at(own["l"], i))).when(c.rlike("^\\p{L}$"), at(own["l"], i))
+        return F.when(c.rlike("^[0-9]$"), at(own["d"], i)).otherwise(F.coalesce(letter, c))
+
+    # The core's digits and letters are a variable of an outer function, as they would else be found again for each character.
+    own = F.array(F.struct(digits.alias("d"), letters.alias("l")))
+    filled = F.transform(own, lambda o: F.array_join(F.transform(F.split(value, ""), lambda c, i: other(c, i, o)), ""))
+    return F.get(filled, F.lit(0))
 
 
 def _written(kind: Column, mention: Column, core: Column) -> Column:

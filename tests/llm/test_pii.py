@@ -206,3 +206,33 @@ def test_a_key_is_needed(spark, frame):
     from lamella.llm.pii import session_key
 
     assert session_key(spark) == session_key(spark) and len(session_key(spark)) >= 32
+
+
+LONG = {
+    "dots": "a." * 150_000,
+    "labels": "a@" + "b." * 150_000,
+    "host": "a@" + "b" * 300_000,
+    "ats": "a@" * 150_000,
+    "value": "password=" + "aB3-" * 75_000,
+    "prefixes": "token= " * 40_000,
+    "digits": "1234 " * 60_000,
+    "pluses": "+1234-" * 50_000,
+    "quotes": "Mr A" + "'" * 300_000,
+    "titles": "Mr " * 100_000,
+}
+
+
+def test_long_runs(frame):
+    """Runs that start many mentions, or one without an end, take time and stack in proportion."""
+    got = replaced(frame, list(LONG.values()))
+    for name, old, new in zip(LONG, LONG.values(), got):
+        if name == "value":
+            assert len(new) == len(old) and new.startswith("password=") and new[9:1000] != old[9:1000]
+            assert [c.isdigit() or "-" * (c == "-") or c.isupper() for c in new[9:]] == [c.isdigit() or "-" * (c == "-") or c.isupper() for c in old[9:]]
+        elif name in ("dots", "labels", "host", "ats", "pluses", "quotes"):
+            assert new == old
+
+
+def test_secrets_with_line_marks(frame):
+    one, two = replaced(frame, ["password=abc def123", "password=abc xyz987"])
+    assert one != two and "def123" not in one and "xyz987" not in two and " " in one
