@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import partial
 from html import unescape
 
 import pyarrow as pa
@@ -48,6 +50,8 @@ IMPLIED = {
 SCOPE = frozenset("table td th caption html body ul ol dl".split())
 HEAD_ONLY = frozenset("head title meta link base style script noscript template".split())
 DEPTH = 256
+#: Cells that would start further right follow the one before by two blanks, so that a page of many columns stays in proportion.
+ALIGNED = 1_000
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^A-Za-z>][^>]*>|([^<]+|<)", re.S)
 _attribute = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
@@ -206,10 +210,15 @@ class Renderer:
     def verbatim(self, text: str) -> None:
         self.end_line()
         for line in text.strip("\n").expandtabs(8).split("\n"):
-            if self.blank and self.lines and self.lines[-1] != "":
-                self.lines.append("")
-            self.blank = False
-            self.lines.append((self.indent + line).rstrip())
+            self._emit(line)
+
+    def indented(self, mark: str, of: Callable[[], None]) -> None:
+        """What `of` emits, its first line behind the mark and behind those of outer items that wait for a line."""
+        held = self.indent, self.mark
+        self.indent, self.mark = held[0] + " " * len(mark), held[1] + mark if mark.strip() or held[1] else ""
+        of()
+        self.end_line()
+        self.indent, self.mark = held[0], held[1] if self.mark else ""
 
     def gap(self) -> None:
         self.end_line()
@@ -267,17 +276,10 @@ def _render(node: Node, out: Renderer, lists: list) -> None:
                 kind[1] = int(value)
             mark = f"{kind[1]}. " if kind[0] else "- "
             kind[1] += 1
-            held = out.indent
-            out.indent, out.mark = held + " " * len(mark), mark
-            _render(child, out, lists)
-            out.end_line()
-            out.indent, out.mark = held, ""
+            out.indented(mark, partial(_render, child, out, lists))
         elif tag in ("dd", "blockquote"):
             (out.gap if tag == "blockquote" else out.end_line)()
-            held, out.indent = out.indent, out.indent + "  "
-            _render(child, out, lists)
-            out.end_line()
-            out.indent = held
+            out.indented("  ", partial(_render, child, out, lists))
             if tag == "blockquote":
                 out.gap()
         elif tag == "select":
@@ -346,46 +348,59 @@ def _rows(node: Node, captions: list):
 
 
 def _table(node: Node, out: Renderer) -> None:
-    """Cells of a column start at the same place; a cell of several lines takes several lines."""
+    """Cells of a column start at the same place, up to ALIGNED; a cell of several lines takes several lines."""
     captions: list[str] = []
     rows = list(_rows(node, captions))
     for c in captions:
         if text := _space.sub(" ", c).strip():
             out._emit(text)
     grid: list[dict[int, tuple[list[str], int, str]]] = []
-    taken: dict[int, int] = {}
+    # (first column, column behind, rows left) of cells that reach into rows below, by column.
+    spans: list[tuple[int, int, int]] = []
     for cells in rows:
         line: dict[int, tuple[list[str], int, str]] = {}
-        column = 0
-        free: dict[int, int] = {k: v - 1 for k, v in taken.items() if v > 1}
+        column = met = 0
+        new = [(a, b, left - 1) for a, b, left in spans if left > 1]
         for cell in cells:
-            while taken.get(column, 0) > 0:
-                column += 1
+            while met < len(spans) and spans[met][0] <= column:
+                column = max(column, spans[met][1])
+                met += 1
             across, down = _span(cell, "colspan"), _span(cell, "rowspan")
             line[column] = (render(cell).split("\n"), across, cell.attrs.get("align", "").lower())
             if down > 1:
-                free.update({column + i: down - 1 for i in range(across)})
+                new.append((column, column + across, down - 1))
             column += across
-        taken = free
+        spans = sorted(new)
         grid.append(line)
     widths: dict[int, int] = {}
     for line in grid:
         for column, (text, across, _) in line.items():
             if across == 1:
                 widths[column] = max(widths.get(column, 0), *map(width, text))
+    # Only columns in which a cell starts take room.
+    starts: dict[int, int] = {}
+    place = 0
+    for column in sorted({c for line in grid for c in line}):
+        starts[column] = min(place, ALIGNED)
+        place += widths.get(column, 0) + 2
     for line in grid:
-        for part in range(max((len(t) for t, _, _ in line.values()), default=0)):
-            text, at, starts = "", 0, 0
-            for column in sorted(line):
-                starts = sum(widths.get(c, 0) + 2 for c in range(column))
-                pieces, across, align = line[column]
-                piece = pieces[part] if part < len(pieces) else ""
-                if align == "right" and across == 1:
-                    piece = " " * (widths[column] - width(piece)) + piece
-                pad = max(starts - at, 2 if text else 0)
-                text, at = text + " " * pad + piece, at + pad + width(piece)
-            if text.strip():
-                out._emit(text.rstrip())
+        open_cells = [(c, *line[c]) for c in sorted(line)]
+        part = 0
+        while open_cells:
+            out_line: list[str] = []
+            at = 0
+            for column, pieces, across, align in open_cells:
+                piece = pieces[part]
+                if not piece:
+                    continue
+                lead = widths[column] - width(piece) if align == "right" and across == 1 else 0
+                pad = max(starts[column] - at, 2 if out_line else 0) + min(lead, ALIGNED)
+                out_line += [" " * pad, piece]
+                at += pad + width(piece)
+            if text := "".join(out_line).rstrip():
+                out._emit(text)
+            part += 1
+            open_cells = [x for x in open_cells if len(x[1]) > part]
 
 
 def _span(cell: Node, name: str) -> int:
