@@ -45,7 +45,8 @@ LOOKALIKES = dict(
 )
 SIGNS = str.maketrans("01345789@$!|€", "oieastbgasilE".lower())
 _look = re.compile("[" + "".join(LOOKALIKES) + "]")
-_signs = re.compile(r"[01345789@$!|€]+(?=[^\W\d_])")
+#: Whole runs only: a run without a letter behind it is not looked at again from within.
+_signs = re.compile(r"(?<![01345789@$!|€])[01345789@$!|€]++(?=[^\W\d_])")
 _apart = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_*·]){2,}[^\W\d_](?![^\W_])")
 _between = re.compile(r"[.\-_*·]")
 _other = re.compile(r"[\W\d_]+")
@@ -121,7 +122,12 @@ class Lexicon:
                     off.append((start, end))
                 else:
                     best[start] = max(w, best.get(start, 0.0))
-        total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in off))
+        covered = np.zeros(len(folded) + 1 if off else 0, np.int32)
+        for a, b in off:
+            covered[a] += 1
+            covered[b] -= 1
+        covered = np.cumsum(covered)
+        total = sum(w for s, w in best.items() if not (off and covered[s]))
         return total, total / math.sqrt(words), 100 * total / words
 
     def score(self, text: str | None) -> float:

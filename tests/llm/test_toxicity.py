@@ -113,3 +113,20 @@ def test_no_labels(spark, frame, prose):
     assert lexicon.score("anything") < 0.5
     ones = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.train(frame([(1, prose(20), "en", "web")]), ones).score("anything") < 0.5
+
+
+def test_long_runs_and_many_phrases():
+    """Time grows with the text: runs of signs without a letter, and a great many hits and excused phrases."""
+    from time import monotonic
+
+    import numpy as np
+
+    from lamella.llm.toxicity import Lexicon, fold
+
+    lexicon = Lexicon({" vile": 2.0, " foul ": 1.0}, {"vile weather", "so foul"}, np.zeros(4))
+    at = monotonic()
+    assert fold("0" * 300_000 + " " + "!" * 300_000 + "a") == f" {'i' * 300_000}a "
+    assert lexicon.features("0" * 500_000)[0] == 0
+    total, _, share = lexicon.features("vile weather foul so foul vilest " * 20_000)
+    assert total == 20_000 * (1.0 + 2.0) and share == 100 * total / 120_000
+    assert monotonic() - at < 30
