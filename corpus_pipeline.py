@@ -30,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates stays.
 
+    Candidates by SimHash and its Gray-order index, and by MinHash beyond its radius; links by exact similarity.
     A repeated row of that id stays once; rows without an id stay.
     """
     groups = similar_groups(docs)

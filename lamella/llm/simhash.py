@@ -12,6 +12,9 @@ A meeting place with more than HOT_PLACE fingerprints is split once more by
 blocks of its remaining bits, by the same argument; one that is still as large
 is cut into chunks, of which all pairs meet but those of codes that are linked
 already by a common neighbour (_hot_cells). So no link is lost.
+
+similar_groups takes steps 1 to 4 for candidates, on fingerprints of shingle
+sets, and links by the similarity of the sets themselves.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from .gray_index import Labels, gray_rank, link_within
 HOT_PLACE = 50_000
 PIVOTS = 3
 SLICE = 1 << 18
-#: MinHash bands of similar_groups.
+#: MinHash bands of similar_groups, which take the pairs beyond the radius of its SimHash.
 BANDS, BAND_ROWS = 16, 4
 #: A place of more members or bytes of shingles is searched by cells, after links to so many pivots.
 CELL_ROWS, CELL_BYTES = 1024, 16 << 20
@@ -265,6 +268,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], np.uint64).view(np.int64)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a shingle set: a bit is 1 if over half of the members have it."""
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        h = np.ascontiguousarray(hashes[at : at + SLICE, 0])
+        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def alike(one: int, two: int, both: int, least: Fraction) -> bool:
     """Whether sets of so many members, and so many in common, have the Jaccard similarity."""
     return both * least.denominator >= (one + two - both) * least.numerator
@@ -374,6 +386,18 @@ def _perhaps(rows: DataFrame, id_: str, wanted: DataFrame, wanted_id: str) -> Da
     return held.where(F.getbit(byte, (F.col("lm_bit") % 8).cast("int")) == 1).select(*rows.columns)
 
 
+def _simhash_places(codes: DataFrame, radius: int) -> DataFrame:
+    """(fp, rep, n, c1, c2) -> (place, key, rep, n, c1, c2): the sets of each SimHash group at a place.
+
+    A group is a component of fingerprints with at most `radius` differing
+    bits, found by the Gray-order index as in simhash_groups.
+    """
+    prints = cut(codes.groupBy("fp").agg(F.min("rep").alias("rep")))
+    classes = connected_components(hamming_links(prints, radius))
+    group = prints.join(classes, prints.rep == classes.node, "left").select("fp", F.coalesce("component", "rep").alias("key"))
+    return codes.join(stored(group), "fp").select(F.lit(BANDS).alias("place"), "key", "rep", "n", "c1", "c2")
+
+
 def _similar_links(met: DataFrame, rows: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """(place, key, rep, n, c1, c2) -> (node, component) over all pairs that meet and are alike.
 
@@ -422,15 +446,18 @@ def _stars(members: DataFrame, least: Fraction) -> DataFrame:
     return met.where(near("words", "other")).select(F.greatest("rep", "to").alias("src"), F.least("rep", "to").alias("dst")).distinct()
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """-> (doc_id, component_id): documents whose sets of five-word shingles have
     at least `similarity` as Jaccard similarity are linked.
 
-    Candidates agree on all BAND_ROWS minima of one of BANDS MinHash bands: a
-    pair of similarity s is missed with probability (1 - s**4)**16, which is
-    0.00022 at 0.8 and less above, whatever the number of documents. A
-    candidate pair is linked only if its sets, as 64-bit hashes of whole
-    shingles, are that similar. Nulls, ids, repeated and empty rows are treated
+    Candidates are all pairs of a SimHash group, which are components of
+    fingerprints with at most `radius` differing bits. A pair of similarity 0.8
+    differs in ten of 64 bits or so, so candidates are also those that agree on
+    all BAND_ROWS minima of one of BANDS MinHash bands: a pair of similarity s
+    is missed by the bands with probability (1 - s**4)**16, which is 0.00022 at
+    0.8 and less above, whatever the number of documents. A candidate pair is
+    linked only if its sets, as 64-bit hashes of whole shingles, are that
+    similar. Nulls, ids, repeated and empty rows are treated
     as in simhash_groups; very long texts are single slices and, with many
     alike, cells of CELL_BYTES.
     """
@@ -443,13 +470,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sets = [shingle_set(x.as_py(), shingle) for x in part.column(1)]
                 c1, c2 = zip(*map(set_mark, sets))
                 keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys], names=["doc_id", "c1", "c2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_fingerprint(s) for s in sets], pa.int64()), keys], names=["doc_id", "c1", "c2", "n", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    found = stored(rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, c1 long, c2 long, n int, bands array<long>"))
+    found = stored(rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, c1 long, c2 long, n int, fp long, bands array<long>"))
     prints = found.select("doc_id", "c1", "c2")
-    codes = cut(found.groupBy("c1", "c2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    met = codes.where("rep IS NOT NULL AND n > 0").select("rep", "n", "c1", "c2", F.posexplode("bands").alias("place", "key"))
+    codes = cut(found.groupBy("c1", "c2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    sets = codes.where("rep IS NOT NULL AND n > 0")
+    met = sets.select("rep", "n", "c1", "c2", F.posexplode("bands").alias("place", "key")).unionByName(_simhash_places(sets.drop("bands"), radius))
     classes = _similar_links(met, rows.withColumn("doc_id", F.col("doc_id").cast("long")), shingle, Fraction(str(similarity)))
     of_code = codes.join(classes, codes.rep == classes.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(stored(of_code), ["c1", "c2"]).select("doc_id", "component_id")

@@ -256,3 +256,36 @@ def test_filter_of_ids(spark):
     ids = {r.doc_id for r in got.collect()}
     assert got.columns == ["doc_id", "t"] and ids >= set(range(0, 200_000, 40)) and len(ids) < 5_050
     assert _perhaps(rows, "doc_id", spark.range(0).toDF("rep"), "rep").count() == 0
+
+
+def test_sets_within_the_radius_meet_without_bands(frame, prose, monkeypatch):
+    import lamella.llm.simhash as module
+
+    monkeypatch.setattr(module, "band_keys", lambda hashes: np.full(16, int(hashes[:, 1].view(np.int64)[0])))  # only equal sets meet
+    rows = []
+    for i in range(40):
+        one = prose(3000, 3000 + i)
+        rows += [(2 * i, one), (2 * i + 1, one.rsplit(" ", 1)[0] + " changed")]
+    codes = [module.set_fingerprint(module.shingle_set(t.encode())) for _, t in rows]
+    of = plain_classes([c & (1 << 64) - 1 for c in codes])
+    got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
+    assert [got[i] for i in range(80)] == of and sum(of[k + 1] == k for k in range(0, 80, 2)) > 30
+
+
+def test_a_common_fingerprint_links_no_unlike_sets(frame, prose, monkeypatch):
+    import lamella.llm.simhash as module
+
+    monkeypatch.setattr(module, "set_fingerprint", lambda hashes: 5)
+    rows = [(i, prose(60, 4000 + i)) for i in range(20)] + [(20, prose(60, 4000) + " end")]
+    got = {r.doc_id: r.component_id for r in similar_groups(frame(rows)).collect()}
+    assert got == {**{i: i for i in range(20)}, 20: 0}
+
+
+def test_set_fingerprint(monkeypatch):
+    import lamella.llm.simhash as module
+
+    monkeypatch.setattr(module, "SLICE", 7)
+    hashes = module.shingle_set(b"a b c d e f g h i j k l m n o p q r s t a b c d e f")
+    votes = [sum(int(h) >> b & 1 for h in hashes[:, 0]) for b in range(64)]
+    wanted = sum(1 << b for b in range(64) if 2 * votes[b] > len(hashes))
+    assert module.set_fingerprint(hashes) & (1 << 64) - 1 == wanted and module.set_fingerprint(hashes[:0]) == 0
