@@ -4,14 +4,23 @@ Every step is a partial aggregation and a join on node ids, so a node with a
 third of all edges is combined on the map side. The least neighbours are
 written before they are joined, so both sides of each join are exchanges and
 adaptive execution can split such a node. Nothing but two numbers per round reaches the driver.
+
+A round is a dozen of exchanges, each with a file and a record for every task, however few
+the edges are. So a list of at most FEW_EDGES is linked by one task instead.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .gray_index import Labels
+
+#: 4 MB of edges.
+FEW_EDGES = 1 << 18
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,6 +31,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = cut(_larger_first(edges))
     seen = _signature(pairs)
+    if seen[0] <= FEW_EDGES:
+        return cut(pairs.coalesce(1).mapInArrow(_linked, "node long, component long"))
     for _ in range(max_rounds):
         pairs = cut(_small_star(_large_star(pairs)))
         now = _signature(pairs)
@@ -35,6 +46,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return members.union(roots).distinct()
 
 
+def _linked(batches):
+    """All edges -> (node, component)."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    src, dst = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    labels = Labels(len(nodes))
+    labels.link(at[: len(src)], at[len(src) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[labels.of], pa.int64())], names=["node", "component"])
+
+
 def _larger_first(edges: DataFrame) -> DataFrame:
     return (
         edges.where("src != dst")
