@@ -1,5 +1,6 @@
 """Page-local operators against brute-force versions."""
 
+import time
 from itertools import combinations
 
 import numpy as np
@@ -164,6 +165,16 @@ def test_names_of_one_family_share_a_group(spark):
     assert [r.output for r in sorted(got.collect())] == P.unique_names([p for _, p in rows])
 
 
+def test_many_equal_names_take_a_pass():
+    n = 20_000
+    names = [f"a/x.{('pdf', 'PDF')[k % 2]}" for k in range(n)] + ["a/x__3.pdf"]
+    began = time.perf_counter()
+    got = P.unique_names(names)
+    assert time.perf_counter() - began < 5  # by counting from 2 each time 200,000,000 names are tried
+    assert got[:3] == ["a/x.pdf", "a/x__2.PDF", "a/x__3.pdf"] and got[n - 1] == f"a/x__{n}.PDF" and got[n] == "a/x__3__2.pdf"
+    assert len({g.lower() for g in got}) == n + 1
+
+
 def test_text_score():
     assert [P.text_score(a, b) for a, b in (("A b", "ab"), ("xaby", "AB"), ("", "ab"), ("q", "ab"), ("q", ""))] == [1.0, 0.85, 0.85, 0.0, 0.0]
 
