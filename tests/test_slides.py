@@ -5,8 +5,10 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from lamella.sources import slides
 from lamella.sources.slides import deck_file, debug_artifacts, pixels_of, png, read_deck
 
 
@@ -57,6 +59,15 @@ def test_parts_are_whole():
         assert len(set(ids)) == len(ids)
 
 
+def test_a_batch_of_files_is_read_in_frames(monkeypatch):
+    monkeypatch.setattr(slides, "ROWS", 10)
+    data = deck_file(some_slides(), 960, 540)  # of 6 items
+    frames = list(slides.item_frames([pd.DataFrame({"deck": range(7), "data": [data] * 7}), pd.DataFrame({"deck": range(7, 9), "data": [data] * 2})]))
+    assert [len(f) for f in frames] == [12, 12, 12, 12, 6]
+    got = pd.concat(frames)
+    assert sorted(set(got["deck"])) == list(range(9)) and got.groupby("deck").size().eq(6).all()
+
+
 def test_debug_images():
     image = np.random.default_rng(2).integers(0, 256, (5, 7, 3)).astype(np.uint8)
     mask = image[..., 0] > 128
