@@ -28,11 +28,12 @@ def spans(v):
 @query("src_words", "SRC-03 SRC-06", "SELECT page, id, x0, y0, x1, y1, text FROM words")
 def words(v):
     """Raw word tuples, with malformed ones beside the true ones: rows that are short, blank, not numeric or of no extent go."""
-    tuple_ = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *[F.col(p).cast("string") if p in v.words.columns and p != "text" else F.lit(p) for p in parts]), F.lit("]"))
-    good = F.concat(F.lit("["), F.concat_ws(",", *[F.col(c).cast("string") for c in ("x0", "y0", "x1", "y1")]), F.lit(',"'), F.col("text"), F.lit('",0,0]'))
-    malformed = (tuple_("x0", "y0", "x1", "y1"), tuple_("x0", "y0", "x1", "y1", '"  "'), F.lit('["a",1,2,3,"t"]'), tuple_("x1", "y0", "x0", "y1", '"t"'), F.lit(None).cast("string"))
-    raw = v.words.select("page", "id", F.explode(F.array(good, *malformed)).alias("raw"))
-    return raw.select("page", "id", D.word_fields(F.col("raw")).alias("w")).where("w IS NOT NULL").select("page", "id", "w.*")
+    at = lambda *names: F.concat_ws(",", *[F.col(c).cast("string") for c in names])
+    texts = v.words.select("page", "id", "text", at("x0", "y0", "x1", "y1").alias("box"), at("x1", "y0", "x0", "y1").alias("turned"))
+    good = F.concat(F.lit("["), F.col("box"), F.lit(',"'), F.col("text"), F.lit('",0,0]'))
+    short, blank, turned = (F.concat(F.lit("["), F.col(c), F.lit(more)) for c, more in (("box", "]"), ("box", ',"  "]'), ("turned", ',"t"]')))
+    raw = texts.select("page", "id", F.explode(F.array(good, short, blank, F.lit('["a",1,2,3,"t"]'), turned, F.lit(None).cast("string"))).alias("raw"))
+    return D.word_rows(raw, "raw", "page", "id")
 
 
 @query("src_drawings", "SRC-05 SRC-07 SRC-08 SRC-09", """

@@ -105,6 +105,19 @@ def test_words(spark):
     assert [r.w is not None for r in got] == [True] + [False] * 6
 
 
+def test_flat_words_are_split_as_they_are_parsed(spark):
+    """Words with blanks, escapes, quotes, nested and odd values have the fields that the parser gives, flat ones without it."""
+    flat = ['[1,2.5,3,4.25,"w",0,0]', '[-1,-2.50,3,4,"w [1] x y"]', '["1","2","3","4","5"]', '["1e0",2,"3d",4,"中文"]', '["a",1,2,3,"t"]', '[1,2,3,4,"  "]', '[3,2,1,4,"t"]', '["","","","",""]']
+    other = ['[1,2,3,4]', "x", "", None, "{}", '[1,2,3,4,5.50]', '[1,2,3,4,"a,b"]', '[1,2,3,4,"a\\"b"]', '[1,2,3,4,"a\\u0041"]', '[1,2,3,4,"a\nb"]', "[1,2,3,4,'q']", '[01,2,3,4,"w"]', '[1e0,2,3,4,"w"]', ' [1, 2, 3, 4, "w"] ',
+             '[1,2,3,4,"w"]\n', '[1,2,3,4,"w"]]', '[1,2,3,4,"w"] x', '[1,2,3,4,"w",[5,6]]', '[1,2,3,4,null]', '[1,2,3,4,"w",true]', '[+1,2,3,4,"w"]', '[1.,2,3,4,"w"]', '[1,2,12345678901234567890,4,"w"]', '[1,2,3,4,""w"]', '[1,2,3,4,"w"', '[1,2,,4,"w"]', '[[1,2,3,4,"w"]]', '[NaN,2,3,4,"w"]']
+    rows = spark.createDataFrame(list(enumerate(flat + other)), "id long, r string")
+    got = D.word_rows(rows, "r", "id")
+    want = rows.select("id", D.word_fields(F.col("r")).alias("w")).where("w IS NOT NULL").select("id", "w.*")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 8
+    assert [r.f for r in rows.orderBy("id").select(F.coalesce(F.col("r").rlike(D._FLAT), F.lit(False)).alias("f")).collect()] == [True] * len(flat) + [False] * len(other)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_summaries(spark, tmp_path):
     rows = spark.createDataFrame([(1, "b.pdf", "ok", 3, 1.5, 0.25), (2, "a.pdf", "failed", None, 0.0, None)], "id long, path string, status string, n_pages int, seconds double, cost double")
     for _ in range(2):
