@@ -1,5 +1,7 @@
 """Raster kernels against plain loops and known images."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -60,6 +62,32 @@ def test_components():
     assert I.components(np.zeros((4, 4), bool))[1] == 0
 
 
+def test_kernels_of_a_page_take_few_calls():
+    """Windows are joined, not scanned, and boxes grown on their own ground: in proportion to the boxes, not to boxes times pixels."""
+    big, boxes = (1_500, 2_000), [(20 * k, 15 * k, 20 * k + 12, 15 * k + 9) for k in range(90)]
+    m = I.box_mask(boxes, big)
+    began = time.perf_counter()
+    grown = I.dilated_by_height(m, boxes, most=3, least=1)
+    assert time.perf_counter() - began < 2  # 90 dilations of the whole image take far longer
+    assert (grown == I.dilated(m, 2)).all()
+    labels, n = I.components(m)
+    assert n == 90 and I.extents(labels, n).tolist() == [[x0, y0, x1 + 1, y1 + 1] for x0, y0, x1, y1 in boxes]
+
+
+@pytest.mark.parametrize("shape", [(7, 9), (1, 5), (6, 1)])
+def test_windows_of_any_size(shape):
+    m = rng.random(shape) > 0.5
+    for n in (1, 2, 3, 4, 5, 8, 11):
+        before = (n - 1) // 2
+        for dilate in (True, False):
+            p = np.pad(m, ((before, n - 1 - before), (0, 0)), constant_values=not dilate)
+            want = np.stack([(p[y : y + n].any(axis=0) if dilate else p[y : y + n].all(axis=0)) for y in range(shape[0])])
+            assert (I._extreme(m, n, 1, dilate) == want).all() and (I._extreme(m.T, 1, n, dilate) == want.T).all()
+    for r in (1, 3, 5):
+        p = np.pad(m.astype(float), ((r, r), (0, 0)), mode="reflect" if shape[0] > r else "edge")
+        assert I.along(m.astype(float), np.arange(2.0 * r + 1), 0) == pytest.approx(np.stack([np.arange(2.0 * r + 1) @ p[y : y + 2 * r + 1] for y in range(shape[0])]))
+
+
 def test_ssim():
     a = image()
     assert I.ssim(a, a) == 1.0
