@@ -79,11 +79,13 @@ def grouping_errors(v):
     a, b = G.box("a"), G.box("b")
     common, one = G.intersection_area(a, b), F.lit(1.0)
     p = J.pairs(v.blocks, v.regions, common > 0).select("a.page", F.col("a.id").alias("f"), F.col("b.id").alias("w"), (common / F.greatest(G.area(b), one) >= 0.5).alias("covers"), (common / F.greatest(G.area(a), one) >= 0.5).alias("inside"), (G.iou(a, b) >= 0.35).alias("meets"))
-    several = lambda flag, by, name: p.where(flag).groupBy("page", by).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("page").agg(F.count(F.lit(1)).alias(name))
-    rows = v.pages_.select("page")
-    for part in (several("covers", "f", "merges"), several("inside", "w", "splits"), p.where("meets").groupBy("page").agg(F.count(F.lit(1)).alias("candidates"))):
-        rows = rows.join(part, "page", "left")
-    return rows.na.fill(0)
+    # A pair counts for its block and for its region, so that it is joined once.
+    of_block = F.struct(F.lit(True).alias("is_block"), F.col("f").alias("id"), F.col("covers").alias("held"), F.col("meets").alias("meets"))
+    of_region = F.struct(F.lit(False).alias("is_block"), F.col("w").alias("id"), F.col("inside").alias("held"), F.lit(False).alias("meets"))
+    ends = p.where("covers OR inside OR meets").select("page", F.explode(F.array(of_block, of_region)).alias("e")).select("page", "e.*").where("held OR meets")
+    held = ends.groupBy("page", "is_block", "id").agg(F.count_if("held").alias("n"), F.count_if("meets").alias("meets"))
+    counts = held.groupBy("page").agg(F.count_if(F.col("is_block") & (F.col("n") >= 2)).alias("merges"), F.count_if(~F.col("is_block") & (F.col("n") >= 2)).alias("splits"), F.sum("meets").alias("candidates"))
+    return v.pages_.select("page").join(counts, "page", "left").na.fill(0)
 
 
 @query("page_acceptance", "JOIN-21", f"""
