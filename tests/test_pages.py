@@ -4,8 +4,10 @@ import time
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from lamella import catalog
 from lamella.operators import pages as P
 
 rng = np.random.default_rng(1)
@@ -243,3 +245,23 @@ def test_ocr_lines_query_against_plain_version(spark, sf_dir):
         assert (got[k].x0, got[k].y0, got[k].x1, got[k].y1) == (min(r.x0 for r in of), min(r.y0 for r in of), max(r.x1 for r in of), max(r.y1 for r in of))
         assert got[k].confidence == pytest.approx(sum(r.confidence * len(r.text) for r in of) / max(1, weight), abs=1e-6)
         assert "".join(got[k].text.split()) == "".join("".join(r.text.split()) for r in sorted(of, key=lambda r: (r.x0, r.id)))
+
+
+def test_texts_are_folded_once(monkeypatch):
+    calls = []
+
+    class Blank:
+        def sub(self, to, text):
+            calls.append(text)
+            return text.replace(" ", to)
+
+    monkeypatch.setattr(P, "_blank", Blank())
+    found, wanted = (pd.DataFrame({"text": texts, "role": "body", "reading_order": 1, **dict(zip(P.BOX, (0.0, 0.0, 9.0, 9.0)))}) for texts in (["A b", "c", None], ["ab", "xabc", "", "q"]))
+    assert P.acceptance(found, wanted)["n_pairs"] == 3
+    assert len(calls) == len(found) + len(wanted)
+    assert P.text_scores([], ["a"]).shape == (0, 1) and P.text_scores(["A b", None], ["ab", "xabc", ""]).tolist() == [[1.0, 0.85, 0.0], [0.85, 0.85, 0.0]]
+
+
+def test_pairs_of_grouping_errors_are_joined_once(spark, sf_dir):
+    plan = catalog.queries()["join_grouping_errors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
